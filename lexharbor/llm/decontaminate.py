@@ -9,6 +9,7 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
 from .hashing import utf8
@@ -54,6 +55,40 @@ def _spans(low: str, words: list[str], joined: str, automaton) -> list[dict]:
     return [{"item_id": k, "first_word": a, "last_word": b, "start": place[a][0], "end": place[b][1]} for k in sorted(by_item) for a, b in by_item[k]]
 
 
+def _parts(items: DataFrame, window: int) -> Iterator[Broadcast]:
+    """The windows of all items, in parts of bounded size."""
+    items = items.filter("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("binary").alias("text")).distinct()
+    parts = max(1, -(-(items.agg(F.sum(F.length("text"))).first()[0] or 0) // AUTOMATON_BYTES))
+    for part in range(parts):
+        own = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).collect()  # of bounded size
+        yield items.sparkSession.sparkContext.broadcast(_windows([(r[0], bytes(r[1])) for r in own], window))
+
+
+def _automaton(windows: dict[str, list[int]]):
+    import ahocorasick
+
+    automaton = ahocorasick.Automaton()
+    for text, owners in windows.items():
+        automaton.add_word(text, (text.count(" ") - 1, owners))
+    if windows:
+        automaton.make_automaton()
+    return automaton
+
+
+def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The rows of docs without any window of an item, with all their columns; null texts are clean."""
+    for shared in _parts(items, window):
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            automaton = _automaton(shared.value)
+            for batch in batches:
+                keep = [not shared.value or next(automaton.iter(f" {' '.join(WORD.findall(normal(t)))} "), None) is None for t in utf8(batch.column("text"))]
+                yield batch.filter(pa.array(keep, pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
+
+
 def scan(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, n_words and hits, the runs of words that items cover.
 
@@ -63,22 +98,11 @@ def scan(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     The benchmark is read in parts of bounded size, one automaton each; with several parts, rows that repeat
     a doc_id become one.
     """
-    spark = docs.sparkSession
-    items = items.filter("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("binary").alias("text")).distinct()
-    parts = max(1, -(-(items.agg(F.sum(F.length("text"))).first()[0] or 0) // AUTOMATON_BYTES))
     scans = []
-    for part in range(parts):
-        own = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).collect()  # of bounded size
-        shared = spark.sparkContext.broadcast(_windows([(r[0], bytes(r[1])) for r in own], window))
+    for shared in _parts(items, window):
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            import ahocorasick
-
-            automaton = ahocorasick.Automaton()
-            for text, owners in shared.value.items():
-                automaton.add_word(text, (text.count(" ") - 1, owners))
-            if shared.value:
-                automaton.make_automaton()
+            automaton = _automaton(shared.value)
             for batch in batches:
                 count, hits = [], []
                 for text in utf8(batch.column("text")):
@@ -90,7 +114,7 @@ def scan(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(count, pa.int64()), pa.array(hits, kind)], ["doc_id", "n_words", "hits"])
 
         scans.append(docs.select("doc_id", "text").mapInArrow(run, f"doc_id long, n_words long, hits {_HITS}"))
-    if parts == 1:
+    if len(scans) == 1:
         return scans[0]
     whole = scans[0]
     for more in scans[1:]:

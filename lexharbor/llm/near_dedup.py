@@ -163,8 +163,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     same = scratch.save(same.filter("copies > 1").drop("copies"), "same")
     owner = scratch.save(signed.select("doc_id", "n_shingles", "f1", "f2").join(same, ["f1", "f2", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")), "owner")
     spare = owner.filter("doc_id <> rep").select("doc_id")
-    few = spare.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    reps = usable.join(F.broadcast(spare) if few else spare, "doc_id", "left_anti")
+    reps = without(usable, spare)
 
     rows = reps.select("doc_id", F.explode("bands").alias("band"))
     shared = rows.groupBy("band").agg(F.min("doc_id").alias("centre"), F.count("*").alias("n")).filter("n > 1").drop("n")
@@ -203,3 +202,9 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
 
     out = owner.join(found, F.col("node") == F.col("rep"), "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     return scratch.keep(out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept")))
+
+
+def without(docs: DataFrame, spare: DataFrame) -> DataFrame:
+    """Rows of docs whose doc_id isn't in spare; rows of null doc_id stay."""
+    few = spare.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(spare) if few else spare, "doc_id", "left_anti")
