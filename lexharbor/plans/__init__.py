@@ -1 +1,4 @@
-"""Part of lexharbor."""
+"""Registered queries and their SQL."""
+
+QUERIES: dict = {}
+ORACLE: dict = {}
