@@ -1,4 +1,5 @@
 """Registered queries and their SQL."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from .corpus import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES"]
