@@ -17,7 +17,7 @@ def tokens(docs: DataFrame) -> DataFrame:
 def pieces(docs: DataFrame, unit: str) -> DataFrame:
     """doc_id, seg_no (from 1), text: lines as paragraphs, or sentences by end punctuation; blank ones are left out."""
     cut = r"\n" if unit == "paragraph" else r"[.!?\n]+"
-    parts = F.filter(F.transform(F.split("text", cut), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split("text", cut), lambda x: F.trim(x)), lambda x: x != "")
     return docs.select("doc_id", F.posexplode(parts).alias("i", "text")).select("doc_id", (F.col("i") + 1).alias("seg_no"), "text")
 
 
@@ -39,5 +39,5 @@ def windows(docs: DataFrame, size: int = SIZE, step: int = STEP) -> DataFrame:
 def statistics(docs: DataFrame) -> DataFrame:
     """doc_id, sentences, words, types."""
     w = tx.words(F.col("text"))
-    s = F.filter(F.transform(F.split("text", r"[.!?\n]+"), F.trim), lambda x: x != "")
+    s = F.filter(F.transform(F.split("text", r"[.!?\n]+"), lambda x: F.trim(x)), lambda x: x != "")
     return docs.select("doc_id", F.size(s).cast("long").alias("n_sentences"), F.size(w).cast("long").alias("n_words"), F.size(F.array_distinct(w)).cast("long").alias("n_types"))
