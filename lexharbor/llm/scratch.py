@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,16 +30,40 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.paths: list[str] = []
+        self.tables: dict[int, str] = {}
+        self.held: list[DataFrame] = []  # so that ids stay taken
 
     def path(self, name: str) -> str:
-        self.paths.append(f"{self.root}/{len(self.paths)}-{name}")
+        self.paths.append(f"{self.root}/{uuid.uuid4().hex[:8]}-{name}")
         return self.paths[-1]
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` and read it again."""
+    def save(self, df: DataFrame, name: str, last_use_of: tuple[DataFrame, ...] = ()) -> DataFrame:
+        """Write ``df`` and read it again; tables of this run that nothing needs from then on are removed.
+
+        The written table replaces the shuffles behind it, so Spark is told to drop their files at once.
+        """
         path = self.path(name)
-        df.write.option("compression", "zstd").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        with self.tidy():
+            df.write.option("compression", "zstd").parquet(path)
+        for old in last_use_of:
+            gone = self.tables.pop(id(old))
+            self.drop(gone)
+            self.paths.remove(gone)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.tables[id(out)] = path
+        self.held.append(out)
+        return out
+
+    @contextmanager
+    def tidy(self) -> Iterator[None]:
+        """Shuffle files of the queries within are dropped as each of them ends."""
+        key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+        before = self.spark.conf.get(key)
+        self.spark.conf.set(key, "true")
+        try:
+            yield
+        finally:
+            self.spark.conf.set(key, before)
 
     def drop(self, *paths: str) -> None:
         hadoop = self.spark.sparkContext._jsc.hadoopConfiguration()

@@ -144,21 +144,22 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     marked = docs.join(copies.withColumn("copy", F.lit(True)), "doc_id", "left").withColumn("copy", F.coalesce("copy", F.lit(False)))
     # texts are laid out by doc_id once, for both later joins
-    marked.repartition(parts, "doc_id").write.option("compression", "zstd").bucketBy(parts, "doc_id").saveAsTable(table)
+    with scratch.tidy():
+        marked.repartition(parts, "doc_id").write.option("compression", "zstd").bucketBy(parts, "doc_id").saveAsTable(table)
     try:
         texts = spark.table(table)
         all_runs = texts.filter("NOT copy AND doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(_anchors(length), "anchor long, body long, doc_id long, start int, n int")
         all_runs = scratch.save(all_runs, "runs")
         often = all_runs.groupBy("anchor").agg(F.count("*").alias("k"), (F.min("body") != F.max("body")).alias("several")).filter("k > 1").drop("k")
-        shared = scratch.save(all_runs.join(often, "anchor"), "shared")
+        shared = scratch.save(all_runs.join(often, "anchor"), "shared", (all_runs,))
         firsts = scratch.save(shared.groupBy("anchor", "body").agg(F.min(F.struct("doc_id", "start", "n", "several")).alias("f"), F.count("*").alias("k")), "firsts")
-        again = shared.join(firsts.filter("k > 1").select("anchor", "body", F.col("f.doc_id").alias("d"), F.col("f.start").alias("s")), ["anchor", "body"]).filter("doc_id <> d OR start <> s").select("doc_id", "start", "n")
+        again = scratch.save(shared.join(firsts.filter("k > 1").select("anchor", "body", F.col("f.doc_id").alias("d"), F.col("f.start").alias("s")), ["anchor", "body"]).filter("doc_id <> d OR start <> s").select("doc_id", "start", "n"), "again", (shared,))
         ordered = firsts.filter("f.several").select("f.doc_id", "f.start", "f.n").groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
         windows = texts.filter("NOT copy").select("doc_id", "text").join(ordered, "doc_id").mapInArrow(_windows(length), "x long, y long, doc_id long, start int")
-        windows = scratch.save(windows, "windows")
+        windows = scratch.save(windows, "windows", (firsts,))
         # suffixes with the same first bytes: all but the smallest position have a previous factor of this length
         least = windows.groupBy("x", "y").agg(F.min(F.struct("doc_id", "start")).alias("f"), F.count("*").alias("k")).filter("k > 1")
-        later = windows.join(least, ["x", "y"]).filter("doc_id <> f.doc_id OR start <> f.start").select("doc_id", "start", F.lit(1).alias("n"))
+        later = scratch.save(windows.join(least, ["x", "y"]).filter("doc_id <> f.doc_id OR start <> f.start").select("doc_id", "start", F.lit(1).alias("n")), "later", (windows,))
         gone = again.union(later).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
         out = texts.join(gone, "doc_id", "left").select("doc_id", "text", "spans", "copy")
         return scratch.keep(out.mapInArrow(_cut(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<start:int,end:int>>"))
