@@ -16,7 +16,7 @@ def read(spark: SparkSession, path: str, sep: str | None = None) -> DataFrame:
         head = spark.read.text(path).limit(1).collect()
         line = head[0][0] if head else ""
         sep = max("\t;,", key=line.count)
-    return spark.read.csv(path, sep=sep, header=True, inferSchema=False, emptyValue="", nullValue="\0", multiLine=False)
+    return spark.read.csv(path, sep=sep, header=True, inferSchema=False, multiLine=False).fillna("")
 
 
 def sidecar(table: DataFrame, key: str | None = None) -> DataFrame:
