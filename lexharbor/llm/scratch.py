@@ -64,6 +64,7 @@ class Scratch:
             yield
         finally:
             self.spark.conf.set(key, before)
+            self.spark._jvm.System.gc()  # Spark removes a shuffle's files once the driver has let go of it
 
     def drop(self, *paths: str) -> None:
         hadoop = self.spark.sparkContext._jsc.hadoopConfiguration()

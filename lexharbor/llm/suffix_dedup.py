@@ -158,7 +158,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         windows = texts.filter("NOT copy").select("doc_id", "text").join(ordered, "doc_id").mapInArrow(_windows(length), "x long, y long, doc_id long, start int")
         windows = scratch.save(windows, "windows", (firsts,))
         # suffixes with the same first bytes: all but the smallest position have a previous factor of this length
-        least = windows.groupBy("x", "y").agg(F.min(F.struct("doc_id", "start")).alias("f"), F.count("*").alias("k")).filter("k > 1")
+        least = windows.groupBy("x", "y").agg(F.min(F.struct("doc_id", "start")).alias("f"), F.count("*").alias("k")).filter("k > 1").select("x", "y", "f")
         later = scratch.save(windows.join(least, ["x", "y"]).filter("doc_id <> f.doc_id OR start <> f.start").select("doc_id", "start", F.lit(1).alias("n")), "later", (windows,))
         gone = again.union(later).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
         out = texts.join(gone, "doc_id", "left").select("doc_id", "text", "spans", "copy")
