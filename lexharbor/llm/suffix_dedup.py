@@ -76,6 +76,38 @@ def _anchors(length: int):
     return run
 
 
+def _sides(length: int):
+    """The windows of chosen runs in two parts: those with half of the rest before the anchor, and after it.
+
+    Equal windows agree in one of these halves around the same anchor, so (anchor, side, h) must repeat.
+    """
+    half = (length - GRAM) // 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, text, spans in zip(batch.column("doc_id").to_pylist(), utf8(batch.column("text")), batch.column("spans").to_pylist(), strict=True):
+                a, out = np.frombuffer(text, dtype=np.uint8), []
+                for lo in range(0, len(a), CHUNK):
+                    own = [s for s in spans if lo <= s["start"] < lo + CHUNK]
+                    if not own:
+                        continue
+                    base = max(0, lo - length)
+                    c = prefix_hash(a[base : lo + CHUNK + 2 * length])
+                    gram = mix(_hashes(c, np.arange(max(0, len(c) - GRAM)), GRAM)).view(np.int64)
+                    for s in own:
+                        at = s["start"] - base
+                        q = at + int(np.argmax(gram[at : at + length - GRAM + 1] == s["anchor"]))
+                        last = at + s["n"] - 1
+                        for side, first, end, edge in ((0, at, min(last, q - half), q - half), (1, max(at, q - half), last, q + GRAM)):
+                            if first <= end and edge >= 0 and edge + half < len(c):
+                                h = mix(_hashes(c, np.array([edge]), half))[0]
+                                out.append((s["anchor"], side, int(h.view(np.int64)), doc, first + base, end - first + 1))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["anchor", "side", "h", "doc_id", "start", "n"])
+
+    return run
+
+
 def _windows(length: int):
     """The windows of chosen runs as (key, other key, doc_id, start)."""
 
@@ -154,9 +186,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         shared = scratch.save(all_runs.join(often, "anchor"), "shared", (all_runs,))
         firsts = scratch.save(shared.groupBy("anchor", "body").agg(F.min(F.struct("doc_id", "start", "n", "several")).alias("f"), F.count("*").alias("k")), "firsts")
         again = scratch.save(shared.join(firsts.filter("k > 1").select("anchor", "body", F.col("f.doc_id").alias("d"), F.col("f.start").alias("s")), ["anchor", "body"]).filter("doc_id <> d OR start <> s").select("doc_id", "start", "n"), "again", (shared,))
-        ordered = firsts.filter("f.several").select("f.doc_id", "f.start", "f.n").groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+        ordered = firsts.filter("f.several").select("anchor", "f.doc_id", "f.start", "f.n").groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "anchor")).alias("spans"))
+        found = texts.filter("NOT copy").select("doc_id", "text").join(ordered, "doc_id").mapInArrow(_sides(length), "anchor long, side int, h long, doc_id long, start int, n int")
+        sides = scratch.save(found, "sides", (firsts,))
+        alike = sides.groupBy("anchor", "side", "h").agg(F.count("*").alias("k")).filter("k > 1").drop("k")
+        ordered = sides.join(alike, ["anchor", "side", "h"]).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
         windows = texts.filter("NOT copy").select("doc_id", "text").join(ordered, "doc_id").mapInArrow(_windows(length), "x long, y long, doc_id long, start int")
-        windows = scratch.save(windows, "windows", (firsts,))
+        windows = scratch.save(windows, "windows", (sides,))
         # suffixes with the same first bytes: all but the smallest position have a previous factor of this length
         least = windows.groupBy("x", "y").agg(F.min(F.struct("doc_id", "start")).alias("f"), F.count("*").alias("k")).filter("k > 1").select("x", "y", "f")
         later = scratch.save(windows.join(least, ["x", "y"]).filter("doc_id <> f.doc_id OR start <> f.start").select("doc_id", "start", F.lit(1).alias("n")), "later", (windows,))
