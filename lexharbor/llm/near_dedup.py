@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .components import components
 from .hashing import mix, shingle_sets, utf8
@@ -24,6 +24,8 @@ AGREE = 72
 MEMBERS = 256
 #: Document ids up to which a lookup table is broadcast (8 bytes each); beyond, both sides are shuffled.
 BROADCAST_IDS = 1_000_000
+#: Documents up to which a shingle counts as rare: pairs that share it are listed, and it bounds what others share.
+RARE = 8
 
 _RNG = np.random.default_rng(7)
 _A = _RNG.integers(0, 2**31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -118,6 +120,18 @@ def _confirm(k: int, percent: int):
     return run
 
 
+def _shingles(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                offsets, values = shingle_sets(utf8(part.column("text")), k)
+                ids = np.repeat(part.column("doc_id").to_numpy(), np.diff(offsets))
+                yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(ids)], ["s", "doc_id"])
+
+    return run
+
+
 def _among(df: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows of df whose doc_id is among ids; ids are broadcast only while they are few."""
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
@@ -140,6 +154,41 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> Data
     return rows.mapInArrow(_confirm(k, percent), "u long, v long")
 
 
+def _possible(named: DataFrame, texts: DataFrame, sketches: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b) of different components that share a bucket or a rare shingle and may still be similar.
+
+    named: band, doc_id and component c of every document that a bucket of several components holds. A
+    shingle of one document alone is shared with none; a document with too many of those can't have a link
+    and goes. Pairs with a rare shingle in common are listed by it, at most ``RARE`` documents to a shingle.
+    Any other pair shares no rare shingle, so the smaller number of common ones bounds its intersection;
+    of a bucket, only pairs that this bound lets through are made. The bounds are exact.
+    """
+    docs = scratch.save(named.select("doc_id", "c").distinct(), "docs")
+    shingles = scratch.save(texts.join(docs.select("doc_id"), "doc_id", "left_semi").mapInArrow(_shingles(k), "s long, doc_id long"), "shingles")
+    rare = scratch.save(shingles.join(shingles.groupBy("s").agg(F.count("*").alias("n")).filter(F.col("n") <= RARE), "s"), "rare", (shingles,))
+    counts = rare.groupBy("doc_id").agg(F.count("*").alias("rare"), F.count_if(F.col("n") == 1).alias("own"))
+    able = docs.join(sketches.select("doc_id", "n_shingles"), "doc_id").join(counts, "doc_id", "left").fillna(0, ["rare", "own"])
+    able = able.filter(100 * (F.col("n_shingles") - F.col("own")) >= percent * F.col("n_shingles"))
+    able = scratch.save(able.select("doc_id", "c", F.col("n_shingles").alias("size"), (F.col("n_shingles") - F.col("rare")).alias("common")), "able")
+
+    def side(df: DataFrame, x: str, *keys: str) -> DataFrame:
+        return df.select(*(F.col(c).alias(f"{c}{x}") for c in keys), F.col("doc_id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("c", "size", "common")))
+
+    def enough(shared: Column) -> Column:
+        return 100 * shared >= percent * (F.col("size_a") + F.col("size_b") - shared)
+
+    least = F.least("common_a", "common_b")
+    posted = rare.filter("n > 1").select("s", "doc_id").join(able, "doc_id")
+    both = side(posted, "a", "s").join(side(posted, "b", "s"), (F.col("sa") == F.col("sb")) & (F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")))
+    listed = both.groupBy("a", "b", "size_a", "size_b", least.alias("most")).count().filter(enough(F.col("most") + F.col("count")))
+    named = named.select("band", "doc_id").join(able, "doc_id")
+    main = named.groupBy("band", "c").count().groupBy("band").agg(F.max(F.struct("count", "c")).getField("c").alias("main"))
+    minor = side(named.join(main, "band").filter("c <> main"), "a", "band", "main")  # the bucket's commonest component meets only the others
+    apart = (F.col("c_a") != F.col("c_b")) & ((F.col("c_b") == F.col("maina")) | (F.col("a") < F.col("b")))
+    near = minor.join(side(named, "b", "band"), (F.col("banda") == F.col("bandb")) & apart & enough(least))
+    return near.select("a", "b").union(listed.select("a", "b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of docs (doc_id, text): n_shingles, component_id, kept.
 
@@ -151,8 +200,8 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
 
     Equal sets are folded into the smallest doc_id first. Then each document is tried against the best
     centre among its buckets, which joins the large groups; after that only documents of different
-    components within a bucket remain, and those are tried in full, so no link between components is lost
-    but by the bands' own odds.
+    components within a bucket remain, and each pair of those that may be similar is tried, so no link between
+    components is lost but by the bands' own odds.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "near-duplicates")
@@ -170,7 +219,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     members = scratch.save(rows.join(shared, "band").distinct(), "members")
     ids = scratch.save(members.select("doc_id").distinct(), "ids")
     texts = scratch.save(_among(docs, ids).dropDuplicates(["doc_id"]), "texts")
-    sketches = scratch.save(_among(reps.select("doc_id", "sketch"), ids).dropDuplicates(["doc_id"]), "sketches")
+    sketches = scratch.save(_among(reps.select("doc_id", "n_shingles", "sketch"), ids).dropDuplicates(["doc_id"]), "sketches")
 
     pairs = members.filter("doc_id <> centre").select(F.col("centre").alias("a"), F.col("doc_id").alias("b")).distinct()
     stars = scratch.save(_estimated(pairs, sketches), "stars")
@@ -186,15 +235,11 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     second = scratch.save(apart(stars.select("a", "b"), found).join(tried, ["a", "b"], "left_anti"), "second")
     links = scratch.save(links.union(_confirmed(second, texts, shingle_words, percent)), "links")
     found = scratch.save(components(links, scratch), "found")
-    # then every pair within a bucket that spans two components; the bucket's commonest component meets only the others
+    # then the pairs of different components
     named = scratch.save(members.select("band", "doc_id").join(found, F.col("node") == F.col("doc_id"), "left").select("band", "doc_id", F.coalesce("component", "doc_id").alias("c")), "named")
     mixed = named.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("band")
     named = scratch.save(named.join(mixed, "band"), "mixed")
-    sizes = named.groupBy("band", "c").count()
-    main = sizes.groupBy("band").agg(F.max(F.struct("count", "c")).getField("c").alias("main"))
-    minor = named.join(main, "band").filter("c <> main").select("band", F.col("doc_id").alias("a"), F.col("c").alias("ca"), "main")
-    other = named.select("band", F.col("doc_id").alias("b"), F.col("c").alias("cb"))
-    rest = minor.join(other, "band").filter("ca <> cb AND (cb = main OR a < b)").select("a", "b").distinct()
+    rest = _possible(named, texts, sketches, shingle_words, percent, scratch)
     rest = rest.join(stars.select("a", "b"), ["a", "b"], "left_anti").join(stars.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
     rest = scratch.save(_estimated(rest, sketches), "rest")
     links = links.union(scratch.save(_confirmed(rest.select("a", "b"), texts, shingle_words, percent), "more"))
