@@ -181,11 +181,12 @@ def _possible(named: DataFrame, texts: DataFrame, sketches: DataFrame, k: int, p
     posted = rare.filter("n > 1").select("s", "doc_id").join(able, "doc_id")
     both = side(posted, "a", "s").join(side(posted, "b", "s"), (F.col("sa") == F.col("sb")) & (F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")))
     listed = both.groupBy("a", "b", "size_a", "size_b", least.alias("most")).count().filter(enough(F.col("most") + F.col("count")))
-    named = named.select("band", "doc_id").join(able, "doc_id")
+    named = named.select("band", "doc_id").join(named.groupBy("doc_id").agg(F.collect_set("band").alias("bands")).join(able, "doc_id"), "doc_id")  # at most BANDS of them
     main = named.groupBy("band", "c").count().groupBy("band").agg(F.max(F.struct("count", "c")).getField("c").alias("main"))
-    minor = side(named.join(main, "band").filter("c <> main"), "a", "band", "main")  # the bucket's commonest component meets only the others
+    minor = side(named.join(main, "band").filter("c <> main"), "a", "band", "bands", "main")  # the bucket's commonest component meets only the others
     apart = (F.col("c_a") != F.col("c_b")) & ((F.col("c_b") == F.col("maina")) | (F.col("a") < F.col("b")))
-    near = minor.join(side(named, "b", "band"), (F.col("banda") == F.col("bandb")) & apart & enough(least))
+    once = F.array_min(F.array_intersect("bandsa", "bandsb")) == F.col("banda")  # of the buckets that a pair shares, one lists it
+    near = minor.join(side(named, "b", "band", "bands"), (F.col("banda") == F.col("bandb")) & apart & enough(least) & once)
     return near.select("a", "b").union(listed.select("a", "b")).distinct()
 
 
