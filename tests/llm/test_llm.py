@@ -47,6 +47,28 @@ def test_near_duplicates(docs, empty):
     assert near_dedup.near_duplicates(empty).count() == 0
 
 
+def test_families_of_different_similarity(spark):
+    """Many texts of one family, of which only some pairs are similar: chains, pairs by a shared addition, and loners."""
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for n in range(90):
+        words = list(base)
+        for _ in range(n % 9):
+            words[rng.randrange(120)] = f"{rng.choice('xy')}{rng.randrange(3 + n)}"
+        if n % 5 == 0:
+            words[40:40] = [f"added{n // 10}-{j}" for j in range(25)]
+        rows.append((n, " ".join(words)))
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect()}
+    sets, group = {i: shingles(t) for i, t in rows}, {i: i for i, _ in rows}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    for _ in rows:
+        for a, b in links:
+            group[a] = group[b] = min(group[a], group[b])
+    assert len(set(group.values())) > 10 and len(links) > 100
+    assert got == group
+
+
 def test_url_filter(spark):
     urls = [None, "", "nothing", "http://WWW.Example.COM/en/7x?q", "https://a.com/en/#x", "http://x.example.net/de/8", "http://net/de/", "http://b.org/es/a", "http://b.orgx/es/", "http://z.org/a.com/en/", "ftp://ads.q/", "http://h/login1php", "http://h/login1.php", "http://" + "h" * 3000]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
