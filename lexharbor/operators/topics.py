@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import IllegalArgumentException
 from pyspark.ml.clustering import LDA, KMeans
 from pyspark.ml.feature import PCA, CountVectorizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -38,12 +39,28 @@ def centroid_cosine(vectors: DataFrame, key: str, group: str, vector: str) -> Da
     return dots.select(key, group, (F.col("xc") / F.nullif(F.sqrt("xx") * F.sqrt("cc"), F.lit(0.0))).alias("cosine"))
 
 
-def lda(docs: DataFrame, k: int = 8, iterations: int = 10, terms: int = 10, seed: int = 42) -> DataFrame:
-    """topic, rank, term, weight; docs (doc_id, words)."""
-    vectorizer = CountVectorizer(inputCol="words", outputCol="features", minDF=2, maxDF=0.85, vocabSize=50_000).fit(docs)
-    model = LDA(k=k, maxIter=iterations, seed=seed, optimizer="online").fit(vectorizer.transform(docs))
+def lda(docs: DataFrame, k: int = 20, iterations: int = 30, terms: int = 20, least: int = 30, seed: int = 42) -> DataFrame:
+    """topic, rank, term, weight; docs (doc_id, words), those of at least ``least`` words.
+
+    Fitted by EM, which reads every document in each iteration; online steps read samples at any
+    subsamplingRate, as Spark draws them with replacement. Topics are fewer than documents; with fewer than
+    two documents or five terms there are none.
+    """
+    spark = docs.sparkSession
+    none = spark.createDataFrame([], "topic int, rank int, term string, weight double")
+    kept = docs.filter(F.size("words") >= least)
+    n = kept.limit(k + 1).count()
+    if n < 2:
+        return none
+    try:
+        vectorizer = CountVectorizer(inputCol="words", outputCol="features", minDF=2, maxDF=0.85, vocabSize=50_000).fit(kept)
+    except IllegalArgumentException:  # no term is in two documents and in at most 85% of them
+        return none
+    if len(vectorizer.vocabulary) < 5:
+        return none
+    model = LDA(k=min(k, max(2, n - 1)), maxIter=iterations, seed=seed, optimizer="em").fit(vectorizer.transform(kept))
     topics = model.describeTopics(terms).select("topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("rank", "t"))
-    words = docs.sparkSession.createDataFrame(list(enumerate(vectorizer.vocabulary)), "i int, term string")
+    words = spark.createDataFrame(list(enumerate(vectorizer.vocabulary)), "i int, term string")
     return topics.select("topic", (F.col("rank") + 1).alias("rank"), F.col("t.termIndices").alias("i"), F.col("t.termWeights").alias("weight")).join(words, "i").select("topic", "rank", "term", "weight")
 
 

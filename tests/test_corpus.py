@@ -2,14 +2,16 @@
 
 import glob
 import os
+from collections import Counter
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lexharbor import plans
 from lexharbor.functions import text as tx
-from lexharbor.operators import lexicon, segments, summary
+from lexharbor.operators import lexicon, segments, summary, topics
 from lexharbor.sources import conllu, delimited
 
 DATA = "/root/testdata/sf0.001"
@@ -86,3 +88,21 @@ def test_weighted(spark):
     rows = spark.createDataFrame([("a", 1.0, 2), ("a", 4.0, 1), ("b", 3.0, 0), ("c", None, 5)], "g string, m double, w int")
     got = {r.g: r.m for r in summary.weighted(rows, ["g"], [], ["m"], "w").collect()}
     assert got == {"a": 2.0, "b": 3.0, "c": None}
+
+
+def test_lda_reads_every_document(spark):
+    """Counts of all documents are the topics' shares, mixed by the topics' sizes."""
+    rng = np.random.default_rng(3)
+    rows = [(i, [f"w{x}" for x in rng.integers(0, 12, 30 + i % 5) + 8 * (i % 3)]) for i in range(60)]
+    short = [(100 + i, ["short"] * 29) for i in range(5)]
+    got = topics.lda(spark.createDataFrame(rows + short, "doc_id long, words array<string>"), k=2, terms=40).collect()
+    share = {t: {r.term: r.weight for r in got if r.topic == t} for t in (0, 1)}
+    n = Counter(w for _, words in rows for w in words)
+    assert set(share[0]) == set(share[1]) == set(n)
+    x, y = (np.array([share[t][w] for w in n]) for t in (0, 1))
+    total = np.array([n[w] for w in n], dtype=float)
+    size = (total - total.sum() * y) @ (x - y) / ((x - y) @ (x - y))
+    assert np.abs(size * x + (total.sum() - size) * y - total).max() < 1e-6 * total.sum()
+    full = topics.lda(spark.createDataFrame(rows, "doc_id long, words array<string>"))
+    assert full.groupBy("topic").count().filter("count = 20").count() == 20
+    assert topics.lda(spark.createDataFrame(short, "doc_id long, words array<string>")).count() == 0
