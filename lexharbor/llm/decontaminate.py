@@ -13,6 +13,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
 from .hashing import utf8
+from .scratch import Scratch
 
 #: Consecutive item words that make a window.
 WINDOW = 10
@@ -20,6 +21,7 @@ WINDOW = 10
 AUTOMATON_BYTES = 8_000_000
 WORD = re.compile("[0-9a-z\u0080-\U0010ffff]+")
 _HITS = "array<struct<item_id:bigint,first_word:int,last_word:int,start:int,end:int>>"
+_KIND = pa.list_(pa.struct([("item_id", pa.int64()), *((x, pa.int32()) for x in ("first_word", "last_word", "start", "end"))]))
 
 
 def normal(text: bytes) -> str:
@@ -47,11 +49,10 @@ def _spans(low: str, words: list[str], joined: str, automaton) -> list[dict]:
     for end, (n, owners) in hits:
         last = int(np.searchsorted(ends, end))
         for item in owners:
-            runs = by_item.setdefault(item, [])
-            if runs and last - n + 1 <= runs[-1][1] + 1:
-                runs[-1] = [min(runs[-1][0], last - n + 1), last]
-            else:
-                runs.append([last - n + 1, last])
+            runs, first = by_item.setdefault(item, []), last - n + 1
+            while runs and first <= runs[-1][1] + 1:
+                first = min(first, runs.pop()[0])
+            runs.append([first, last])
     return [{"item_id": k, "first_word": a, "last_word": b, "start": place[a][0], "end": place[b][1]} for k in sorted(by_item) for a, b in by_item[k]]
 
 
@@ -95,11 +96,16 @@ def scan(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     Words are runs of 0-9, a-z (A-Z counting as a-z) and characters beyond ASCII. Each run of ``window``
     words of an item (item_id, text) is sought; an item of fewer words, but not none, is sought whole. Null
     texts have no words, null item_ids are left out, repeated items count once, other columns are ignored.
-    The benchmark is read in parts of bounded size, one automaton each; with several parts, rows that repeat
-    a doc_id become one.
+    The benchmark is read in parts of bounded size, one automaton each; with several parts, rows get an id
+    of their own, written once, by which what the parts find comes together.
     """
+    parts = list(_parts(items, window))
+    rows, own = docs.select(F.lit(0).cast("long").alias("row"), "doc_id", "text"), None
+    if len(parts) > 1:
+        own = Scratch(docs.sparkSession, "scan")
+        rows = own.save(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "rows")
     scans = []
-    for shared in _parts(items, window):
+    for shared in parts:
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             automaton = _automaton(shared.value)
@@ -110,16 +116,32 @@ def scan(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
                     words = WORD.findall(low)
                     count.append(len(words))
                     hits.append(_spans(low, words, f" {' '.join(words)} ", automaton) if words and shared.value else [])
-                kind = pa.list_(pa.struct([("item_id", pa.int64()), *((x, pa.int32()) for x in ("first_word", "last_word", "start", "end"))]))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(count, pa.int64()), pa.array(hits, kind)], ["doc_id", "n_words", "hits"])
+                yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id").cast(pa.int64()), pa.array(count, pa.int64()), pa.array(hits, _KIND)], ["row", "doc_id", "n_words", "hits"])
 
-        scans.append(docs.select("doc_id", "text").mapInArrow(run, f"doc_id long, n_words long, hits {_HITS}"))
-    if len(scans) == 1:
-        return scans[0]
+        scans.append(rows.mapInArrow(run, f"row long, doc_id long, n_words long, hits {_HITS}"))
+    if own is None:
+        return scans[0].drop("row")
     whole = scans[0]
     for more in scans[1:]:
         whole = whole.union(more)
-    return whole.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("hits")).alias("hits"))  # as many rows a document as parts
+    found = whole.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("hits"))).alias("hits"))  # as many rows a row as parts
+    return own.keep(found.drop("row").mapInArrow(_joined, f"doc_id long, n_words long, hits {_HITS}"))
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of an item that texts in several parts cover, joined as one automaton would have."""
+    for batch in batches:
+        out = []
+        for hits in batch.column("hits").to_pylist():
+            runs: list[dict] = []
+            for h in hits:
+                if runs and runs[-1]["item_id"] == h["item_id"] and h["first_word"] <= runs[-1]["last_word"] + 1:
+                    if h["last_word"] > runs[-1]["last_word"]:
+                        runs[-1] |= {"last_word": h["last_word"], "end": h["end"]}
+                else:
+                    runs.append(h)
+            out.append(runs)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_words"), pa.array(out, _KIND)], ["doc_id", "n_words", "hits"])
 
 
 def digest(scanned: DataFrame) -> DataFrame:

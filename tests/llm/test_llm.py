@@ -208,6 +208,20 @@ def test_decontamination(spark, empty):
     assert decontaminate.scan(empty, i).count() == 0 and decontaminate.scan(d, i.limit(0)).count() == 6
 
 
+def test_decontamination_in_parts(spark, monkeypatch):
+    """Rows that repeat a doc_id, or have none, stay rows of their own, whatever the number of automata."""
+    w = [f"w{i}" for i in range(40)]
+    items = [(i, " ".join(w[i : i + 12])) for i in range(0, 28, 3)] + [(99, " ".join(w[a : a + 3])) for a in range(0, 30, 2)]
+    rows = [(1, " ".join(w)), (1, "none"), (1, " ".join(w[3:20])), (None, " ".join(w[:15])), (None, None), (None, "x y"), (2, " ".join(w[5:30])), (2, " ".join(w[5:30]))]
+    i, d = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(rows, "doc_id long, text string")
+    found = lambda: sorted(map(repr, decontaminate.scan(d, i).collect()))
+    one = found()
+    assert len(one) == len(rows)
+    monkeypatch.setattr(decontaminate, "AUTOMATON_BYTES", 100)
+    assert len(list(decontaminate._parts(i, 10))) > 3
+    assert found() == one
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
