@@ -52,12 +52,13 @@ def scan_licenses(docs: DataFrame, licenses: DataFrame | None = None) -> DataFra
     ``license`` names the known licence that the whole text is, else null. ``notices`` lists, comma-joined
     and sorted, the licences whose known text is a whole paragraph (a line, or lines up to a blank one) of
     it, n_notices counts those names. Null and empty texts have the digest of the empty text and no licence.
-    Repeated rows give repeated results; other columns are ignored. Known digests are joined by hash and
-    only paragraphs of the lengths that occur among them are kept for the join.
+    Repeated rows give repeated results; other columns are ignored. Every paragraph is looked up, whatever
+    its words; ``licenses`` (license, digest) is broadcast, so that no paragraph is shuffled to be found.
     """
     licenses = known(docs.sparkSession) if licenses is None else licenses
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    found = F.filter(F.concat(F.split("text", r"\n"), F.split("text", r"\n[^\S\n]*\n")), lambda p: F.lower(p).rlike("licen|permission"))
+    licenses = F.broadcast(licenses)
+    found = F.array_distinct(F.concat(F.split("text", r"\n"), F.split("text", r"\n[^\S\n]*\n")))
     rows = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", digest(F.col("text")).alias("digest"), F.array_distinct(F.transform(found, digest)).alias("parts"))
     whole = rows.join(licenses, "digest", "left")
     parts = rows.filter(F.size("parts") > 0).select("row", F.explode("parts").alias("digest")).join(licenses, "digest")

@@ -161,6 +161,14 @@ def test_licenses(spark, empty):
     assert licenses.scan_licenses(empty).count() == 0
 
 
+def test_licenses_of_any_wording(spark):
+    """A caller's notices are found whatever their words are."""
+    own = [("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted."), ("PD", "This file is in the public domain."), ("Unlicense", "Anyone is free to copy, modify\nand publish this software.")]
+    rows = [(i, f"First line.\n\n// {t.upper()}\n\nlast") for i, (_, t) in enumerate(own)] + [(7, "nothing\n\nof that")]
+    got = {r.doc_id: (r.notices, r.n_notices) for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"), licenses.known(spark, own)).collect()}
+    assert got == {0: ("BSD-3-Clause", 1), 1: ("PD", 1), 2: ("Unlicense", 1), 7: ("", 0)}
+
+
 def test_packing(spark, empty):
     rows = [(i, random.randrange(0, 250), random.choice("abc") if i % 7 else None, i % 20 if i % 5 else None) for i in range(300)]
     got = packing.pack(spark.createDataFrame(rows, "doc_id long, units long, source string, cluster long"), capacity=100, per_source=2, block_rows=100).toPandas()
