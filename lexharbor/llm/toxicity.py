@@ -11,6 +11,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +22,8 @@ from .hashing import utf8
 
 #: Labelled texts of each class that the fit reads at most, those of the least hashes; and features it keeps.
 SAMPLE, FEATURES = 20_000, 30_000
-#: Standard errors of a feature's log-odds above zero, share of toxic texts that it occurs in (and at least 3), how much commoner it is there, and the weight of the prior in texts.
-SIGMAS, SUPPORT, RATIO, PRIOR = 3.0, 0.02, 10.0, 30.0
+#: Features that chance may add among all that are tried, toxic texts that one occurs in at least, how much commoner it is there, and the weight of the prior in texts.
+FALSE, LEAST, RATIO, PRIOR = 0.01, 3, 10.0, 30.0
 #: Lengths of word beginnings that are features too, and expected segments by chance above which one isn't significant.
 PREFIXES, EXPECT = (4, 5, 6), 0.01
 SCHEMA = "doc_id long, score double, predicted int, passages array<struct<start:int,end:int,bits:double>>"
@@ -113,7 +114,7 @@ def _counts(whole: frozenset[str] | None):
 
 
 def _log_odds(sample: DataFrame, whole: frozenset[str] | None) -> dict[str, float] | None:
-    """Features of significant log-odds with a Dirichlet prior; None where a class is missing."""
+    """Log-odds with a Dirichlet prior of the features that are significant by likelihood ratio; None where a class is missing."""
     counts = sample.mapInArrow(_counts(whole), "feature string, d0 long, d1 long").groupBy("feature").agg(*(F.sum(c).alias(c) for c in ("d0", "d1"))).persist()
     totals = counts.filter("feature = ''").first()
     if totals is None or not totals["d0"] or not totals["d1"]:
@@ -122,9 +123,13 @@ def _log_odds(sample: DataFrame, whole: frozenset[str] | None) -> dict[str, floa
     n0, n1 = F.lit(totals["d0"]), F.lit(totals["d1"])
     prior = F.lit(PRIOR) * (F.col("d0") + F.col("d1")) / (n0 + n1)  # of a feature: its share of all texts
     odds = [F.log((F.col(d) + prior) / (n + F.lit(PRIOR + 1) - F.col(d) - prior)) for d, n in (("d1", n1), ("d0", n0))]
-    error = F.sqrt(1 / (F.col("d1") + prior) + 1 / (F.col("d0") + prior))
-    scored = counts.filter("feature <> ''").withColumn("odds", odds[0] - odds[1]).withColumn("z", F.col("odds") / error)
-    best = scored.filter((F.col("z") >= SIGMAS) & (F.col("d1") >= max(3.0, SUPPORT * totals["d1"])) & (F.col("d1") / totals["d1"] > RATIO * F.col("d0") / totals["d0"])).orderBy(F.desc("z"), "feature").limit(FEATURES).collect()
+    share = F.lit(totals["d1"] / (totals["d0"] + totals["d1"]))
+    both = F.col("d0") + F.col("d1")
+    gain = [F.when(F.col(d) > 0, F.col(d) * F.log(F.col(d) / (both * p))).otherwise(0.0) for d, p in (("d1", share), ("d0", 1 - share))]
+    tried = counts.filter((F.col("feature") != "") & (both >= LEAST))
+    sigmas = NormalDist().inv_cdf(1 - FALSE / max(1, tried.count()))
+    scored = tried.withColumn("odds", odds[0] - odds[1]).withColumn("z", F.sqrt(F.greatest(F.lit(0.0), 2 * (gain[0] + gain[1]))))
+    best = scored.filter((F.col("z") >= sigmas) & (F.col("d1") >= LEAST) & (F.col("d1") / totals["d1"] > RATIO * F.col("d0") / totals["d0"])).orderBy(F.desc("z"), "feature").limit(FEATURES).collect()
     counts.unpersist()
     return {r["feature"]: float(r["odds"]) for r in best}
 
@@ -173,6 +178,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
 
     rows = sample.mapInArrow(sums, "x double, y int").groupBy(F.round("x", 2).alias("x"), "y").count().collect()
     x, y, k = (np.array([r[c] for r in rows], dtype=float) for c in ("x", "y", "count"))
+    mix = {r["toxic"]: r["n"] for r in labels.filter("toxic IN (0, 1)").groupBy(F.col("toxic").cast("int").alias("toxic")).agg(F.count_distinct("doc_id").alias("n")).collect()}
+    whole = k.sum() / sum(mix.values())
+    k = k * np.where(y == 1, mix[1] * whole / k[y == 1].sum(), mix[0] * whole / k[y == 0].sum())  # classes as in all labels
     a, b = 1.0, -1.0
     for _ in range(100):  # Newton steps with a little shrinkage
         p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))

@@ -101,6 +101,27 @@ def test_toxic_segments_and_held_out(spark):
     assert n.get((1, 1), 0) >= 0.9 * sum(v for k, v in n.items() if k[0] == 1) and n[0, 0] >= 0.98 * sum(v for k, v in n.items() if k[0] == 0)
 
 
+def test_varied_toxic_words(spark):
+    """120 toxic words, each in 20 of 1,200 toxic texts: under 2%."""
+    rng = random.Random(4)
+    bad = [hashlib.md5(str(i).encode()).hexdigest()[:8] for i in range(120)]
+    plain = [hashlib.md5(b"p%d" % i).hexdigest()[:8] for i in range(300)]
+    rows = [(i, " ".join([*rng.choices(plain, k=15), *([bad[i % 120], bad[(i + 1) % 120]] if i < 1200 else []), *rng.choices(plain, k=15)]), int(i < 1200)) for i in range(2400)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    got = {(r.toxic, r.predicted): r["count"] for r in toxicity.score_toxicity(d, d).join(d, "doc_id").groupBy("toxic", "predicted").count().collect()}
+    assert got.get((1, 1), 0) >= 1140 and got[0, 0] >= 1188
+
+
+def test_class_mix_of_all_labels(spark, monkeypatch):
+    """Half of the 200 toxic texts look like the 1,000 clean ones: 100 of 1,100 such texts are toxic, sampled or not."""
+    rng = random.Random(6)
+    plain = [hashlib.md5(b"q%d" % i).hexdigest()[:8] for i in range(300)]
+    rows = [(i, " ".join([*rng.choices(plain, k=15), *(["vile", "nasty"] if i < 200 and i % 2 else []), *rng.choices(plain, k=15)]), int(i < 200)) for i in range(1200)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    monkeypatch.setattr(toxicity, "SAMPLE", 150)
+    assert 0.05 < toxicity.fit(d, d).score([]) < 0.14
+
+
 def test_sharding(spark, docs, empty):
     rows = docs.selectExpr("doc_id", "coalesce(text, '') AS group", "octet_length(coalesce(text, '')) + 1L AS size")
     rows = rows.union(rows).union(rows.filter("doc_id = 30").selectExpr("CAST(NULL AS bigint)", "group", "size"))
