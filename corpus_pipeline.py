@@ -42,7 +42,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("toxicity", toxic), ("near_duplicates", near_duplicates), ("decontamination", contamination), ("personal_data", personal), ("packing", packed)]
-#: Log-odds fits, hash bands and bootstrapped patterns aren't SQL; tests compare stages with brute force.
+#: Log-odds fits, hash bands and bootstrapped patterns aren't SQL.
 ORACLE_SQL = None
 
 
