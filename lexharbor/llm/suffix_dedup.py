@@ -1,10 +1,17 @@
-"""Removal of repeated passages by longest-previous-factor flags over the suffixes of the corpus.
-
-A position is removed with the ``length`` bytes from it if its longest previous factor is that long: in
-suffix order, the suffixes that share their first ``length`` bytes lie next to each other, and the nearest
-one of a smaller position on either side is an earlier copy. Only suffixes that can have one are ordered:
-windows are first grouped by the least hash among their ``GRAM``-byte substrings, which equal windows have
-in common, and only groups that occur more than once go on.
+"""Removal of repeated passages by longest previous factors in suffix order.
+
+A position goes, with the ``length`` bytes from it, if its longest previous factor (LPF) is that long. Suffixes are
+ordered over the whole cluster: by the names (64-bit fingerprints) of the first and of the second half of their
+first ``length`` bytes, as in a step of prefix doubling, and then by position. There, suffixes that agree on
+``length`` bytes are neighbours; the previous smaller position of one is the neighbour before it, the next smaller
+one lies outside of them, so the LPF reaches ``length`` exactly where the neighbour before has the same names. The
+order is not needed beyond ``length`` bytes, so LPF values are not told apart beyond it.
+
+Only suffixes that can have an earlier match are ordered. Equal windows of ``length`` bytes have the same least hash
+among their ``GRAM``-byte substrings, their anchor. Runs of windows of the same anchor are sorted by anchor and
+bytes first: whole runs that repeat are settled there, an anchor of one run only has no repeats, and single windows
+are named only where an anchor has several different runs. Hot anchors, names and copies are split: both sorts are
+by range and include the position, so that equal keys may go to several tasks.
 """
 
 from __future__ import annotations
@@ -14,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from .hashing import mix, powers, prefix_hash, utf8
@@ -21,8 +29,11 @@ from .scratch import Scratch
 
 #: Bytes of a repeated string, and of the substrings whose least hash stands for it.
 LENGTH, GRAM = 100, 32
-#: Bytes of a text that are worked on at a time.
-CHUNK = 1 << 20
+#: Bytes of a text that are worked on at a time, and rows of one anchor that a task holds at a time.
+CHUNK, HELD = 1 << 20, 500_000
+_RUN = "anchor long, body long, doc_id long, start int, info long"
+_FOUND = "doc_id long, start int, n int, whole boolean"
+_PLACED = "kind int, part int, x long, y long, doc_id long, start int"
 
 
 def _hashes(c: np.ndarray, at: np.ndarray, size: np.ndarray | int) -> np.ndarray:
@@ -30,12 +41,13 @@ def _hashes(c: np.ndarray, at: np.ndarray, size: np.ndarray | int) -> np.ndarray
 
 
 def runs(a: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """Anchor hash, hash of the bytes, first start and count of each run of windows with the same anchor.
+    """Anchor hash, hash of the bytes, first start and info of each run of windows with the same anchor.
 
-    The anchor is the leftmost substring of least hash. Windows of a run differ in where the anchor lies,
-    so no two of them are equal.
+    The anchor is the leftmost substring of least hash. Windows of a run differ in where the anchor lies, so no
+    two of them are equal. info packs the count of windows and the anchor's place in the first one (12 bits
+    each), and 20 bits each of the hashes of half of the rest before and after the anchor.
     """
-    wide = length - GRAM + 1
+    wide, half = length - GRAM + 1, (length - GRAM) // 2
     for lo in range(0, len(a) - length + 1, CHUNK):
         part = a[lo : lo + CHUNK + length - 1]
         c = prefix_hash(part)
@@ -52,21 +64,25 @@ def runs(a: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, ...]]:
         first = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
         count = np.diff(np.append(first, n))
         anchor = (least[first] & np.uint64((1 << 21) - 1)).astype(np.int64)
-        yield gram[anchor].view(np.int64), mix(_hashes(c, first, count - 1 + length)).view(np.int64), first + lo, count
+        sides = [mix(_hashes(c, np.clip(anchor + off, 0, max(0, len(part) - half)), half)) >> np.uint64(44) for off in (-half, GRAM)]
+        info = count.astype(np.uint64) << np.uint64(52) | (anchor - first).astype(np.uint64) << np.uint64(40) | sides[0] << np.uint64(20) | sides[1]
+        yield gram[anchor].view(np.int64), mix(_hashes(c, first, count - 1 + length)).view(np.int64), first + lo, info.view(np.int64)
+
 
+def _runs(length: int):
+    names = ["anchor", "body", "doc_id", "start", "info"]
 
-def _anchors(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             held, size = [], 0
 
             def made() -> pa.RecordBatch:
-                return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), k) for x, k in zip(zip(*held, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["anchor", "body", "doc_id", "start", "n"])
+                return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held, strict=True)], names)
 
             for doc, text in zip(batch.column("doc_id").to_pylist(), utf8(batch.column("text")), strict=True):
-                for anchor, body, start, n in runs(np.frombuffer(text, dtype=np.uint8), length) if doc is not None else ():
-                    held.append((anchor, body, np.full(len(n), doc), start.astype(np.int32), n.astype(np.int32)))
-                    size += len(n)
+                for anchor, body, start, info in runs(np.frombuffer(text, dtype=np.uint8), length):
+                    held.append((anchor, body, np.full(len(start), doc), start.astype(np.int32), info))
+                    size += len(start)
                     if size > 200_000:
                         yield made()
                         held, size = [], 0
@@ -76,79 +92,155 @@ def _anchors(length: int):
     return run
 
 
-def _sides(length: int):
-    """The windows of chosen runs in two parts: those with half of the rest before the anchor, and after it.
+def _equal(*columns: np.ndarray) -> np.ndarray:
+    """Whether each row equals the one before it in all columns; false for the first."""
+    out = np.zeros(len(columns[0]), dtype=bool)
+    if len(out) > 1:
+        out[1:] = np.logical_and.reduce([c[1:] == c[:-1] for c in columns])
+    return out
+
 
-    Equal windows agree in one of these halves around the same anchor, so (anchor, side, h) must repeat.
+def _chosen(rows: list[np.ndarray], length: int, cut: tuple[bool, bool]) -> pa.RecordBatch:
+    """Sorted runs to whole repeats, and to windows that are to be ordered one by one.
+
+    cut tells whether the first and the last anchor may have more rows elsewhere: these count as having
+    several runs, so a run is settled here only if its first one is.
     """
     half = (length - GRAM) // 2
+    anchor, body, doc, start, info = rows
+    same = _equal(anchor)
+    again = same & _equal(body)
+    group = np.cumsum(~same) - 1
+    groups = group[-1] + 1
+    touched = np.zeros(groups, dtype=bool)
+    touched[0], touched[-1] = touched[0] | cut[0], touched[-1] | cut[1]
+    bits = info.view(np.uint64)
+    n, q = (bits >> np.uint64(52)).astype(np.int64), (bits >> np.uint64(40) & np.uint64(4095)).astype(np.int64)
+    single = ~again & ((np.bincount(group[~again], minlength=groups) > 1) | touched)[group]
+    middle = start + q - half  # of the windows before it, half of the rest or more lies before the anchor
+    parts = [(doc[again], start[again], n[again], np.ones(again.sum(), dtype=bool))]
+    for shift, lo, hi in ((20, start, np.minimum(start + n - 1, middle)), (0, np.maximum(start, middle + 1), start + n - 1)):
+        fit = np.flatnonzero(single & (lo <= hi))
+        key = group[fit] << 20 | (bits[fit] >> np.uint64(shift) & np.uint64(0xFFFFF)).astype(np.int64)
+        _, place, count = np.unique(key, return_inverse=True, return_counts=True)
+        fit = fit[(count[place] > 1) | touched[group[fit]]]
+        parts.append((doc[fit], lo[fit], hi[fit] - lo[fit] + 1, np.zeros(len(fit), dtype=bool)))
+    out = [np.concatenate(x) for x in zip(*parts, strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, (pa.int64(), pa.int32(), pa.int32(), pa.bool_()), strict=True)], ["doc_id", "start", "n", "whole"])
+
+
+def _sorted_runs(length: int):
+    """Over sorted runs, all rows of an anchor at a time; of one with more than HELD rows, in several parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] | None = None
+        opened = True  # more rows of the first anchor may lie in an earlier part
         for batch in batches:
-            for doc, text, spans in zip(batch.column("doc_id").to_pylist(), utf8(batch.column("text")), batch.column("spans").to_pylist(), strict=True):
-                a, out = np.frombuffer(text, dtype=np.uint8), []
-                for lo in range(0, len(a), CHUNK):
-                    own = [s for s in spans if lo <= s["start"] < lo + CHUNK]
-                    if not own:
-                        continue
-                    base = max(0, lo - length)
-                    c = prefix_hash(a[base : lo + CHUNK + 2 * length])
-                    gram = mix(_hashes(c, np.arange(max(0, len(c) - GRAM)), GRAM)).view(np.int64)
-                    for s in own:
-                        at = s["start"] - base
-                        q = at + int(np.argmax(gram[at : at + length - GRAM + 1] == s["anchor"]))
-                        last = at + s["n"] - 1
-                        for side, first, end, edge in ((0, at, min(last, q - half), q - half), (1, max(at, q - half), last, q + GRAM)):
-                            if first <= end and edge >= 0 and edge + half < len(c):
-                                h = mix(_hashes(c, np.array([edge]), half))[0]
-                                out.append((s["anchor"], side, int(h.view(np.int64)), doc, first + base, end - first + 1))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["anchor", "side", "h", "doc_id", "start", "n"])
+            new = [batch.column(i).to_numpy() for i in range(5)]
+            rows = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
+            if not len(rows[0]):
+                continue
+            rows = [x[~_equal(*rows[:4])] for x in rows]  # a row that repeats a doc_id
+            cut = int(np.searchsorted(rows[0], rows[0][-1]))
+            if len(rows[0]) - cut > HELD:
+                yield _chosen([x[:-1] for x in rows], length, (opened, True))
+                held, opened = [x[-1:] for x in rows], True
+            else:
+                if cut:
+                    yield _chosen([x[:cut] for x in rows], length, (opened, False))
+                    opened = False
+                held = [x[cut:] for x in rows]
+        if held is not None:
+            yield _chosen(held, length, (opened, True))
 
     return run
 
 
+def _lists(column: pa.Array, *fields: str) -> tuple[np.ndarray, ...]:
+    """Offsets and flat fields of a list of structs; null lists are empty."""
+    sizes = column.value_lengths().fill_null(0).to_numpy()
+    flat = column.flatten()
+    return np.concatenate(([0], np.cumsum(sizes))), *(flat.field(f).to_numpy(zero_copy_only=False).astype(np.int64) for f in fields)
+
+
 def _windows(length: int):
-    """The windows of chosen runs as (key, other key, doc_id, start)."""
+    """The chosen windows of each text as (x, y, doc_id, start): names of the halves of their bytes."""
+    half = length - length // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc, text, spans in zip(batch.column("doc_id").to_pylist(), utf8(batch.column("text")), batch.column("spans").to_pylist(), strict=True):
+            cuts, first, count = _lists(batch.column("spans"), "start", "n")
+            for i, (doc, text) in enumerate(zip(batch.column("doc_id").to_pylist(), utf8(batch.column("text")), strict=True)):
+                f, n = first[cuts[i] : cuts[i + 1]], count[cuts[i] : cuts[i + 1]]
+                at = np.repeat(f - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
                 a = np.frombuffer(text, dtype=np.uint8)
-                for lo in range(0, len(a), CHUNK):
-                    at = [np.arange(max(s["start"], lo), min(s["start"] + s["n"], lo + CHUNK)) for s in spans if s["start"] < lo + CHUNK and s["start"] + s["n"] > lo]
-                    if at:
-                        at = np.concatenate(at)
-                        part = a[lo : lo + CHUNK + length]
-                        c = prefix_hash(part)
-                        x, y = mix(_hashes(c, at - lo, length)), mix(_hashes(c, at - lo, length // 2)) ^ mix(_hashes(c, at - lo + length // 3, length // 2) + np.uint64(1))
-                        yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(y.view(np.int64)), pa.array(np.full(len(at), doc), pa.int64()), pa.array(at.astype(np.int32))], ["x", "y", "doc_id", "start"])
+                chunk = at // CHUNK
+                for k in np.unique(chunk):
+                    own = at[chunk == k]
+                    c = prefix_hash(a[k * CHUNK : (k + 1) * CHUNK + length])
+                    x, y = (mix(_hashes(c, own - k * CHUNK + off, size)) for off, size in ((0, half), (half, length - half)))
+                    yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(y.view(np.int64)), pa.array(np.full(len(own), doc), pa.int64()), pa.array(own.astype(np.int32))], ["x", "y", "doc_id", "start"])
 
     return run
 
 
+def _previous(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over sorted names: kind 0 for suffixes whose previous smaller position has the same names; 1 and 2 for the task's ends.
+
+    The first suffix of a task may have it in an earlier task, which the ends tell.
+    """
+    part, last, names = TaskContext.get().partitionId(), None, ["kind", "part", "x", "y", "doc_id", "start"]
+    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        own = [batch.column(i).to_numpy() for i in range(4)]
+        if last is None:
+            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip([1, part, *(int(x[0]) for x in own)], kinds, strict=True)], names)
+        rows = own if last is None else [np.concatenate(x) for x in zip(last, own, strict=True)]
+        rows = [x[~_equal(*rows)] for x in rows]  # a row that repeats a doc_id
+        hit = np.flatnonzero(_equal(rows[0], rows[1]))
+        n, zero = len(hit), np.zeros(len(hit), dtype=np.int64)
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array(zero.astype(np.int32)), pa.array(np.full(n, part, dtype=np.int32)), pa.array(zero), pa.array(zero), pa.array(rows[2][hit]), pa.array(rows[3][hit])], names)
+        last = [x[-1:] for x in rows]
+    if last is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip([2, part, *(int(x[0]) for x in last)], kinds, strict=True)], names)
+
+
+def _ends_found(ends: list) -> list[tuple[int, int]]:
+    """(doc_id, start) of the first suffixes of tasks that have the names of the last suffix of the task before."""
+    out, last = [], None
+    for r in sorted(ends, key=lambda r: (r["part"], r["kind"])):
+        key = (r["x"], r["y"], r["doc_id"], r["start"])
+        if r["kind"] == 1 and last is not None and last[:2] == key[:2] and last != key:
+            out.append(key[2:])
+        last = key
+    return out
+
+
 def _cut(length: int):
-    """Each text without the bytes that its spans cover: sizes, kept text's hash and the kept bytes."""
+    """Each text without the bytes that its spans cover: sizes, kept text's hash and the removed ranges."""
+    kinds = [*[pa.int64()] * 4, pa.string(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for doc, text, spans, copy in zip(batch.column("doc_id").to_pylist(), utf8(batch.column("text")), batch.column("spans").to_pylist(), batch.column("copy").to_pylist(), strict=True):
-                gone: list[list[int]] = [[0, len(text)]] if copy and len(text) >= length else []
-                for s in sorted((s["start"], s["start"] + s["n"] - 1 + length) for s in spans or ()):
-                    if not copy:
-                        if gone and s[0] <= gone[-1][1]:
-                            gone[-1][1] = max(gone[-1][1], s[1])
-                        else:
-                            gone.append(list(s))
-                at, kept = 0, []
-                for lo, hi in gone:
-                    kept.append(text[at:lo])
-                    at = hi
-                kept = b"".join([*kept, text[at:]])
-                out.append((doc, len(text), len(text) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), [{"start": lo, "end": hi} for lo, hi in gone]))
+            cuts, first, count = _lists(batch.column("spans"), "start", "n")
+            for i, (doc, text, copy) in enumerate(zip(batch.column("doc_id").to_pylist(), utf8(batch.column("text")), batch.column("copy").to_pylist(), strict=True)):
+                lo, hi = np.empty(0, np.int64), np.empty(0, np.int64)
+                if copy and len(text) >= length:
+                    lo, hi = np.array([0]), np.array([len(text)])
+                elif not copy and cuts[i] < cuts[i + 1]:
+                    order = np.argsort(first[cuts[i] : cuts[i + 1]], kind="stable")
+                    s = first[cuts[i] : cuts[i + 1]][order]
+                    e = np.maximum.accumulate(s + count[cuts[i] : cuts[i + 1]][order] - 1 + length)
+                    new = np.concatenate(([True], s[1:] > e[:-1]))
+                    lo, hi = s[new], e[np.append(np.flatnonzero(new)[1:] - 1, len(s) - 1)]
+                gone = list(zip(lo.tolist(), hi.tolist(), strict=True))
+                kept = b"".join(text[a:b] for a, b in zip([0, *hi.tolist()], [*lo.tolist(), len(text)], strict=True)) if gone else text
+                out.append((doc, len(text), len(text) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), [{"start": a, "end": b} for a, b in gone]))
             if out:
-                kinds = [*[pa.int64()] * 4, pa.string(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed"])
 
     return run
@@ -157,47 +249,33 @@ def _cut(length: int):
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """One row per row of docs (doc_id, text): n_bytes, n_removed, n_spans, kept_sha256, removed (byte ranges).
 
-    Each byte that is covered by a ``length``-byte string which also starts earlier (smaller doc_id, or
-    same document, earlier start) is removed; strings are judged on the input. A null text is empty; texts
-    shorter than ``length`` stay whole. A row of null doc_id stays whole and gives no earlier strings. Rows
-    that repeat a doc_id with the same text are judged as the one document they are. Extra columns are
-    ignored; an empty table gives an empty result.
+    Each byte that is covered by a ``length``-byte string which also starts earlier (smaller doc_id, or same
+    document, earlier start) is removed; strings are judged on the input. A null text is empty; texts shorter
+    than ``length`` stay whole. A row of null doc_id stays whole and gives no earlier strings. Rows that repeat
+    a doc_id with the same text are judged as the one document they are. Extra columns are ignored; an empty
+    table gives an empty result.
 
-    Whole texts that repeat are copies of the first and need no search. Groups of windows are reduced to
-    their first members by aggregation; only where one anchor has several of those do single windows go on.
+    Whole texts that repeat are copies of the first and need no search. What a task holds is bounded by its
+    batches and HELD; the driver reads two rows for each task of the last sort.
     """
+    if not GRAM < length < GRAM + 4095:
+        raise ValueError(f"length must lie between {GRAM + 1} and {GRAM + 4094}")
     spark = docs.sparkSession
     scratch = Scratch(spark, "suffix")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    prints = docs.select("doc_id", F.xxhash64("text").alias("h"), F.sha2("text", 256).substr(1, 16).alias("g"))
-    first = prints.filter("doc_id IS NOT NULL").groupBy("h", "g").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    prints = docs.filter("doc_id IS NOT NULL").select("doc_id", F.xxhash64("text").alias("h"), F.unhex(F.md5("text")).alias("g"))
+    first = prints.groupBy("h", "g").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first <> last").drop("last")
     copies = scratch.save(prints.join(first, ["h", "g"]).filter("doc_id <> first").select("doc_id").distinct(), "copies")
-    table = f"lexharbor_{scratch.root.rsplit('-', 1)[1]}"
-    parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    marked = docs.join(copies.withColumn("copy", F.lit(True)), "doc_id", "left").withColumn("copy", F.coalesce("copy", F.lit(False)))
-    # texts are laid out by doc_id once, for both later joins
-    with scratch.tidy():
-        marked.repartition(parts, "doc_id").write.option("compression", "zstd").bucketBy(parts, "doc_id").saveAsTable(table)
-    try:
-        texts = spark.table(table)
-        all_runs = texts.filter("NOT copy AND doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(_anchors(length), "anchor long, body long, doc_id long, start int, n int")
-        all_runs = scratch.save(all_runs, "runs")
-        often = all_runs.groupBy("anchor").agg(F.count("*").alias("k"), (F.min("body") != F.max("body")).alias("several")).filter("k > 1").drop("k")
-        shared = scratch.save(all_runs.join(often, "anchor"), "shared", (all_runs,))
-        firsts = scratch.save(shared.groupBy("anchor", "body").agg(F.min(F.struct("doc_id", "start", "n", "several")).alias("f"), F.count("*").alias("k")), "firsts")
-        again = scratch.save(shared.join(firsts.filter("k > 1").select("anchor", "body", F.col("f.doc_id").alias("d"), F.col("f.start").alias("s")), ["anchor", "body"]).filter("doc_id <> d OR start <> s").select("doc_id", "start", "n"), "again", (shared,))
-        ordered = firsts.filter("f.several").select("anchor", "f.doc_id", "f.start", "f.n").groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "anchor")).alias("spans"))
-        found = texts.filter("NOT copy").select("doc_id", "text").join(ordered, "doc_id").mapInArrow(_sides(length), "anchor long, side int, h long, doc_id long, start int, n int")
-        sides = scratch.save(found, "sides", (firsts,))
-        alike = sides.groupBy("anchor", "side", "h").agg(F.count("*").alias("k")).filter("k > 1").drop("k")
-        ordered = sides.join(alike, ["anchor", "side", "h"]).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
-        windows = texts.filter("NOT copy").select("doc_id", "text").join(ordered, "doc_id").mapInArrow(_windows(length), "x long, y long, doc_id long, start int")
-        windows = scratch.save(windows, "windows", (sides,))
-        # suffixes with the same first bytes: all but the smallest position have a previous factor of this length
-        least = windows.groupBy("x", "y").agg(F.min(F.struct("doc_id", "start")).alias("f"), F.count("*").alias("k")).filter("k > 1").select("x", "y", "f")
-        later = scratch.save(windows.join(least, ["x", "y"]).filter("doc_id <> f.doc_id OR start <> f.start").select("doc_id", "start", F.lit(1).alias("n")), "later", (windows,))
-        gone = again.union(later).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
-        out = texts.join(gone, "doc_id", "left").select("doc_id", "text", "spans", "copy")
-        return scratch.keep(out.mapInArrow(_cut(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<start:int,end:int>>"))
-    finally:
-        spark.sql(f"DROP TABLE IF EXISTS {table}")
+    own = docs.filter((F.octet_length("text") >= length) & F.col("doc_id").isNotNull()).join(copies, "doc_id", "left_anti")
+    every = scratch.save(own.mapInArrow(_runs(length), _RUN), "runs")
+    order = ["anchor", "body", "doc_id", "start"]
+    found = scratch.save(every.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_sorted_runs(length), _FOUND), "found", (every,))
+    spans = found.filter("NOT whole").groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+    windows = scratch.save(docs.join(spans, "doc_id").mapInArrow(_windows(length), "x long, y long, doc_id long, start int"), "windows")
+    order = ["x", "y", "doc_id", "start"]
+    later = scratch.save(windows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_previous, _PLACED), "later", (windows,))
+    ends = spark.createDataFrame(_ends_found(later.filter("kind > 0").collect()), "doc_id long, start int")
+    gone = later.filter("kind = 0").select("doc_id", "start").union(ends).select("doc_id", "start", F.lit(1).alias("n")).union(found.filter("whole").select("doc_id", "start", "n"))
+    gone = gone.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+    out = docs.join(gone, "doc_id", "left").join(copies.withColumn("copy", F.lit(True)), "doc_id", "left").select("doc_id", "text", "spans", F.coalesce("copy", F.lit(False)).alias("copy"))
+    return scratch.keep(out.mapInArrow(_cut(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<start:int,end:int>>"))
