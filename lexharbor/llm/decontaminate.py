@@ -1,11 +1,13 @@
-"""Benchmark decontamination: one Aho-Corasick automaton over the windows of all items."""
+"""Benchmark decontamination: one Aho-Corasick automaton over the windows of all items.
+
+The automaton reads words, each as two characters of the item vocabulary's code, so a window is as long as its
+words are many and not as they are long; words that no item has break every match.
+"""
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 from collections.abc import Iterator
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -17,9 +19,11 @@ from .scratch import Scratch
 
 #: Consecutive item words that make a window.
 WINDOW = 10
-#: UTF-8 bytes of item text that one automaton holds; larger benchmarks are scanned for in several.
-AUTOMATON_BYTES = 8_000_000
+#: Item words that one automaton holds, at about 1 kB each (170,000 words of 30,000 types took 160 MB); larger
+#: benchmarks are scanned for in several parts, one after the other. Words of an item that are dealt together.
+AUTOMATON_WORDS, PIECE = 300_000, 10_000
 WORD = re.compile("[0-9a-z\u0080-\U0010ffff]+")
+_JAVA_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _HITS = "array<struct<item_id:bigint,first_word:int,last_word:int,start:int,end:int>>"
 _KIND = pa.list_(pa.struct([("item_id", pa.int64()), *((x, pa.int32()) for x in ("first_word", "last_word", "start", "end"))]))
 
@@ -29,51 +33,64 @@ def normal(text: bytes) -> str:
     return text.lower().decode("utf-8", "replace")
 
 
-def _windows(items: list[tuple[int, bytes]], size: int) -> dict[str, list[int]]:
-    found: dict[str, set[int]] = defaultdict(set)
-    for item, text in items:
-        words = WORD.findall(normal(text))
-        for i in range(max(1, len(words) - size + 1) if words else 0):
-            found[f" {' '.join(words[i : i + size])} "].add(item)
-    return {k: sorted(v) for k, v in found.items()}
-
-
-def _spans(low: str, words: list[str], joined: str, automaton) -> list[dict]:
-    """Maximal runs of words that each item covers, with offsets in the original text."""
-    hits = list(automaton.iter(joined))
-    if not hits:
-        return []
-    ends = np.array(list(accumulate(len(w) + 1 for w in words)))  # of each word's space in the joined text
-    place = [(m.start(), m.end()) for m in WORD.finditer(low)]
-    by_item: dict[int, list[list[int]]] = {}
-    for end, (n, owners) in hits:
-        last = int(np.searchsorted(ends, end))
-        for item in owners:
-            runs, first = by_item.setdefault(item, []), last - n + 1
-            while runs and first <= runs[-1][1] + 1:
-                first = min(first, runs.pop()[0])
-            runs.append([first, last])
-    return [{"item_id": k, "first_word": a, "last_word": b, "start": place[a][0], "end": place[b][1]} for k in sorted(by_item) for a, b in by_item[k]]
+class Windows:
+    """Item windows as an automaton over the coded words of a text."""
+
+    def __init__(self, pieces: list[tuple[int, list[str]]], size: int):
+        import ahocorasick
+
+        names = sorted({w for _, words in pieces for w in words})
+        base = max(2, int(np.ceil(np.sqrt(len(names) + 1))))
+        letters = [chr(0x100 + i) for i in range(base)]
+        self.code = {w: letters[i // base] + letters[i % base] for i, w in enumerate(names)}
+        owners: dict[str, set[int]] = {}
+        for item, words in pieces:
+            coded = [self.code[w] for w in words]
+            for i in range(max(1, len(words) - size + 1) if words else 0):
+                owners.setdefault("".join(coded[i : i + size]), set()).add(item)
+        self.automaton = ahocorasick.Automaton()
+        for text, own in owners.items():
+            self.automaton.add_word(text, (len(text) // 2, sorted(own)))
+        if owners:
+            self.automaton.make_automaton()
+        self.empty = not owners
+
+    def _found(self, words: list[str]) -> Iterator[tuple[int, int, list[int]]]:
+        """First and last word of each window's place, and the items that have it."""
+        if not self.empty:
+            get = self.code.get
+            for end, (n, own) in self.automaton.iter("".join([get(w, "\0\0") for w in words])):
+                if end % 2:  # else it ends within a word's code
+                    yield end // 2 - n + 1, end // 2, own
+
+    def any(self, text: bytes) -> bool:
+        return next(self._found(WORD.findall(normal(text))), None) is not None
+
+    def spans(self, text: bytes) -> tuple[int, list[dict]]:
+        """The number of words, and the maximal runs of words that each item covers, with offsets in the original text."""
+        low = normal(text)
+        words = WORD.findall(low)
+        by_item: dict[int, list[list[int]]] = {}
+        for first, last, own in self._found(words):
+            for item in own:
+                runs, at = by_item.setdefault(item, []), first
+                while runs and at <= runs[-1][1] + 1:
+                    at = min(at, runs.pop()[0])
+                runs.append([at, last])
+        place = [m.span() for m in WORD.finditer(low)] if by_item else []
+        return len(words), [{"item_id": k, "first_word": a, "last_word": b, "start": place[a][0], "end": place[b][1]} for k in sorted(by_item) for a, b in by_item[k]]
 
 
 def _parts(items: DataFrame, window: int) -> Iterator[Broadcast]:
-    """The windows of all items, in parts of bounded size."""
-    items = items.filter("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("binary").alias("text")).distinct()
-    parts = max(1, -(-(items.agg(F.sum(F.length("text"))).first()[0] or 0) // AUTOMATON_BYTES))
+    """Pieces of the items' words, (item_id, words), in parts of bounded size. Long items are cut so that each window is whole in a piece."""
+    words = F.regexp_extract_all(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(_JAVA_WORD), F.lit(0))
+    own = items.filter("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), words.alias("words"))
+    cut = own.select("item_id", "words", F.explode(F.sequence(F.lit(0), F.greatest(F.size("words") - window, F.lit(0)), F.lit(PIECE))).alias("at"))
+    cut = cut.select("item_id", F.slice("words", F.col("at") + 1, PIECE + window - 1).alias("words")).filter(F.size("words") > 0).distinct()
+    parts = max(1, -(-(cut.agg(F.sum(F.size("words"))).first()[0] or 0) // AUTOMATON_WORDS))
     for part in range(parts):
-        own = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).collect()  # of bounded size
-        yield items.sparkSession.sparkContext.broadcast(_windows([(r[0], bytes(r[1])) for r in own], window))
-
-
-def _automaton(windows: dict[str, list[int]]):
-    import ahocorasick
-
-    automaton = ahocorasick.Automaton()
-    for text, owners in windows.items():
-        automaton.add_word(text, (text.count(" ") - 1, owners))
-    if windows:
-        automaton.make_automaton()
-    return automaton
+        rows = cut.filter(F.pmod(F.xxhash64("item_id", "words"), F.lit(parts)) == part).collect()  # of bounded size
+        yield items.sparkSession.sparkContext.broadcast([(r[0], r[1]) for r in rows])
 
 
 def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -81,51 +98,55 @@ def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     for shared in _parts(items, window):
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            automaton = _automaton(shared.value)
+            windows = Windows(shared.value, window)
             for batch in batches:
-                keep = [not shared.value or next(automaton.iter(f" {' '.join(WORD.findall(normal(t)))} "), None) is None for t in utf8(batch.column("text"))]
-                yield batch.filter(pa.array(keep, pa.bool_()))
+                yield batch.filter(pa.array([not windows.any(t) for t in utf8(batch.column("text"))], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs
 
 
+def _scanned(rows: DataFrame, shared: Broadcast, window: int, row: str | None) -> DataFrame:
+    """n_words and hits of each row; with a row id, rows without hits are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        windows = Windows(shared.value, window)
+        for batch in batches:
+            found = [windows.spans(t) for t in utf8(batch.column("text"))]
+            out = pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([n for n, _ in found], pa.int64()), pa.array([h for _, h in found], _KIND)], [row or "doc_id", "n_words", "hits"])
+            yield out.filter(pa.array([bool(h) for _, h in found], pa.bool_())) if row else out
+
+    return rows.mapInArrow(run, f"{row or 'doc_id'} long, n_words long, hits {_HITS}")
+
+
 def scan(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, n_words and hits, the runs of words that items cover.
 
     Words are runs of 0-9, a-z (A-Z counting as a-z) and characters beyond ASCII. Each run of ``window``
     words of an item (item_id, text) is sought; an item of fewer words, but not none, is sought whole. Null
     texts have no words, null item_ids are left out, repeated items count once, other columns are ignored.
-    The benchmark is read in parts of bounded size, one automaton each; with several parts, rows get an id
-    of their own, written once, by which what the parts find comes together.
-    """
-    parts = list(_parts(items, window))
-    rows, own = docs.select(F.lit(0).cast("long").alias("row"), "doc_id", "text"), None
-    if len(parts) > 1:
-        own = Scratch(docs.sparkSession, "scan")
-        rows = own.save(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "rows")
-    scans = []
-    for shared in parts:
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            automaton = _automaton(shared.value)
-            for batch in batches:
-                count, hits = [], []
-                for text in utf8(batch.column("text")):
-                    low = normal(text)
-                    words = WORD.findall(low)
-                    count.append(len(words))
-                    hits.append(_spans(low, words, f" {' '.join(words)} ", automaton) if words and shared.value else [])
-                yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id").cast(pa.int64()), pa.array(count, pa.int64()), pa.array(hits, _KIND)], ["row", "doc_id", "n_words", "hits"])
-
-        scans.append(rows.mapInArrow(run, f"row long, doc_id long, n_words long, hits {_HITS}"))
-    if own is None:
-        return scans[0].drop("row")
-    whole = scans[0]
-    for more in scans[1:]:
+    The benchmark is read in parts of bounded size, one automaton each. With several parts, rows get an id of
+    their own, written once; what each part finds is written before the next is read, and only rows with hits
+    are brought together by that id, so repeated and null doc_ids stay rows of their own.
+    """
+    parts = _parts(items, window)
+    first, second = next(parts), next(parts, None)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if second is None:
+        return _scanned(rows, first, window, None)
+    own, found = Scratch(docs.sparkSession, "scan"), []
+    rows = own.save(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
+    for shared in (first, second, *parts):
+        found.append(own.save(_scanned(rows.select("row", "text"), shared, window, "row").drop("n_words"), "hits"))
+        shared.unpersist()
+    whole = found[0]
+    for more in found[1:]:
         whole = whole.union(more)
-    found = whole.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("hits"))).alias("hits"))  # as many rows a row as parts
-    return own.keep(found.drop("row").mapInArrow(_joined, f"doc_id long, n_words long, hits {_HITS}"))
+    joined = whole.groupBy("row").agg(F.array_sort(F.flatten(F.collect_list("hits"))).alias("hits")).mapInArrow(_joined, f"row long, hits {_HITS}")  # as many rows a row as parts
+    low = F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    counted = rows.select("row", "doc_id", F.regexp_count(low, F.lit(_JAVA_WORD)).cast("long").alias("n_words"))
+    return own.keep(counted.join(joined, "row", "left").select("doc_id", "n_words", F.coalesce("hits", F.array().cast(_HITS)).alias("hits")))
 
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,7 +162,7 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 else:
                     runs.append(h)
             out.append(runs)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_words"), pa.array(out, _KIND)], ["doc_id", "n_words", "hits"])
+        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(out, _KIND)], ["row", "hits"])
 
 
 def digest(scanned: DataFrame) -> DataFrame:

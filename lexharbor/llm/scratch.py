@@ -23,6 +23,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have, in any spelling of case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 class Scratch:
     """Tables of one operator run; ``keep`` writes the result and removes all others."""
 

@@ -6,6 +6,7 @@ import re
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from lexharbor.llm import decontaminate, licenses, near_dedup, packing, pii, queries, sharding, suffix_dedup, tiff, toxicity, url_filter
 
@@ -167,12 +168,39 @@ def test_personal_data(spark, empty):
                 if kind == "email" or kind == "ip" and all(int(p) < 256 for p in m[0].split(".")) or kind == "card" and 13 <= len(d) <= 19 and luhn(d) or kind == "phone" and 9 <= len(d) <= 15:
                     yield f"{kind}:{m.start()}:{m.end()}"
 
-    got = pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", pii.listed("base").alias("base"), pii.masked().alias("masked")).collect()
+    got = pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "text", "spans", pii.listed("base").alias("base"), pii.masked().alias("masked")).collect()
     assert {r.doc_id: r.base for r in got} == {i: ",".join(spans(t or "")) for i, t in rows}
     assert next(r.masked for r in got if r.doc_id == 3) == "a@[EMAIL] x@y..z [IP].[IP] 300.1.1.1 4111 1111-1111 1111 [PHONE]"
+    for r in got:
+        cut, at = "", 0
+        for x in sorted(r.spans, key=lambda x: (x.s, x.e, x.k)):
+            if x.s >= at:
+                cut += f"{r.text[at : x.s]}[{x.kind.upper()}]"
+            at = max(at, x.e)
+        assert r.masked == cut + r.text[at:]
     assert pii.find_personal_data(empty).count() == 0
 
 
+def test_personal_data_of_a_long_text(spark):
+    """100,000 addresses in one text, with names of columns that the operator uses itself."""
+    text = " ".join(f"u{i}@é{i}.example.com" for i in range(100_000))
+    rows = spark.createDataFrame([(1, text.replace("é", "x"), "a", "b"), (None, "é " * 50_000 + "mail a@b.c", "a", "b")], "doc_id long, text string, text_key string, more string")
+    got = pii.find_personal_data(rows).select("doc_id", "text_key", "more", F.size("base").alias("n"), F.element_at("base", -1).alias("last"), F.sha2(pii.masked(), 256).alias("m"))
+    assert sorted((r.n, r.last.s, r.last.e, r.text_key, r.m) for r in got.collect()) == [(1, 100_005, 100_010, "a", hashlib.sha256(("é " * 50_000 + "mail [EMAIL]").encode()).hexdigest()), (100_000, len(text) - len("u99999@x99999.example.com"), len(text), "a", hashlib.sha256(" ".join(["[EMAIL]"] * 100_000).encode()).hexdigest())]
+
+
+def test_discovered_identifiers(spark):
+    """Numbers that a fixed form misses are found where the words around known ones stand, and not elsewhere."""
+    rng = random.Random(8)
+    plain = lambda n: " ".join(hashlib.md5(str(rng.random()).encode()).hexdigest()[:5].translate(str.maketrans("0123456789", "ghijklmnop")) for _ in range(n))
+    rows = [(i, f"{plain(4)} reach support at agent{i}@corp{i % 7}.example.com anytime {plain(3)}") for i in range(60)]
+    rows += [(100 + i, f"{plain(4)} the host address {rng.randrange(256)}.{rng.randrange(256)}.{rng.randrange(256)}.{rng.randrange(256)} responded {plain(3)}") for i in range(60)]
+    rows += [(200, f"{plain(3)} reach support at agent_x9@corp anytime {plain(3)}"), (201, f"{plain(3)} the host address 10.1.2.300 responded {plain(2)}")]
+    rows += [(300 + i, f"{plain(3)} item {i}_{i * 7}@lot {plain(3)}") for i in range(30)] + [(400 + i, f"{plain(2)} version {i}.1.2.300 of it {plain(3)}") for i in range(30)]
+    got = {r.doc_id: [(x.kind, r.text[x.s : x.e]) for x in r.spans if x not in r.base] for r in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: x for i, x in got.items() if x} == {200: [("email", "agent_x9@corp")], 201: [("ip", "10.1.2.300")]}
+
+
 def test_licenses(spark, empty):
     mit = next(t for n, t in licenses.KNOWN if n == "MIT" and len(t) > 100)
     rows = [(1, None), (2, ""), (3, "Copyright 2020 Someone\n\n" + mit.upper().replace('"', "'")), (4, "text\nReleased under the MIT licence!\nLicensed under CC BY-NC 4.0.\n"), (4, "text\nReleased under the MIT licence!\nLicensed under CC BY-NC 4.0.\n")]
@@ -246,9 +274,11 @@ def test_decontamination_in_parts(spark, monkeypatch):
     found = lambda: sorted(map(repr, decontaminate.scan(d, i).collect()))
     one = found()
     assert len(one) == len(rows)
-    monkeypatch.setattr(decontaminate, "AUTOMATON_BYTES", 100)
+    monkeypatch.setattr(decontaminate, "AUTOMATON_WORDS", 30)
+    monkeypatch.setattr(decontaminate, "PIECE", 2)
     assert len(list(decontaminate._parts(i, 10))) > 3
     assert found() == one
+    assert sorted((r.doc_id is None, r.text or "") for r in decontaminate.clean(d, i).collect()) == [(False, "none"), (True, ""), (True, "x y")]
 
 
 def test_pipeline(spark):
