@@ -1,27 +1,23 @@
-"""Licence scans by canonical digests, in DataFrame functions only."""
+"""Licence scans by canonical digests, in DataFrame functions only.
+
+A text's canonical form is its words without copyright lines, in one spelling. Entire texts are looked up by the
+digest of that form, and so is every stretch of a text that begins like a known licence and has as many words, so
+that layout, comment marks and what stands around a licence don't matter.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-#: Notices and short licences with the name that each stands for.
-KNOWN = [
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("MIT", "Released under the MIT License."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    (
-        "MIT",
-        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\n\nTHE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
-    ),
-    (
-        "ISC",
-        'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.\n\nTHE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.',
-    ),
-]
+from .license_texts import KNOWN
+
 #: Equivalent spellings, after lower-casing and the reduction to words.
-SPELLINGS = [("licence", "license"), ("licenced", "licensed"), ("licences", "licenses"), ("sublicence", "sublicense"), ("organisation", "organization"), ("merchantibility", "merchantability"), ("non infringement", "noninfringement"), ("copyright owners", "copyright holders"), ("https", "http")]
-_COPYRIGHT = r"(?m)^[^\S\n]*(?:[#*/;-]+[^\S\n]*)?(?:copyright|\(c\)|\x{00A9}|all rights reserved)[^\n]*$"
+SPELLINGS = [("licence", "license"), ("licenced", "licensed"), ("licences", "licenses"), ("sublicence", "sublicense"), ("organisation", "organization"), ("merchantibility", "merchantability"), ("non infringement", "noninfringement"), ("copyright owner", "copyright holder"), ("copyright owners", "copyright holders"), ("https", "http")]
+#: A line that begins with a copyright notice: the word, with a year, a sign, a placeholder or ``by`` in the same
+#: line (a wrapped line of a licence may begin with the word alone), or the sign, or the reservation of rights.
+COPYRIGHT = r"(?m)^[^\p{L}\p{N}\n(\x{00A9}]*(?:copyright[^\n]*(?:\(c\)|\x{00A9}|[0-9]{4}|[\[<{])|copyright\s+by\b|\(c\)|\x{00A9}|all rights reserved)[^\n]*$"
+#: Words by which a known text is sought within others (shorter ones are only looked up as entire texts), and known texts up to which their table is broadcast.
+HEAD, BROADCAST_ROWS = 3, 100_000
 
 
 def canonical(text: Column) -> Column:
@@ -29,7 +25,7 @@ def canonical(text: Column) -> Column:
 
     Each substitution is one pass; punctuation, dashes, quotes and white space all become one blank.
     """
-    out = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), _COPYRIGHT, "")
+    out = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), COPYRIGHT, "")
     out = F.concat(F.lit(" "), F.trim(F.regexp_replace(out, r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
     for old, new in SPELLINGS:
         out = F.replace(out, F.lit(f" {old} "), F.lit(f" {new} "))
@@ -41,27 +37,36 @@ def digest(text: Column) -> Column:
 
 
 def known(spark: SparkSession, texts: list[tuple[str, str]] = KNOWN) -> DataFrame:
-    """(license, digest) of known texts, a digest once: the least name."""
-    table = spark.createDataFrame(texts, "license string, text string")
-    return table.groupBy(digest(F.col("text")).alias("digest")).agg(F.min("license").alias("license"))
+    """(license, digest, head, n) of known texts, a digest once: the least name; head is the first words, n the number of words."""
+    table = spark.createDataFrame(texts, "license string, text string").withColumn("c", canonical(F.col("text"))).filter("c <> ''")
+    return table.groupBy(F.sha2("c", 256).alias("digest")).agg(F.min("license").alias("license"), F.first(F.substring_index("c", " ", HEAD)).alias("head"), F.first(F.size(F.split("c", " "))).alias("n"))
 
 
 def scan_licenses(docs: DataFrame, licenses: DataFrame | None = None) -> DataFrame:
     """One row per row of docs (doc_id, text): digest, license, n_notices, notices.
 
-    ``license`` names the known licence that the whole text is, else null. ``notices`` lists, comma-joined
-    and sorted, the licences whose known text is a whole paragraph (a line, or lines up to a blank one) of
-    it, n_notices counts those names. Null and empty texts have the digest of the empty text and no licence.
-    Repeated rows give repeated results; other columns are ignored. Every paragraph is looked up, whatever
-    its words; ``licenses`` (license, digest) is broadcast, so that no paragraph is shuffled to be found.
+    ``license`` names the known licence that the entire text is, else null. ``notices`` lists, comma-joined and
+    sorted, the licences whose words stand anywhere in the text, n_notices counts those names. Null and empty
+    texts have the digest of the empty text and no licence. Repeated rows give repeated results; other columns
+    are ignored. ``licenses`` is as from ``known``; its heads and lengths, a few bytes a licence, are read by
+    the driver. It is broadcast only up to BROADCAST_ROWS; a repeated digest counts as its least name.
     """
-    licenses = known(docs.sparkSession) if licenses is None else licenses
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    licenses = F.broadcast(licenses)
-    found = F.array_distinct(F.concat(F.split("text", r"\n"), F.split("text", r"\n[^\S\n]*\n")))
-    rows = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", digest(F.col("text")).alias("digest"), F.array_distinct(F.transform(found, digest)).alias("parts"))
-    whole = rows.join(licenses, "digest", "left")
-    parts = rows.filter(F.size("parts") > 0).select("row", F.explode("parts").alias("digest")).join(licenses, "digest")
+    licenses = known(docs.sparkSession) if licenses is None else licenses.groupBy("digest").agg(F.min("license").alias("license"), F.first("head").alias("head"), F.first("n").alias("n"))
+    marks = [r for r in licenses.select("head", "n").distinct().collect() if r["n"] >= HEAD]
+    names = licenses.select("digest", "license")
+    if licenses.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        names = F.broadcast(names)
+    rows = docs.select("doc_id", canonical(F.col("text")).alias("c")).select(F.monotonically_increasing_id().alias("row"), "doc_id", F.sha2("c", 256).alias("digest"), F.split("c", " ").alias("w"))
+    whole = rows.drop("w").join(names, "digest", "left")
+    # where a known text may begin, then the digests of as many words; each array is evaluated once a row
+    three = F.transform(F.arrays_zip("w", *(F.slice("w", i + 1, F.greatest(F.size("w") - i, F.lit(0))).alias(f"w{i}") for i in range(1, HEAD))), lambda x, i: F.struct((i + 1).alias("i"), F.concat_ws(" ", x.w, *(x[f"w{j}"] for j in range(1, HEAD))).alias("head")))
+    begins = F.filter(three, lambda x: x.head.isin(sorted({r["head"] for r in marks})))
+    sizes = F.array(*(F.struct(F.lit(r["head"]).alias("head"), F.lit(r["n"]).alias("n")) for r in marks)) if marks else F.array().cast("array<struct<head:string,n:int>>")
+    def digests(w: Column) -> Column:
+        at = lambda x: F.transform(F.filter(sizes, lambda s: (s.head == x.head) & (x.i + s.n - 1 <= F.size(w))), lambda s: F.sha2(F.array_join(F.slice(w, x.i, s.n), " "), 256))
+        return F.flatten(F.transform(begins, at))
+
+    parts = rows.select("row", F.explode(F.array_distinct(F.flatten(F.transform(F.array("w"), digests)))).alias("digest")).join(names, "digest")
     named = parts.groupBy("row").agg(F.array_sort(F.collect_set("license")).alias("names"))
     out = whole.join(named, "row", "left")
     return out.select("doc_id", "digest", "license", F.coalesce(F.array_join("names", ","), F.lit("")).alias("notices"), F.coalesce(F.size("names"), F.lit(0)).cast("long").alias("n_notices"))

@@ -26,15 +26,20 @@ MEMBERS = 256
 BROADCAST_IDS = 1_000_000
 #: Documents up to which a shingle counts as rare: pairs that share it are listed, and it bounds what others share.
 RARE = 8
+#: Rows of a bucket on either side whose pairs one join key holds; the pairs of larger buckets are dealt over several.
+CELL = 1024
 
 _RNG = np.random.default_rng(7)
-_A = _RNG.integers(0, 2**31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-_B = _RNG.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32)
+_A = _RNG.integers(0, 2**64, BANDS * ROWS, dtype=np.uint64)
+_B = _RNG.integers(0, 2**64, BANDS * ROWS, dtype=np.uint64)
 _C = _RNG.integers(1, 2**63, ROWS + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def signatures(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of the non-empty sets, and their minima under each hash ``a * x + b`` modulo 2**32."""
+    """Rows of the non-empty sets, and their minima under each hash: the upper half of ``a * x + b`` modulo 2**64.
+
+    With random a and b, and x of 32 bits, the hashes of any two x are independent.
+    """
     full = np.flatnonzero(np.diff(offsets))
     out = np.empty((len(full), BANDS * ROWS), dtype=np.uint32)
     lo = 0
@@ -42,10 +47,10 @@ def signatures(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
         hi = max(lo + 1, np.searchsorted(offsets, offsets[full[lo]] + 100_000, "right") - 1)
         hi = int(np.searchsorted(full, hi)) if hi > full[lo] else lo + 1
         hi = max(hi, lo + 1)
-        x = (values[offsets[full[lo]] : offsets[full[hi - 1] + 1]] >> np.uint64(32)).astype(np.uint32)
+        x = (values[offsets[full[lo]] : offsets[full[hi - 1] + 1]] >> np.uint64(32))
         cut = offsets[full[lo:hi]] - offsets[full[lo]]
         for j in range(BANDS * ROWS):
-            out[lo:hi, j] = np.minimum.reduceat(x * _A[j] + _B[j], cut)
+            out[lo:hi, j] = np.minimum.reduceat(x * _A[j] + _B[j], cut) >> np.uint64(32)
         lo = hi
     return full, out
 
@@ -182,11 +187,17 @@ def _possible(named: DataFrame, texts: DataFrame, sketches: DataFrame, k: int, p
     both = side(posted, "a", "s").join(side(posted, "b", "s"), (F.col("sa") == F.col("sb")) & (F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")))
     listed = both.groupBy("a", "b", "size_a", "size_b", least.alias("most")).count().filter(enough(F.col("most") + F.col("count")))
     named = named.select("band", "doc_id").join(named.groupBy("doc_id").agg(F.collect_set("band").alias("bands")).join(able, "doc_id"), "doc_id")  # at most BANDS of them
-    main = named.groupBy("band", "c").count().groupBy("band").agg(F.max(F.struct("count", "c")).getField("c").alias("main"))
-    minor = side(named.join(main, "band").filter("c <> main"), "a", "band", "bands", "main")  # the bucket's commonest component meets only the others
+    sizes = named.groupBy("band", "c").count().groupBy("band").agg(F.sum("count").alias("all"), F.max(F.struct("count", "c")).alias("most"))
+    sizes = sizes.select("band", F.col("most.c").alias("main"), F.greatest(F.lit(1), F.ceil((F.col("all") - F.col("most.count")) / CELL)).alias("high"), F.ceil(F.col("all") / CELL).alias("wide"))
+    dealt = named.join(sizes, "band")
+    spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    # the bucket's commonest component meets only the others; each pair meets in one cell of the bucket's square
+    minor = dealt.filter("c <> main").withColumn("row", F.pmod(F.xxhash64("doc_id"), F.col("high"))).withColumn("column", spread("wide"))
+    every = dealt.withColumn("column", F.pmod(F.xxhash64("doc_id"), F.col("wide"))).withColumn("row", spread("high"))
+    minor, every = side(minor, "a", "band", "bands", "main", "row", "column"), side(every, "b", "band", "bands", "row", "column")
     apart = (F.col("c_a") != F.col("c_b")) & ((F.col("c_b") == F.col("maina")) | (F.col("a") < F.col("b")))
     once = F.array_min(F.array_intersect("bandsa", "bandsb")) == F.col("banda")  # of the buckets that a pair shares, one lists it
-    near = minor.join(side(named, "b", "band", "bands"), (F.col("banda") == F.col("bandb")) & apart & enough(least) & once)
+    near = minor.join(every, (F.col("banda") == F.col("bandb")) & (F.col("rowa") == F.col("rowb")) & (F.col("columna") == F.col("columnb")) & apart & enough(least) & once)
     return near.select("a", "b").union(listed.select("a", "b")).distinct()
 
 

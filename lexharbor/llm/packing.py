@@ -64,7 +64,8 @@ def pack(docs: DataFrame, units: str = "units", source: str = "source", cluster:
     """
     blocks = max(1, -(-docs.count() // block_rows))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(units).cast("long"), F.lit(0)).alias("units"), F.col(source).cast("string").alias("source"), F.col(cluster).cast("string").alias("cluster"))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "cluster"), F.lit(blocks)).cast("long"))
+    spread = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())  # else all rows of null doc_id and one text meet
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "cluster", spread), F.lit(blocks)).cast("long"))
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         packer, out = Packer(capacity, per_source), []

@@ -100,18 +100,17 @@ FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT root, min(node) AS c FROM r GROUP
 
 
 def _canonical_sql(text: str) -> str:
-    out = rf"regexp_replace(lower(coalesce({text}, '')), '(?m)^[^\S\n]*(?:[#*/;-]+[^\S\n]*)?(?:copyright|\(c\)|\x{{00A9}}|all rights reserved)[^\n]*$', '', 'g')"
+    out = f"regexp_replace(lower(coalesce({text}, '')), '{licenses.COPYRIGHT}', '', 'g')"
     out = rf"' ' || trim(regexp_replace({out}, '[^\p{{L}}\p{{N}}]+', ' ', 'g')) || ' '"
     for old, new in licenses.SPELLINGS:
         out = f"replace({out}, ' {old} ', ' {new} ')"
-    return f"sha256(trim({out}))"
+    return f"trim({out})"
 
 
 _KNOWN = ", ".join("('{}', '{}')".format(n, t.replace("'", "''")) for n, t in licenses.KNOWN)
 ORACLE["op7_license_scan"] = f"""
-WITH k AS (SELECT min(n) AS license, {_canonical_sql("t")} AS digest FROM (VALUES {_KNOWN}) v(n, t) GROUP BY 2),
-d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
-p AS (SELECT doc_id, unnest(list_filter(list_concat(string_split(text, chr(10)), regexp_split_to_array(text, '\\n[^\\S\\n]*\\n')), lambda x: regexp_matches(lower(x), 'licen|permission'))) AS part FROM d),
-n AS (SELECT doc_id, string_agg(license, ',' ORDER BY license) AS notices, count(*) AS n_notices FROM (SELECT DISTINCT p.doc_id, k.license FROM p JOIN k ON k.digest = {_canonical_sql("p.part")}) GROUP BY 1)
-SELECT d.doc_id, {_canonical_sql("d.text")} AS digest, k.license, coalesce(n.notices, '') AS notices, coalesce(n.n_notices, 0) AS n_notices
-FROM d LEFT JOIN k ON k.digest = {_canonical_sql("d.text")} LEFT JOIN n ON n.doc_id = d.doc_id"""
+WITH k AS (SELECT min(n) AS license, c, min(len(string_split(c, ' '))) AS n FROM (SELECT n, {_canonical_sql("t")} AS c FROM (VALUES {_KNOWN}) v(n, t)) GROUP BY 2),
+d AS (SELECT doc_id, {_canonical_sql("text")} AS c FROM documents),
+n AS (SELECT doc_id, string_agg(license, ',' ORDER BY license) AS notices, count(*) AS n_notices FROM (SELECT DISTINCT d.doc_id, k.license FROM d JOIN k ON k.n >= {licenses.HEAD} AND contains(' ' || d.c || ' ', ' ' || k.c || ' ')) GROUP BY 1)
+SELECT d.doc_id, sha256(d.c) AS digest, k.license, coalesce(n.notices, '') AS notices, coalesce(n.n_notices, 0) AS n_notices
+FROM d LEFT JOIN k ON k.c = d.c LEFT JOIN n ON n.doc_id = d.doc_id"""

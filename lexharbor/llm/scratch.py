@@ -18,11 +18,28 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; only where that is unset, as in tests, a new temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="lexharbor-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+#: Results of operators that the session still reads.
+_KEPT: list[str] = []
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Results that operators keep within are removed at the end: what was made of them has been written by then."""
+    before = len(_KEPT)
+    try:
+        yield
+    finally:
+        Scratch(spark, "passing").drop(*_KEPT[before:])
+        del _KEPT[before:]
+
+
 def unused(df: DataFrame, name: str) -> str:
     """A column name that df doesn't have, in any spelling of case."""
     taken = {c.lower() for c in df.columns}
@@ -80,10 +97,16 @@ class Scratch:
             p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(hadoop).delete(p, True)
 
+    def clear(self) -> None:
+        """Remove every table of this run."""
+        self.drop(*self.paths)
+        self.paths, self.tables, self.held = [], {}, []
+
     def keep(self, df: DataFrame) -> DataFrame:
         """Write the result, remove everything else of this run, and return the result."""
         old = list(self.paths)
         out = self.save(df, "result")
         self.drop(*old)
         self.paths = self.paths[-1:]
+        _KEPT.append(self.paths[0])
         return out

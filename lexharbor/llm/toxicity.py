@@ -1,8 +1,9 @@
 """Toxic passages as maximum-scoring segments of token log-odds.
 
-Log-odds of a word, or of its beginning, come from labelled texts with a Dirichlet prior; a linear scan
-finds every maximal segment of a text; the segments' scores are judged by the extreme-value law of such
-maxima, and a logistic curve maps what a text has in all to the label.
+Every word of the labelled texts has signed log-odds with a Dirichlet prior, shrunk by how far they may be chance;
+words that are seldom seen take those of their beginning. A linear scan finds every maximal segment of a text; the
+segments' scores are judged by the extreme-value law of such maxima in clean texts, and a logistic curve maps a
+text's best segment, significant or not, and its mean log-odds to the label.
 """
 
 from __future__ import annotations
@@ -10,27 +11,29 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
-from statistics import NormalDist
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .decontaminate import WORD, normal
 from .hashing import utf8
-
-#: Labelled texts of each class that the fit reads at most, those of the least hashes; and features it keeps.
-SAMPLE, FEATURES = 20_000, 30_000
-#: Features that chance may add among all that are tried, toxic texts that one occurs in at least, how much commoner it is there, and the weight of the prior in texts.
-FALSE, LEAST, RATIO, PRIOR = 0.01, 3, 10.0, 30.0
-#: Lengths of word beginnings that are features too, and expected segments by chance above which one isn't significant.
-PREFIXES, EXPECT = (4, 5, 6), 0.01
+from .scratch import Scratch
+
+#: Labelled texts of each class that the fit reads at most, those of the least hashes. All else is fitted on every one of them.
+SAMPLE = 20_000
+#: Weight of the prior in texts, and standard deviations up to which log-odds count as chance and are shrunk to 0.
+PRIOR, SHRINK = 30.0, 3.0
+#: Texts from which a word is known by itself, and lengths of the beginnings that stand for other words.
+ATTESTED, PREFIXES = 8, (6, 5, 4)
+#: What a passage must outweigh for each of its words, and expected segments by chance above which one isn't significant.
+DRIFT, EXPECT = 0.5, 0.01
 SCHEMA = "doc_id long, score double, predicted int, passages array<struct<start:int,end:int,bits:double>>"
 
 
-def features(word: str) -> list[str]:
-    return [word, *(word[:n] + "*" for n in PREFIXES if len(word) > n)]
+def beginnings(word: str) -> list[str]:
+    return [word[:n] + "*" for n in PREFIXES if len(word) > n]
 
 
 def segments(scores: list[float]) -> list[tuple[int, int, float]]:
@@ -60,30 +63,43 @@ def segments(scores: list[float]) -> list[tuple[int, int, float]]:
 
 @dataclass
 class Model:
-    weights: dict[str, float]
-    rest: float
-    decay: float
-    scale: float
-    curve: tuple[float, float]
-
-    def weight(self, word: str) -> float:
-        return max((self.weights.get(f, self.rest) for f in features(word)), default=self.rest)
-
-    def passages(self, words: list[str], known: dict[str, float]) -> list[tuple[int, int, float]]:
-        """Significant segments of a text: first and last word and bits beyond chance."""
-        scores = []
+    """Log-odds of words and beginnings; of each also those without one text of class 0 or 1, for texts that the model was fitted on."""
+
+    weights: list[dict[str, float]]
+    decay: float = 1.0
+    scale: float = 1.0
+    curve: tuple[float, float, float] = (1.0, 0.0, -2.0)
+    held: list[dict[str, float]] = field(default_factory=lambda: [{}, {}, {}])
+
+    def weight(self, word: str, own: int) -> float:
+        table = self.weights[own]
+        found = table.get(word)
+        if found is None:
+            found = next((x for b in beginnings(word) if (x := table.get(b)) is not None), 0.0)
+        return found
+
+    def odds(self, words: list[str], own: int = 2) -> list[float]:
+        """Log-odds of each word; own is the class of a text of the sample, whose own part in them is left out."""
+        held = self.held[own]
+        if len(held) > 500_000:
+            held.clear()
+        out = []
         for w in words:
-            s = known.get(w)
-            if s is None:
-                s = known[w] = self.weight(w)
-            scores.append(s)
-        if not scores or max(scores) <= 0:
-            return []
-        noise = math.log(self.scale * len(words))
-        return [(a, b, bits) for a, b, s in segments(scores) if (bits := self.decay * s - noise) > -math.log(EXPECT)]
-
-    def score(self, bits: list[float]) -> float:
-        x = self.curve[0] * math.log1p(max(bits, default=0.0)) + self.curve[1]
+            x = held.get(w)
+            if x is None:
+                x = held[w] = self.weight(w, own)
+            out.append(x)
+        return out
+
+    def judge(self, words: list[str], own: int = 2) -> tuple[float, float, list[tuple[int, int, float]]]:
+        """Bits of the best segment beyond chance, mean log-odds, and the significant segments: first and last word and bits."""
+        odds = self.odds(words, own)
+        noise = math.log(self.scale * max(1, len(words)))
+        found = [(a, b, self.decay * s - noise) for a, b, s in segments([x - DRIFT for x in odds])] if odds and max(odds) > DRIFT else []
+        return max((bits for _, _, bits in found), default=-noise), sum(odds) / (len(odds) + 10), [x for x in found if x[2] > -math.log(EXPECT)]
+
+    def score(self, best: float, mean: float) -> float:
+        x = self.curve[0] * math.asinh(best) + self.curve[1] * mean + self.curve[2]
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, x))))
 
 
@@ -96,115 +112,121 @@ def _sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id").dropDuplicates(["text", "toxic"])  # a copy tells nothing new
 
 
-def _counts(whole: frozenset[str] | None):
-    """Texts in which each word occurs, by class, summed within the task; or each beginning of words outside ``whole``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts: dict[int, Counter] = {0: Counter(), 1: Counter()}
-        for batch in batches:
-            for kind, text in zip(batch.column("toxic").to_pylist(), utf8(batch.column("text")), strict=True):
-                words = set(WORD.findall(normal(text)))
-                texts[kind].update((words if whole is None else {f for w in words - whole for f in features(w)[1:]}) | {""})
-        keys = sorted({*texts[0], *texts[1]})
-        columns = [pa.array([c[k] for k in keys], pa.int64()) for c in (texts[0], texts[1])]
-        for i in range(0, len(keys), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + 50_000], pa.string()), *(c.slice(i, 50_000) for c in columns)], ["feature", "d0", "d1"])
-
-    return run
-
-
-def _log_odds(sample: DataFrame, whole: frozenset[str] | None) -> dict[str, float] | None:
-    """Log-odds with a Dirichlet prior of the features that are significant by likelihood ratio; None where a class is missing."""
-    counts = sample.mapInArrow(_counts(whole), "feature string, d0 long, d1 long").groupBy("feature").agg(*(F.sum(c).alias(c) for c in ("d0", "d1"))).persist()
-    totals = counts.filter("feature = ''").first()
-    if totals is None or not totals["d0"] or not totals["d1"]:
-        counts.unpersist()
-        return None
-    n0, n1 = F.lit(totals["d0"]), F.lit(totals["d1"])
-    prior = F.lit(PRIOR) * (F.col("d0") + F.col("d1")) / (n0 + n1)  # of a feature: its share of all texts
-    odds = [F.log((F.col(d) + prior) / (n + F.lit(PRIOR + 1) - F.col(d) - prior)) for d, n in (("d1", n1), ("d0", n0))]
-    share = F.lit(totals["d1"] / (totals["d0"] + totals["d1"]))
-    both = F.col("d0") + F.col("d1")
-    gain = [F.when(F.col(d) > 0, F.col(d) * F.log(F.col(d) / (both * p))).otherwise(0.0) for d, p in (("d1", share), ("d0", 1 - share))]
-    tried = counts.filter((F.col("feature") != "") & (both >= LEAST))
-    sigmas = NormalDist().inv_cdf(1 - FALSE / max(1, tried.count()))
-    scored = tried.withColumn("odds", odds[0] - odds[1]).withColumn("z", F.sqrt(F.greatest(F.lit(0.0), 2 * (gain[0] + gain[1]))))
-    best = scored.filter((F.col("z") >= sigmas) & (F.col("d1") >= LEAST) & (F.col("d1") / totals["d1"] > RATIO * F.col("d0") / totals["d0"])).orderBy(F.desc("z"), "feature").limit(FEATURES).collect()
-    counts.unpersist()
-    return {r["feature"]: float(r["odds"]) for r in best}
-
-
-def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
-    """A model from labelled texts, toxic 0 or 1; None where either class is missing."""
-    sample = _sample(docs, labels)
-    weights = _log_odds(sample, None)
-    if weights is None:
-        return None
-    weights |= _log_odds(sample, frozenset(weights)) or {}  # beginnings count only what words don't explain
-    # chance: words of clean texts score as they do in the sample
-    shared = sample.sparkSession.sparkContext.broadcast(weights)
-
-    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter = Counter()
-        for batch in batches:
-            for kind, text in zip(batch.column("toxic").to_pylist(), utf8(batch.column("text")), strict=True):
-                if not kind:
-                    for w, n in Counter(WORD.findall(normal(text))).items():
-                        found[round(max((shared.value.get(f, 0.0) for f in features(w))), 3)] += n
-        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.float64()), pa.array(list(found.values()), pa.int64())], ["s", "n"])
-
-    seen = {r["s"]: r["n"] for r in sample.mapInArrow(clean, "s double, n long").groupBy("s").agg(F.sum("n").alias("n")).collect()}  # at most as many as features
-    rest = -0.5
-    n = max(1, sum(seen.values()))
-    law = {s if s > 0 else rest: (c + (s <= 0)) / n for s, c in seen.items()} or {rest: 1.0}
-    law[1.0] = law.get(1.0, 0.0) + 1.0 / n
-    lo, hi = 0.0, 1.0  # the positive root of sum p * exp(decay * s) = 1
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts in which each word and beginning occurs, by class, summed within the task, with the least and greatest word of each."""
+    texts: dict[int, Counter] = {0: Counter(), 1: Counter()}
+    for batch in batches:
+        for kind, text in zip(batch.column("toxic").to_pylist(), utf8(batch.column("text")), strict=True):
+            words = set(WORD.findall(normal(text)))
+            texts[kind].update(words | {b for w in words for b in beginnings(w)} | {""})
+    keys = sorted({*texts[0], *texts[1]})
+    low, high = {}, {}
+    for w in keys:
+        for b in (w, *beginnings(w)) if not w.endswith("*") else ():
+            low.setdefault(b, w)
+            high[b] = w
+    columns = [pa.array(keys, pa.string()), *(pa.array([c[k] for k in keys], pa.int64()) for c in (texts[0], texts[1])), *(pa.array([c.get(k) for k in keys], pa.string()) for c in (low, high))]
+    for i in range(0, len(keys), 50_000):
+        yield pa.RecordBatch.from_arrays([c.slice(i, 50_000) for c in columns], ["feature", "d0", "d1", "low", "high"])
+
+
+def log_odds(d0: Column, d1: Column, n0: int, n1: int) -> Column:
+    """Log-odds of being in a text of class 1 against 0, with a Dirichlet prior of PRIOR texts, by the share of all
+    texts, shrunk towards 0 by the square of SHRINK over the likelihood ratio's standard deviations."""
+    both = d0 + d1
+    prior = F.lit(PRIOR) * both / (n0 + n1)
+    odds = [F.log((d + prior) / (n + PRIOR + 1 - d - prior)) for d, n in ((d1, n1), (d0, n0))]
+    gain = [F.when(d > 0, d * F.log(d * (n0 + n1) / (both * n))).otherwise(0.0) for d, n in ((d1, n1), (d0, n0))]
+    out = (odds[0] - odds[1]) * F.greatest(F.lit(0.0), 1 - F.lit(SHRINK**2) / F.greatest(F.lit(1e-9), 2 * (gain[0] + gain[1])))
+    return F.when((both > 0) & (d0 >= 0) & (d1 >= 0), out).otherwise(0.0)
+
+
+def _weights(counts: DataFrame, n: list[int]) -> list[dict[str, float]]:
+    """Of features without one text of class 0, without one of class 1, and with all; as many as a bounded sample has words."""
+    d0, d1 = F.col("d0"), F.col("d1")
+    own = [log_odds(d0 - 1, d1, n[0] - 1, n[1]), log_odds(d0, d1 - 1, n[0], n[1] - 1), log_odds(d0, d1, *n)]
+    word = ~F.col("feature").endswith("*")
+    rows = counts.filter("feature <> ''").select("feature", (word & (d0 + d1 >= ATTESTED)).alias("known"), (word | (F.col("low") < F.col("high"))).alias("fit"), *(x.alias(f"w{i}") for i, x in enumerate(own)))
+    rows = rows.filter("fit AND (known OR w0 <> 0 OR w1 <> 0 OR w2 <> 0)").collect()
+    return [{r["feature"]: round(r[f"w{i}"], 6) for r in rows if r["known"] or r[f"w{i}"]} for i in range(3)]
+
+
+def _root(law: dict[float, float]) -> float:
+    """The positive root of sum p * exp(x * s) = 1; the mean of s is negative."""
     mean = lambda x: sum(p * math.exp(min(600.0, x * s)) for s, p in law.items()) / sum(law.values())
+    lo, hi = 0.0, 1.0
     while mean(hi) < 1 and hi < 64:
         lo, hi = hi, 2 * hi
     for _ in range(60):
         mid = (lo + hi) / 2
         lo, hi = (mid, hi) if mean(mid) < 1 else (lo, mid)
-    chance = sum(p for s, p in law.items() if s > 0)
-    model = Model(weights, rest, max(hi, 0.05), max(chance, 1.0 / n), (4.0, -2.0))
-    # the curve: logistic regression on what each text of the sample has, at most twice SAMPLE numbers
-    every = sample.sparkSession.sparkContext.broadcast(model)
+    return max(hi, 0.05)
 
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, float] = {}
-        for batch in batches:
-            x = [math.log1p(max((b for _, _, b in every.value.passages(WORD.findall(normal(t)), known)), default=0.0)) for t in utf8(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.float64()), batch.column("toxic").cast(pa.int32())], ["x", "y"])
-
-    rows = sample.mapInArrow(sums, "x double, y int").groupBy(F.round("x", 2).alias("x"), "y").count().collect()
-    x, y, k = (np.array([r[c] for r in rows], dtype=float) for c in ("x", "y", "count"))
-    mix = {r["toxic"]: r["n"] for r in labels.filter("toxic IN (0, 1)").groupBy(F.col("toxic").cast("int").alias("toxic")).agg(F.count_distinct("doc_id").alias("n")).collect()}
-    whole = k.sum() / sum(mix.values())
-    k = k * np.where(y == 1, mix[1] * whole / k[y == 1].sum(), mix[0] * whole / k[y == 0].sum())  # classes as in all labels
-    a, b = 1.0, -1.0
-    for _ in range(100):  # Newton steps with a little shrinkage
-        p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
-        g = np.array([(k * (p - y) * x).sum() + 0.1 * a, (k * (p - y)).sum() + 0.01 * b])
-        w = k * p * (1 - p)
-        h = np.array([[(w * x * x).sum() + 0.1, (w * x).sum()], [(w * x).sum(), w.sum() + 0.01]])
-        step = np.clip(np.linalg.solve(h, g), -1, 1)
-        a, b = a - step[0], b - step[1]
+
+def _curve(x: np.ndarray, y: np.ndarray, k: np.ndarray) -> tuple[float, float, float]:
+    """Logistic regression on two numbers and a constant, by Newton steps with a little shrinkage."""
+    x = np.column_stack([x, np.ones(len(x))])
+    ridge, w = np.array([0.1, 0.1, 0.01]), np.array([1.0, 0.0, -1.0])
+    for _ in range(200):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.clip(np.linalg.solve((x * (k * p * (1 - p))[:, None]).T @ x + np.diag(ridge), x.T @ (k * (p - y)) + ridge * w), -1, 1)
+        w = w - step
         if abs(step).max() < 1e-9:
             break
-    model.curve = (float(round(max(a, 0.1), 9)), float(round(b, 9)))
-    return model
+    return tuple(float(round(v, 9)) for v in w)
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
+    """A model from labelled texts, toxic 0 or 1; None where either class is missing."""
+    scratch = Scratch(docs.sparkSession, "toxicity")
+    try:
+        sample = scratch.save(_sample(docs, labels), "sample")
+        counts = sample.mapInArrow(_counts, "feature string, d0 long, d1 long, low string, high string").groupBy("feature").agg(*(F.sum(c).alias(c) for c in ("d0", "d1")), F.min("low").alias("low"), F.max("high").alias("high"))
+        counts = scratch.save(counts, "counts")
+        totals = counts.filter("feature = ''").first()
+        if totals is None or not totals["d0"] or not totals["d1"]:
+            return None
+        model = Model(_weights(counts, [totals["d0"], totals["d1"]]))
+        share = docs.sparkSession.sparkContext.broadcast(model)
+
+        def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found: Counter = Counter()
+            for batch in batches:
+                for kind, text in zip(batch.column("toxic").to_pylist(), utf8(batch.column("text")), strict=True):
+                    if not kind:
+                        found.update(round(x, 2) for x in share.value.odds(WORD.findall(normal(text)), 0))
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.float64()), pa.array(list(found.values()), pa.int64())], ["s", "n"])
+
+        # chance: words of clean texts score as they do in the sample; a few hundred distinct scores
+        seen = {r["s"]: r["n"] for r in sample.mapInArrow(clean, "s double, n long").groupBy("s").agg(F.sum("n").alias("n")).collect()} or {0.0: 1}
+        n = sum(seen.values())
+        model.decay = _root({s - DRIFT: c for s, c in seen.items()} | {1.0: seen.get(1.0 + DRIFT, 0) + 1.0})
+        model.scale = max(sum(c for s, c in seen.items() if s > DRIFT), 1) / n
+        every = docs.sparkSession.sparkContext.broadcast(model)
+
+        def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                kinds = batch.column("toxic").to_pylist()
+                x = [every.value.judge(WORD.findall(normal(t)), k)[:2] for k, t in zip(kinds, utf8(batch.column("text")), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array([math.asinh(b) for b, _ in x], pa.float64()), pa.array([m for _, m in x], pa.float64()), pa.array(kinds, pa.int32())], ["x", "m", "y"])
+
+        # the curve reads at most twice SAMPLE rows of two numbers
+        rows = sample.mapInArrow(judged, "x double, m double, y int").groupBy(F.round("x", 2).alias("x"), F.round("m", 3).alias("m"), "y").count().orderBy("x", "m", "y").collect()
+        x, y, k = np.array([(r["x"], r["m"]) for r in rows]), np.array([r["y"] for r in rows], dtype=float), np.array([r["count"] for r in rows], dtype=float)
+        mix = {r["toxic"]: r["n"] for r in labels.filter("toxic IN (0, 1)").groupBy(F.col("toxic").cast("int").alias("toxic")).agg(F.count_distinct("doc_id").alias("n")).collect()}
+        whole = k.sum() / sum(mix.values())
+        model.curve = _curve(x, y, k * np.where(y == 1, mix[1] * whole / k[y == 1].sum(), mix[0] * whole / k[y == 0].sum()))  # classes as in all labels
+        return Model([{}, {}, model.weights[2]], model.decay, model.scale, model.curve)
+    finally:
+        scratch.clear()
 
 
 def _judged(model: Model | None, texts: list[bytes]) -> tuple[list[float], list[list[dict]]]:
-    known: dict[str, float] = {}
     scores, found = [], []
     for text in texts:
-        low, own = normal(text), []
-        if model is not None:
-            if len(known) > 500_000:
-                known.clear()
-            own = model.passages(WORD.findall(low), known)
-        scores.append(model.score([b for _, _, b in own]) if model is not None else 0.0)
+        low = normal(text)
+        best, mean, own = model.judge(WORD.findall(low)) if model is not None else (0.0, 0.0, [])
+        scores.append(model.score(best, mean) if model is not None else 0.0)
         place = [m.span() for m in WORD.finditer(low)] if own else []
         found.append([{"start": place[a][0], "end": place[b - 1][1], "bits": bits} for a, b, bits in own])
     return scores, found
@@ -214,9 +236,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per row of docs (doc_id, text): score from 0 to 1, predicted (1 from 0.5), passages.
 
     ``labels`` (doc_id, toxic) are what the model may learn from. Passages are significant segments with
-    their offsets in the text and bits beyond chance. Null and empty texts have no words and the score of a
-    text without passages; without labels of both classes every score is 0. Null labels are left out, rows
-    that repeat are scored each, other columns are never read.
+    their offsets in the text and bits beyond chance. Null and empty texts have no words and are scored as
+    such; without labels of both classes every score is 0. Null labels are left out, rows that repeat are
+    scored each, other columns are never read.
     """
     fitted = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
 

@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
 #: Globs over host and path, for URLs that no rule fits: ``?`` one character and ``*`` any, except a slash; ``**`` any at all.
 GLOBS = [("block", "*ads-track.**"), ("block", "ads.**"), ("block", "**/login?.php"), ("block", "**.exe"), ("allow", "**")]
+#: Bytes of the states of all texts that are run together.
+STATE_BYTES = 1 << 24
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _ANY, _ONE, _MANY, _ALL = 256, 257, 258, 259
 
@@ -52,14 +54,19 @@ class Automaton:
                     stay[slash if x == _MANY else slice(None), at // 64] |= np.uint64(1 << at % 64)
             self.ends.append(at)
             at += 1
-        self.step, self.stay = step, stay
+        self.step, self.stay, self.ends, self.final = step, stay, np.array(self.ends, dtype=np.int64), np.zeros(self.words, dtype=np.uint64)
+        for e in self.ends:
+            self.final[e // 64] |= np.uint64(1 << int(e) % 64)
 
-    def run(self, texts: list[bytes]) -> np.ndarray:
-        """A row of booleans, one per pattern, for each text."""
+    def run(self, texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Rows of texts, and for each the numbers of the patterns that match it whole: as (text, pattern), sorted.
+
+        Texts are run together, as many as keep the state within STATE_BYTES.
+        """
         order = np.argsort([-len(t) for t in texts], kind="stable")
-        out = np.zeros((len(texts), len(self.ends)), dtype=bool)
-        for lo in range(0, len(order), 4096):
-            rows = order[lo : lo + 4096]
+        step = int(max(16, min(4096, STATE_BYTES // (8 * self.words))))
+        for lo in range(0, len(order), step):
+            rows = order[lo : lo + step]
             own = [texts[i] for i in rows]
             size = np.array([len(t) for t in own])
             at = np.concatenate(([0], np.cumsum(size)))[:-1]
@@ -71,8 +78,18 @@ class Automaton:
                 moved = s << np.uint64(1)
                 moved[:, 1:] |= s[:, :-1] >> np.uint64(63)
                 state[:n] = (moved & self.step[c]) | (s & self.stay[c])
-            for k, e in enumerate(self.ends):
-                out[rows, k] = (state[:, e // 64] >> np.uint64(e % 64)) & np.uint64(1) == 1
+            final = state & self.final
+            text, word = np.nonzero(final)
+            for bit in range(64):
+                hit = np.flatnonzero(final[text, word] >> np.uint64(bit) & np.uint64(1))
+                if len(hit):
+                    yield rows[text[hit]], np.searchsorted(self.ends, word[hit] * 64 + bit)
+
+    def first(self, texts: list[bytes]) -> np.ndarray:
+        """The number of the first pattern that matches each text, or the number of patterns."""
+        out = np.full(len(texts), len(self.ends))
+        for text, pattern in self.run(texts):
+            np.minimum.at(out, text, pattern)
         return out
 
 
@@ -91,27 +108,20 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str]] = RULES, globs: l
 
     The longest fitting rule decides; without one, rule is null and the first glob that matches host and
     path decides, or else allow. A null url, or one without ``://``, has an empty host and path. Repeated
-    rows are judged alike; other columns are ignored. The rules are a parameter, not data: they don't grow.
+    rows are judged alike; other columns are ignored. Rules are held
+    by every task: one takes as many bits as it has characters, in 512 masks, so 10,000 rules of 20 characters take 26 MB.
     """
     order = sorted(rules, key=lambda r: -len(r[1]))
+    # of patterns that match, the first decides: longest rules, then globs in their order
     patterns = [p for _, r in order for body in [[*r.encode(), _ALL]] for p in (body, [_MANY, 0x2E, *body])] + [_glob(g) for _, g in globs]
+    verdicts = [v for v, _ in order for _ in range(2)] + [v for v, _ in globs] + ["allow"]
+    names = [r for _, r in order for _ in range(2)] + [None] * (len(globs) + 1)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = Automaton(patterns)
         for batch in batches:
-            hit = automaton.run([(h + p).encode() for h, p in zip(batch.column("host").to_pylist(), batch.column("path").to_pylist(), strict=True)])
-            fits = hit[:, 0 : 2 * len(order) : 2] | hit[:, 1 : 2 * len(order) : 2]
-            found, other = hit[:, 2 * len(order) :], [v for v, _ in globs] + ["allow"]
-            rule, verdict = [], []
-            for i in range(batch.num_rows):
-                if len(order) and fits[i].any():
-                    k = int(fits[i].argmax())
-                    rule.append(order[k][1])
-                    verdict.append(order[k][0])
-                else:
-                    rule.append(None)
-                    verdict.append(other[int(found[i].argmax()) if len(globs) and found[i].any() else len(globs)])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rule, pa.string()), pa.array(verdict, pa.string())], ["page_id", "host", "path", "rule", "verdict"])
+            first = automaton.first([(h + p).encode() for h, p in zip(batch.column("host").to_pylist(), batch.column("path").to_pylist(), strict=True)])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([names[i] for i in first], pa.string()), pa.array([verdicts[i] for i in first], pa.string())], ["page_id", "host", "path", "rule", "verdict"])
 
     named = pages.select(F.col("page_id").cast("long").alias("page_id"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     return named.mapInArrow(judge, "page_id long, host string, path string, rule string, verdict string")
