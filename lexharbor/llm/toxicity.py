@@ -2,8 +2,8 @@
 
 Every word of the labelled texts has signed log-odds with a Dirichlet prior, shrunk by how far they may be chance;
 words that are seldom seen take those of their beginning. A linear scan finds every maximal segment of a text; the
-segments' scores are judged by the extreme-value law of such maxima in clean texts, and a logistic curve maps a
-text's best segment, significant or not, and its mean log-odds to the label.
+segments' scores are judged by the extreme-value law of such maxima in clean texts, and a logistic curve maps what
+a text's segments have beyond chance in all, and its mean log-odds (not shrunk, negative ones too), to the label.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ PRIOR, SHRINK = 30.0, 3.0
 ATTESTED, PREFIXES = 8, (6, 5, 4)
 #: What a passage must outweigh for each of its words, and expected segments by chance above which one isn't significant.
 DRIFT, EXPECT = 0.5, 0.01
+#: Least factor of each number in the curve.
+RANK = 0.1
 SCHEMA = "doc_id long, score double, predicted int, passages array<struct<start:int,end:int,bits:double>>"
 
 
@@ -63,23 +65,23 @@ def segments(scores: list[float]) -> list[tuple[int, int, float]]:
 
 @dataclass
 class Model:
-    """Log-odds of words and beginnings; of each also those without one text of class 0 or 1, for texts that the model was fitted on."""
+    """Log-odds of words and beginnings, shrunk and as they are; of each also those without one text of class 0 or 1, for texts that the model was fitted on."""
 
-    weights: list[dict[str, float]]
+    weights: list[dict[str, tuple[float, float]]]
     decay: float = 1.0
     scale: float = 1.0
     curve: tuple[float, float, float] = (1.0, 0.0, -2.0)
-    held: list[dict[str, float]] = field(default_factory=lambda: [{}, {}, {}])
+    held: list[dict[str, tuple[float, float]]] = field(default_factory=lambda: [{}, {}, {}])
 
-    def weight(self, word: str, own: int) -> float:
+    def weight(self, word: str, own: int) -> tuple[float, float]:
         table = self.weights[own]
         found = table.get(word)
         if found is None:
-            found = next((x for b in beginnings(word) if (x := table.get(b)) is not None), 0.0)
+            found = next((x for b in beginnings(word) if (x := table.get(b)) is not None), (0.0, 0.0))
         return found
 
-    def odds(self, words: list[str], own: int = 2) -> list[float]:
-        """Log-odds of each word; own is the class of a text of the sample, whose own part in them is left out."""
+    def odds(self, words: list[str], own: int = 2) -> list[tuple[float, float]]:
+        """Both log-odds of each word; own is the class of a text of the sample, whose own part in them is left out."""
         held = self.held[own]
         if len(held) > 500_000:
             held.clear()
@@ -92,14 +94,14 @@ class Model:
         return out
 
     def judge(self, words: list[str], own: int = 2) -> tuple[float, float, list[tuple[int, int, float]]]:
-        """Bits of the best segment beyond chance, mean log-odds, and the significant segments: first and last word and bits."""
+        """Bits beyond chance of all segments, mean log-odds, and the significant segments: first and last word and bits."""
         odds = self.odds(words, own)
         noise = math.log(self.scale * max(1, len(words)))
-        found = [(a, b, self.decay * s - noise) for a, b, s in segments([x - DRIFT for x in odds])] if odds and max(odds) > DRIFT else []
-        return max((bits for _, _, bits in found), default=-noise), sum(odds) / (len(odds) + 10), [x for x in found if x[2] > -math.log(EXPECT)]
+        found = [(a, b, self.decay * s - noise) for a, b, s in segments([x - DRIFT for x, _ in odds])] if odds and max(odds)[0] > DRIFT else []
+        return sum(bits for _, _, bits in found if bits > 0), sum(x for _, x in odds) / (len(odds) + 10), [x for x in found if x[2] > -math.log(EXPECT)]
 
-    def score(self, best: float, mean: float) -> float:
-        x = self.curve[0] * math.asinh(best) + self.curve[1] * mean + self.curve[2]
+    def score(self, bits: float, mean: float) -> float:
+        x = self.curve[0] * math.log1p(bits) + self.curve[1] * mean + self.curve[2]
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, x))))
 
 
@@ -130,25 +132,26 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([c.slice(i, 50_000) for c in columns], ["feature", "d0", "d1", "low", "high"])
 
 
-def log_odds(d0: Column, d1: Column, n0: int, n1: int) -> Column:
+def log_odds(d0: Column, d1: Column, n0: int, n1: int) -> tuple[Column, Column]:
     """Log-odds of being in a text of class 1 against 0, with a Dirichlet prior of PRIOR texts, by the share of all
-    texts, shrunk towards 0 by the square of SHRINK over the likelihood ratio's standard deviations."""
+    texts: shrunk towards 0 by the square of SHRINK over the likelihood ratio's standard deviations, and plain."""
     both = d0 + d1
-    prior = F.lit(PRIOR) * both / (n0 + n1)
+    prior = F.lit(PRIOR) * both / max(1, n0 + n1)
     odds = [F.log((d + prior) / (n + PRIOR + 1 - d - prior)) for d, n in ((d1, n1), (d0, n0))]
-    gain = [F.when(d > 0, d * F.log(d * (n0 + n1) / (both * n))).otherwise(0.0) for d, n in ((d1, n1), (d0, n0))]
-    out = (odds[0] - odds[1]) * F.greatest(F.lit(0.0), 1 - F.lit(SHRINK**2) / F.greatest(F.lit(1e-9), 2 * (gain[0] + gain[1])))
-    return F.when((both > 0) & (d0 >= 0) & (d1 >= 0), out).otherwise(0.0)
+    gain = [F.when(d > 0, d * F.log(F.try_divide(d * (n0 + n1), both * n))).otherwise(0.0) for d, n in ((d1, n1), (d0, n0))]
+    shrunk = F.greatest(F.lit(0.0), 1 - F.lit(SHRINK**2) / F.greatest(F.lit(1e-9), 2 * (gain[0] + gain[1])))
+    plain = F.when((both > 0) & (d0 >= 0) & (d1 >= 0), odds[0] - odds[1]).otherwise(0.0)
+    return F.coalesce(plain * shrunk, F.lit(0.0)), plain
 
 
-def _weights(counts: DataFrame, n: list[int]) -> list[dict[str, float]]:
+def _weights(counts: DataFrame, n: list[int]) -> list[dict[str, tuple[float, float]]]:
     """Of features without one text of class 0, without one of class 1, and with all; as many as a bounded sample has words."""
     d0, d1 = F.col("d0"), F.col("d1")
     own = [log_odds(d0 - 1, d1, n[0] - 1, n[1]), log_odds(d0, d1 - 1, n[0], n[1] - 1), log_odds(d0, d1, *n)]
     word = ~F.col("feature").endswith("*")
-    rows = counts.filter("feature <> ''").select("feature", (word & (d0 + d1 >= ATTESTED)).alias("known"), (word | (F.col("low") < F.col("high"))).alias("fit"), *(x.alias(f"w{i}") for i, x in enumerate(own)))
+    rows = counts.filter("feature <> ''").select("feature", (word & (d0 + d1 >= ATTESTED)).alias("known"), (word | (F.col("low") < F.col("high"))).alias("fit"), *(F.round(x, 6).alias(f"w{i}") for i, (x, _) in enumerate(own)), *(F.round(x, 6).alias(f"p{i}") for i, (_, x) in enumerate(own)))
     rows = rows.filter("fit AND (known OR w0 <> 0 OR w1 <> 0 OR w2 <> 0)").collect()
-    return [{r["feature"]: round(r[f"w{i}"], 6) for r in rows if r["known"] or r[f"w{i}"]} for i in range(3)]
+    return [{r["feature"]: (r[f"w{i}"], r[f"p{i}"] if r["known"] else r[f"w{i}"]) for r in rows if r["known"] or r[f"w{i}"]} for i in range(3)]
 
 
 def _root(law: dict[float, float]) -> float:
@@ -164,16 +167,26 @@ def _root(law: dict[float, float]) -> float:
 
 
 def _curve(x: np.ndarray, y: np.ndarray, k: np.ndarray) -> tuple[float, float, float]:
-    """Logistic regression on two numbers and a constant, by Newton steps with a little shrinkage."""
+    """Logistic regression on two numbers and a constant, by Newton steps with a little shrinkage.
+
+    Neither number may count against the label: a factor below RANK is set to it, so that texts that the
+    segments don't tell apart are still ranked.
+    """
     x = np.column_stack([x, np.ones(len(x))])
-    ridge, w = np.array([0.1, 0.1, 0.01]), np.array([1.0, 0.0, -1.0])
-    for _ in range(200):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.clip(np.linalg.solve((x * (k * p * (1 - p))[:, None]).T @ x + np.diag(ridge), x.T @ (k * (p - y)) + ridge * w), -1, 1)
-        w = w - step
-        if abs(step).max() < 1e-9:
-            break
-    return tuple(float(round(v, 9)) for v in w)
+    ridge, out, free = np.array([0.1, 0.1, 0.01]), np.array([1.0, 0.0, -1.0]), np.array([True, True, True])
+    while True:
+        z, w, fixed = x[:, free], out[free], x[:, ~free] @ out[~free]
+        for _ in range(200):
+            p = 1 / (1 + np.exp(-np.clip(z @ w + fixed, -30, 30)))
+            step = np.clip(np.linalg.solve((z * (k * p * (1 - p))[:, None]).T @ z + np.diag(ridge[free]), z.T @ (k * (p - y)) + ridge[free] * w), -1, 1)
+            w = w - step
+            if abs(step).max() < 1e-9:
+                break
+        out[free] = w
+        low = free[:2] & (out[:2] < RANK)
+        if not low.any():
+            return tuple(float(round(v, 9)) for v in out)
+        out[:2][low], free[:2] = RANK, free[:2] & ~low
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
@@ -194,7 +207,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
             for batch in batches:
                 for kind, text in zip(batch.column("toxic").to_pylist(), utf8(batch.column("text")), strict=True):
                     if not kind:
-                        found.update(round(x, 2) for x in share.value.odds(WORD.findall(normal(text)), 0))
+                        found.update(round(x, 2) for x, _ in share.value.odds(WORD.findall(normal(text)), 0))
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.float64()), pa.array(list(found.values()), pa.int64())], ["s", "n"])
 
         # chance: words of clean texts score as they do in the sample; a few hundred distinct scores
@@ -208,7 +221,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
             for batch in batches:
                 kinds = batch.column("toxic").to_pylist()
                 x = [every.value.judge(WORD.findall(normal(t)), k)[:2] for k, t in zip(kinds, utf8(batch.column("text")), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array([math.asinh(b) for b, _ in x], pa.float64()), pa.array([m for _, m in x], pa.float64()), pa.array(kinds, pa.int32())], ["x", "m", "y"])
+                yield pa.RecordBatch.from_arrays([pa.array([math.log1p(b) for b, _ in x], pa.float64()), pa.array([m for _, m in x], pa.float64()), pa.array(kinds, pa.int32())], ["x", "m", "y"])
 
         # the curve reads at most twice SAMPLE rows of two numbers
         rows = sample.mapInArrow(judged, "x double, m double, y int").groupBy(F.round("x", 2).alias("x"), F.round("m", 3).alias("m"), "y").count().orderBy("x", "m", "y").collect()
@@ -225,8 +238,8 @@ def _judged(model: Model | None, texts: list[bytes]) -> tuple[list[float], list[
     scores, found = [], []
     for text in texts:
         low = normal(text)
-        best, mean, own = model.judge(WORD.findall(low)) if model is not None else (0.0, 0.0, [])
-        scores.append(model.score(best, mean) if model is not None else 0.0)
+        total, mean, own = model.judge(WORD.findall(low)) if model is not None else (0.0, 0.0, [])
+        scores.append(model.score(total, mean) if model is not None else 0.0)
         place = [m.span() for m in WORD.finditer(low)] if own else []
         found.append([{"start": place[a][0], "end": place[b - 1][1], "bits": bits} for a, b, bits in own])
     return scores, found

@@ -119,16 +119,19 @@ def test_toxicity_fit(spark, empty):
         prior = toxicity.PRIOR * sum(e) / sum(n)
         odds = math.log((e[1] + prior) / (n[1] + toxicity.PRIOR + 1 - e[1] - prior)) - math.log((e[0] + prior) / (n[0] + toxicity.PRIOR + 1 - e[0] - prior))
         gain = 2 * sum(x * math.log(x * sum(n) / sum(e) / m) for x, m in zip(e, n, strict=True) if x)
-        want[w] = odds * max(0.0, 1 - toxicity.SHRINK**2 / max(gain, 1e-9))
+        want[w] = odds * max(0.0, 1 - toxicity.SHRINK**2 / max(gain, 1e-9)), odds
     got = toxicity.fit(docs, known).weights[2]
-    assert len(want) > 100 and all(abs(got[w] - x) < 1e-5 for w, x in want.items())
-    rows = queries.op3_toxicity(spark, d).join(labels, "doc_id").filter("held_out").collect()
+    assert len(want) > 100 and all(abs(got[w][k] - x[k]) < 1e-5 for w, x in want.items() for k in (0, 1))
+    more = "/root/testdata/sf0.1"
+    rows = queries.op3_toxicity(spark, more).join(spark.read.parquet(f"{more}/labels.parquet"), "doc_id").filter("held_out").collect()
     pairs = [(a.score > b.score) + 0.5 * (a.score == b.score) for a in rows for b in rows if a.toxic > b.toxic]
-    assert sum(pairs) / len(pairs) > 0.9
+    assert sum(pairs) / len(pairs) > 0.95
+    assert sum(r.predicted for r in rows if r.toxic) >= 0.9 * sum(r.toxic for r in rows) and sum(r.predicted for r in rows if not r.toxic) <= 0.01 * len(rows)
     every = toxicity.score_toxicity(docs.withColumn("score", F.lit("x")).select("*", F.lit(1).alias("passages")), known)
     assert every.count() == docs.count() and every.groupBy("score").count().agg(F.max("count")).first()[0] < 0.1 * docs.count()
-    odd = spark.createDataFrame([(None, "you idiot"), (1, None), (2, ""), (2, ""), (3, "idiot " * 100_000)], "doc_id long, text string")
-    assert [r.predicted for r in toxicity.score_toxicity(odd, known).collect()][1:] == [0, 0, 0, 1]
+    odd = spark.createDataFrame([(None, "you idiot"), (-1, None), (-2, ""), (-2, ""), (-3, "idiot " * 100_000)], "doc_id long, text string")
+    got = toxicity.score_toxicity(odd.union(docs.select("doc_id", "text")), known).filter("doc_id IS NULL OR doc_id < 0").collect()
+    assert sorted((r.doc_id or 0, r.predicted) for r in got) == [(-3, 1), (-2, 0), (-2, 0), (-1, 0), (0, 1)]
     assert toxicity.score_toxicity(empty, known).count() == 0
     assert {r.score for r in toxicity.score_toxicity(odd, known.limit(0)).collect()} == {0.0}
 
