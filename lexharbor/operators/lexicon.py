@@ -2,15 +2,102 @@
 
 from __future__ import annotations
 
+import json
+import re
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as tx
 
-#: The emotions in the order that breaks ties.
+#: The emotions in the order that breaks ties, and names by which columns are known.
 EMOTIONS = ["anger", "anticipation", "disgust", "fear", "joy", "sadness", "surprise", "trust"]
 SENTIMENTS, VAD = ["positive", "negative"], ["valence", "arousal", "dominance"]
+LEXICAL = ["NOUN", "PROPN", "VERB", "ADJ", "ADV", "INTJ"]
+NAMES = {
+    "anger": "anger jeza angry", "anticipation": "anticipation anticip pričakovanje pricakovanje", "disgust": "disgust gnus odpor", "fear": "fear strah",
+    "joy": "joy veselje radost happiness happy", "sadness": "sadness zalost žalost sad", "surprise": "surprise presenecenje presenečenje", "trust": "trust zaupanje",
+    "positive": "positive positivity pozitivno pozitiven pos", "negative": "negative negativity negativno negativen neg",
+    "valence": "valence valenca vad_valence nrc_vad_valence", "arousal": "arousal vzburjenje vzburjenost aktivacija vad_arousal nrc_vad_arousal", "dominance": "dominance dominanca vad_dominance nrc_vad_dominance",
+}
+WORD_COLUMNS = ["slovene", "slovenian", "sl", "word_sl", "sl_word", "slo", "lemma", "lemmas", "word", "term", "entry", "lexeme", "token", "form"]
+NO_WORD_COLUMNS = ["id", "index", "source", "origin", "english", "en", "translation", "notes", "comment"]
+INTENSITY_MARKS = ["intensity", "intens", "affect", "score"]
+
+
+def _name(column: str) -> str:
+    """A column's name as it is compared: NFKC, lower-cased, other characters as underscores, without diacritics."""
+    plain = re.sub(r"[^\w]+", "_", unicodedata.normalize("NFKC", column).strip().lower()).strip("_")
+    return "".join(c for c in unicodedata.normalize("NFD", plain) if unicodedata.category(c) != "Mn")
+
+
+def word_column(table: DataFrame, wanted: str | None = None) -> str:
+    """The wanted column, or the first of the known names, or the first column whose first 50 values are under a fifth numbers."""
+    named = {_name(c): c for c in reversed(table.columns)}
+    if wanted is not None:
+        if wanted not in table.columns and _name(wanted) not in named:
+            raise ValueError(f"no column {wanted}")
+        return wanted if wanted in table.columns else named[_name(wanted)]
+    for n in WORD_COLUMNS:
+        if n in named:
+            return named[n]
+    left = [c for c in table.columns if _name(c) not in NO_WORD_COLUMNS]
+    if left:
+        head = table.select(*left).limit(50)
+        share = head.agg(*(F.avg(F.replace(F.col(c).cast("string"), F.lit(","), F.lit(".")).try_cast("double").isNotNull().cast("int")).alias(str(i)) for i, c in enumerate(left))).first()
+        for i, c in enumerate(left):
+            if (share[str(i)] or 0) < 0.2:
+                return c
+    raise ValueError("no column of words")
+
+
+def roles(table: DataFrame, words: str) -> dict[str, list[str]]:
+    """Columns by what they hold: an emotion, its intensity (``joy intensity``), a sentiment or a VAD dimension."""
+    out: dict[str, list[str]] = {}
+    for column in table.columns:
+        own = _name(column)
+        parts = {own, *own.split("_")}
+        for name, known in NAMES.items():
+            if column == words or not parts & {_name(k) for k in known.split()} or (name in SENTIMENTS and ("valence" in own or "valenca" in own)):
+                continue
+            strong = name in EMOTIONS and any(m in own for m in INTENSITY_MARKS)
+            out.setdefault(f"{name} intensity" if strong else name, []).append(column)
+    return out
+
+
+def from_long(table: DataFrame, word: str, emotion: str = "emotion", score: str = "score") -> DataFrame:
+    """A table of (word, emotion, score) with a column for each emotion: the greatest score of each word."""
+    rows = table.select(F.col(word).alias("word"), tx.lexeme("simple", True)(F.col(emotion)).alias("e"), F.replace(F.col(score).cast("string"), F.lit(","), F.lit(".")).try_cast("double").alias("s"))
+    return rows.groupBy("word").pivot("e", EMOTIONS).max("s")
+
+
+def load_by_roles(table: DataFrame, wanted: str | None = None, norm=None) -> DataFrame:
+    """key and a column for each emotion, intensity, sentiment and VAD dimension, from a table of any columns.
+
+    Columns of one role are joined in the row: the greatest, of VAD the mean; a role without columns is 0, or
+    null for intensity and VAD. Cells of several words are split; of equal keys the greatest value counts, of
+    VAD the mean. norm normalises keys (as of ``text.lexeme``), which are lower-cased without it.
+    """
+    words = word_column(table, wanted)
+    held = roles(table, words)
+    if not any(e in held for e in EMOTIONS) and {"emotion", "score"} <= {_name(c) for c in table.columns}:
+        named = {_name(c): c for c in table.columns}
+        table, words = from_long(table, words, named["emotion"], named["score"]), "word"
+        held = {e: [e] for e in EMOTIONS}
+    values = {}
+    for name in [*EMOTIONS, *SENTIMENTS, *(f"{e} intensity" for e in EMOTIONS), *VAD]:
+        own = [tx.number(F.col(f"`{c}`").cast("string")) for c in held.get(name, [])]
+        if name in VAD:
+            values[name] = F.get(F.array(F.try_divide(F.aggregate(F.filter(F.array(*own), lambda x: x.isNotNull()), F.lit(0.0), lambda a, x: a + x), F.size(F.filter(F.array(*own), lambda x: x.isNotNull())).cast("double"))), F.lit(0)) if own else F.lit(None).cast("double")
+        else:
+            most = F.array_max(F.array(*own)) if own else F.lit(None).cast("double")
+            values[name.replace(" ", "_")] = most if name.endswith("intensity") else F.coalesce(most, F.lit(0.0))
+    keys = F.array_distinct(F.filter(F.transform(F.split(F.col(f"`{words}`"), r"[|;/]"), lambda x: F.lower(F.trim(x))), lambda x: x != ""))
+    each = table.select(F.explode(keys).alias("key"), *(v.alias(n) for n, v in values.items()))
+    if norm is not None:
+        each = each.withColumn("key", norm(F.col("key"))).filter("key <> ''")
+    return each.groupBy("key").agg(*((F.avg if n in VAD else F.max)(n).alias(n) for n in values))
 
 
 def load(rows: DataFrame, word: str, values: list[str]) -> DataFrame:
@@ -25,18 +112,54 @@ def match(tokens: DataFrame, lexicon: DataFrame, word: str = "word") -> DataFram
     return tokens.join(lexicon.withColumnRenamed("key", "lex_key"), F.col(word) == F.col("lex_key"), "left")
 
 
+def match_by_sources(tokens: DataFrame, lexicon: DataFrame, sources: list[str], upos: list[str] | None = None) -> DataFrame:
+    """tokens with lex_key and source: the first of the source columns whose value is a key. Only words of the given tags are looked up.
+
+    Keys are looked up once for each distinct combination of the sources' values.
+    """
+    able = F.lit(True) if upos is None else F.col("upos").isin(upos)
+    names = [f"_k{i}" for i in range(len(sources))]
+    rows = tokens.withColumns({n: F.when(able, F.col(s)) for n, s in zip(names, sources, strict=True)})
+    combos = rows.select(*names).distinct()
+    for n in names:
+        combos = combos.join(lexicon.select(F.col("key").alias(f"{n}_hit")), F.col(n) == F.col(f"{n}_hit"), "left")
+    combos = combos.select(*names, F.coalesce(*(F.col(f"{n}_hit") for n in names)).alias("lex_key"), F.coalesce(*(F.when(F.col(f"{n}_hit").isNotNull(), F.lit(s)) for n, s in zip(names, sources, strict=True))).alias("source"))
+    same = reduce(Column.__and__, (F.col(f"t.{n}").eqNullSafe(F.col(f"c.{n}")) for n in names))
+    found = rows.alias("t").join(combos.alias("c"), same, "left").select("t.*", "c.lex_key", "c.source").drop(*names)
+    return found.join(lexicon.withColumnRenamed("key", "lex_key"), "lex_key", "left")
+
+
+def score_segments(segments: DataFrame, matched: DataFrame, keys: list[str], lexical: Column | None = None) -> DataFrame:
+    """The measures of ``score`` for every segment, also those without words; rates and coverage are by lexical words.
+
+    segments hold the keys, matched the keys and words with lex_key; lexical tells which words count, else all.
+    Shares of the emotions' total (``joy_prop``) and means of intensity, where the lexicon has it, come on top.
+    """
+    counted = F.count_if(lexical) if lexical is not None else F.count("*")
+    sums = [F.sum(e).alias(e) for e in EMOTIONS + SENTIMENTS]
+    more = [c for c in (f"{e}_intensity" for e in EMOTIONS) if c in matched.columns]
+    out = matched.groupBy(*keys).agg(F.count("*").alias("n_words"), counted.alias("n_lexical"), F.count("lex_key").alias("hits"), F.count_distinct("lex_key").alias("distinct_hits"), *sums, *(F.avg(v).alias(v) for v in [*VAD, *more]))
+    out = segments.select(*keys).distinct().join(out, keys, "left")
+    out = out.withColumns({c: F.coalesce(c, F.lit(0).cast(out.schema[c].dataType)) for c in ["n_words", "n_lexical", "hits", "distinct_hits", *EMOTIONS, *SENTIMENTS]})
+    return _measures(out, "n_lexical").withColumns({f"{e}_prop": F.coalesce(F.col(e) / F.nullif(F.col("total"), F.lit(0.0)), F.lit(0.0)) for e in EMOTIONS})
+
+
 def score(matched: DataFrame, keys: list[str]) -> DataFrame:
     """Per segment: hits, distinct hits, coverage, emotion sums, per 1000 words, shares, sentiment balance, VAD means, dominant emotion."""
     sums = [F.coalesce(F.sum(e), F.lit(0.0)).alias(e) for e in EMOTIONS + SENTIMENTS]
     out = matched.groupBy(*keys).agg(F.count("*").alias("n_words"), F.count("lex_key").alias("hits"), F.count_distinct("lex_key").alias("distinct_hits"), *sums, *(F.avg(v).alias(v) for v in VAD))
+    return _measures(out, "n_words")
+
+
+def _measures(out: DataFrame, words: str) -> DataFrame:
     total = reduce(Column.__add__, (F.col(e) for e in EMOTIONS))
     most = F.greatest(*EMOTIONS)
     dominant = F.when(total > 0, F.element_at(F.array(*map(F.lit, EMOTIONS)), F.array_position(F.array(*EMOTIONS), most).cast("int")))
     return out.withColumns(
         {
-            "coverage": F.col("hits") / F.col("n_words"),
+            "coverage": F.col("hits") / F.greatest(F.col(words), F.lit(1)),
             "total": total,
-            **{f"{e}_per_1k": F.col(e) / F.greatest(F.col("n_words"), F.lit(1)) * 1000 for e in EMOTIONS},
+            **{f"{e}_per_1k": F.col(e) / F.greatest(F.col(words), F.lit(1)) * 1000 for e in EMOTIONS},
             "balance": (F.col("positive") - F.col("negative")) / F.nullif(F.col("positive") + F.col("negative"), F.lit(0.0)),
             "dominant": dominant,
             "dominant_share": F.when(total > 0, most / F.nullif(total, F.lit(0.0))).otherwise(0.0),
@@ -56,3 +179,21 @@ def top_unknown(tokens: DataFrame, lexicon: DataFrame, depth: int = 1000) -> Dat
     """Of the ``depth`` commonest words, those outside the lexicon."""
     common = tokens.groupBy("word").count().orderBy(F.desc("count"), "word").limit(depth)
     return common.join(lexicon, F.col("word") == F.col("key"), "left_anti")
+
+
+def coverage_report(tokens: DataFrame, table: DataFrame, lexicon: DataFrame, words: str) -> DataFrame:
+    """metric and value (string): sizes of the lexicon, words of the corpus and those among its keys by lemma, and the columns that were found."""
+    held = roles(table, words)
+    group = lambda names: json.dumps({n: held.get(n, []) for n in names}, ensure_ascii=False)
+    counts = tokens.groupBy(F.col("lemma").alias("word")).count()
+    one = match(counts, lexicon.select("key")).agg(F.coalesce(F.sum("count"), F.lit(0)).alias("total"), F.coalesce(F.sum(F.when(F.col("lex_key").isNotNull(), F.col("count"))), F.lit(0)).alias("hits"))
+    sizes = table.agg(F.count("*").alias("rows")).join(F.broadcast(lexicon.agg(F.count("*").alias("keys")))).join(F.broadcast(one))
+    fixed = {"lexicon_word_columns": words, "detected_emotion_columns": group(EMOTIONS), "detected_intensity_columns": group([f"{e} intensity" for e in EMOTIONS]), "detected_sentiment_columns": group(SENTIMENTS), "detected_vad_columns": group(VAD)}
+    values = {"lexicon_rows": F.col("rows").cast("string"), "lexicon_keys": F.col("keys").cast("string"), "corpus_word_tokens": F.col("total").cast("string"), "corpus_word_token_hits": F.col("hits").cast("string"), "corpus_word_token_coverage": F.round(F.coalesce(F.col("hits") / F.nullif("total", F.lit(0)), F.lit(0.0)), 6).cast("string"), **{k: F.lit(v) for k, v in fixed.items()}}
+    return sizes.select(F.explode(F.array(*(F.struct(F.lit(k).alias("metric"), v.alias("value")) for k, v in values.items()))).alias("x")).select("x.*")
+
+
+def review_unknown(unknown: DataFrame, generic: list[str], least: int = 3, n: int = 500) -> DataFrame:
+    """Unknown lemmas (word, count) for review: without generic and short ones, the commonest n, with blank columns to fill in."""
+    kept = unknown.filter(~F.col("word").isin(generic) & (F.length("word") >= least)).orderBy(F.desc("count"), "word").limit(n)
+    return kept.withColumns({c: F.lit("") for c in ("oov_type", "should_add_to_lexicon", "normalization_candidate", "notes")})

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import text as tx
 
@@ -41,3 +41,80 @@ def statistics(docs: DataFrame) -> DataFrame:
     w = tx.words(F.col("text"))
     s = F.filter(F.transform(F.split("text", r"[.!?\n]+"), lambda x: F.trim(x)), lambda x: x != "")
     return docs.select("doc_id", F.size(s).cast("long").alias("n_sentences"), F.size(w).cast("long").alias("n_words"), F.size(F.array_distinct(w)).cast("long").alias("n_types"))
+
+
+def annotate(docs: DataFrame) -> DataFrame:
+    """Tokens of texts by plain rules, where no annotator is at hand: doc_id, pos (place in the document), par, sent, tok, form, lemma, upos, space_after.
+
+    Lines are paragraphs, sentences end at . ! or ?; lemmas are lower-cased words without a plural s; numbers,
+    marks and capitalised words are told by their form, other words by length alone.
+    """
+    token = r"\p{L}+|[0-9]+|[^\s\p{L}0-9]"
+    cut = lambda line, p: F.transform(F.regexp_extract_all(line, F.lit("[^.!?]+[.!?]*"), F.lit(0)), lambda s, i: F.transform(F.regexp_extract_all(s, F.lit(token + r"|\s+"), F.lit(0)), lambda t, j: F.struct((p + 1).alias("par"), (i + 1).alias("sent"), j.alias("at"), t.alias("form"))))
+    parts = F.flatten(F.flatten(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), cut)))
+    each = docs.select("doc_id", F.posexplode(F.filter(F.arrays_zip(parts.alias("t"), F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1))).alias("next")), lambda x: ~x.t.form.rlike(r"^\s"))).alias("pos", "x"))
+    form = F.col("x.t.form")
+    upos = F.when(form.rlike("^[0-9]+$"), "NUM").when(~form.rlike(r"\p{L}"), "PUNCT").when(form.rlike(r"^\p{Lu}"), "PROPN").otherwise(F.element_at(F.array(*map(F.lit, ("VERB", "ADJ", "NOUN", "ADP"))), (F.length(form) % 4 + 1)))
+    after = F.col("x.next.form").isNull() | F.col("x.next.form").rlike(r"^\s")
+    return each.select("doc_id", "pos", "x.t.par", "x.t.sent", "x.t.at", form.alias("form"), F.regexp_replace(F.lower(form), "^(.{3,})s$", "$1").alias("lemma"), upos.alias("upos"), after.alias("space_after"))
+
+
+def reconstructed(tokens: DataFrame, keys: list[str], order: str = "pos") -> DataFrame:
+    """keys and text: forms with a blank where space_after says so and at the ends of sentences and paragraphs, glued words parted."""
+    place = ["par", "sent"]
+    last = F.array_sort(F.collect_list(F.struct(order, *place, "form", "space_after")))
+    joined = F.array_join(F.transform("t", lambda x, i: F.concat(x.form, F.when(i == F.size("t") - 1, "").when(x.space_after | (F.struct(x.par, x.sent) != F.struct(F.get("t", i + 1).par, F.get("t", i + 1).sent)), " ").otherwise(""))), "")
+    return tokens.groupBy(*keys).agg(last.alias("t")).select(*keys, tx.glue_repair(joined).alias("text"))
+
+
+def members(tokens: DataFrame, unit: str, size: int = SIZE, step: int = STEP) -> DataFrame:
+    """tokens with segment_id and seg: the document, sentence, paragraph or rolling windows of words that each belongs to.
+
+    A token that is not a word lies in a window if words of it stand on both sides. Windows follow from the
+    number of a word, so no ranges are joined; a window of fewer than max(25, size // 5) words is left out
+    unless it is the document's only one.
+    """
+    if unit == "document":
+        return tokens.withColumns({"seg": F.lit(1).cast("long"), "segment_id": F.concat_ws("::", F.col("doc_id").cast("string"), F.lit("document-1"))})
+    if unit in ("sentence", "paragraph"):
+        key = F.struct("par", "sent") if unit == "sentence" else F.struct("par")
+        seg = F.dense_rank().over(Window.partitionBy("doc_id").orderBy(key)).cast("long")
+        return tokens.withColumn("seg", seg).withColumn("segment_id", F.concat_ws("::", F.col("doc_id").cast("string"), F.concat(F.lit(f"{unit}-"), F.col("seg").cast("string"))))
+    if unit != "window" or step <= 0:
+        raise ValueError("units are document, sentence, paragraph and window; step is positive")
+    word = tx.is_word(F.col("form"), F.col("upos"))
+    upto = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    rows = tokens.withColumn("_hi", F.sum(F.when(word, 1).otherwise(0)).over(upto)).withColumn("_n", F.sum(F.when(word, 1).otherwise(0)).over(Window.partitionBy("doc_id")))
+    lo, hi, n = F.col("_hi") - 1, F.when(word, F.col("_hi") - 1).otherwise(F.col("_hi")), F.col("_n")
+    first = F.greatest(F.lit(0).cast("long"), F.floor((hi - size) / step) + 1)
+    some = F.when(n <= size, F.array(F.lit(0).cast("long"))).when(first <= F.floor(lo / step), F.sequence(first, F.floor(lo / step))).otherwise(F.array().cast("array<bigint>"))
+    fit = lambda k: (n <= size) | ((k * step < n) & (F.least(F.lit(size), n - k * step) >= max(25, size // 5)))
+    out = rows.filter((lo >= 0) & (hi < n)).withColumn("seg", F.explode(F.transform(F.filter(some, fit), lambda k: k + 1))).drop("_hi", "_n")
+    return out.withColumn("segment_id", F.concat_ws("::", F.col("doc_id").cast("string"), F.concat(F.lit("window-"), F.col("seg").cast("string"))))
+
+
+def projection(held: DataFrame, unit: str, docs: DataFrame, ids: int = 20, length: int = 300) -> DataFrame:
+    """One row per segment: unit, the first sentences' names, counts, a preview, and the documents' columns."""
+    word = tx.is_word(F.col("form"), F.col("upos"))
+    sent = F.concat_ws(".", F.col("doc_id").cast("string"), F.col("par").cast("string"), F.col("sent").cast("string"))
+    one = held.groupBy("doc_id", "seg", "segment_id").agg(F.array_sort(F.collect_set(sent)).alias("s"), F.count("*").alias("n_tokens"), F.count_if(word).alias("n_words"))
+    text = reconstructed(held, ["doc_id", "seg"]).withColumn("text_preview", F.substring("text", 1, length)).drop("text")
+    out = one.join(text, ["doc_id", "seg"]).select("segment_id", F.lit(unit).alias("unit"), "doc_id", "seg", F.size("s").cast("long").alias("n_sentences"), F.array_join(F.slice("s", 1, ids), ",").alias("sent_ids"), "n_tokens", "n_words", "text_preview")
+    return out.join(docs, "doc_id", "left")
+
+
+def topic_lemmas(tokens: DataFrame, upos: list[str], stopwords: list[str] = tx.STOPWORDS) -> DataFrame:
+    """Tokens that topics are made of: of the given tags, two characters or more, no stopword, not only digits and marks."""
+    return tokens.filter(F.col("upos").isin(upos) & (F.length("lemma") >= 2) & ~F.col("lemma").isin(stopwords) & ~F.col("lemma").rlike(r"^[\p{N}_\P{L}]+$"))
+
+
+def chosen(counts: DataFrame, least: int, units: list[str]) -> DataFrame:
+    """Segments (unit, n) of the first unit that has any with ``least`` or more."""
+    have = {r["unit"] for r in counts.filter(F.col("n") >= least).select("unit").distinct().collect()}  # a few names
+    unit = next((u for u in units if u in have), units[-1])
+    return counts.filter((F.col("n") >= least) & (F.col("unit") == unit))
+
+
+def first_documents(docs: DataFrame, n: int, order: str = "doc_id") -> DataFrame:
+    """The first n documents, for trials; the limit is the feature."""
+    return docs.orderBy(order).limit(n)

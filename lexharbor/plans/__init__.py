@@ -1,5 +1,6 @@
 """Registered queries and their SQL."""
 
+from . import tokens
 from .corpus import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES"]
+__all__ = ["ORACLE", "QUERIES", "tokens"]
