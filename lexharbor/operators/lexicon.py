@@ -112,6 +112,25 @@ def match(tokens: DataFrame, lexicon: DataFrame, word: str = "word") -> DataFram
     return tokens.join(lexicon.withColumnRenamed("key", "lex_key"), F.col(word) == F.col("lex_key"), "left")
 
 
+def score_windows(docs: DataFrame, lexicon: DataFrame, size: int = 250, step: int = 125) -> DataFrame:
+    """The measures of ``score`` for rolling windows (doc_id, seg_no) of words, as ``segments.windows`` cuts them.
+
+    Each word is looked up once: sums are made for panes of ``step`` words, and windows of their panes. The
+    size is a multiple of the step.
+    """
+    if step <= 0 or size % step:
+        raise ValueError("size must be a multiple of step")
+    least, panes = max(25, size // 5), size // step
+    words = docs.select("doc_id", tx.words(F.col("text")).alias("w")).select("doc_id", F.size("w").alias("n"), F.posexplode("w").alias("rank", "word"))
+    rows = match(words.withColumn("pane", F.floor(F.col("rank") / step)), lexicon)
+    pane = rows.groupBy("doc_id", "n", "pane").agg(F.count("*").alias("n_words"), F.count("lex_key").alias("hits"), F.collect_set("lex_key").alias("keys"), *(F.coalesce(F.sum(e), F.lit(0.0)).alias(e) for e in EMOTIONS + SENTIMENTS), *(F.sum(v).alias(v) for v in VAD), *(F.count(v).alias(f"{v}_n") for v in VAD))
+    fit = lambda k: (k >= 0) & F.when(F.col("n") <= size, k == 0).otherwise(k * step + least <= F.col("n"))
+    each = pane.withColumn("k", F.explode(F.filter(F.sequence(F.col("pane") - (panes - 1), F.col("pane")), fit)))
+    keys = F.size(F.array_distinct(F.flatten(F.collect_list("keys")))).cast("long")
+    out = each.groupBy("doc_id", (F.col("k") + 1).alias("seg_no")).agg(F.sum("n_words").alias("n_words"), F.sum("hits").alias("hits"), keys.alias("distinct_hits"), *(F.sum(e).alias(e) for e in EMOTIONS + SENTIMENTS), *((F.sum(v) / F.nullif(F.sum(f"{v}_n"), F.lit(0))).alias(v) for v in VAD))
+    return _measures(out, "n_words")
+
+
 def match_by_sources(tokens: DataFrame, lexicon: DataFrame, sources: list[str], upos: list[str] | None = None) -> DataFrame:
     """tokens with lex_key and source: the first of the source columns whose value is a key. Only words of the given tags are looked up.
 
@@ -138,7 +157,7 @@ def score_segments(segments: DataFrame, matched: DataFrame, keys: list[str], lex
     counted = F.count_if(lexical) if lexical is not None else F.count("*")
     sums = [F.sum(e).alias(e) for e in EMOTIONS + SENTIMENTS]
     more = [c for c in (f"{e}_intensity" for e in EMOTIONS) if c in matched.columns]
-    out = matched.groupBy(*keys).agg(F.count("*").alias("n_words"), counted.alias("n_lexical"), F.count("lex_key").alias("hits"), F.count_distinct("lex_key").alias("distinct_hits"), *sums, *(F.avg(v).alias(v) for v in [*VAD, *more]))
+    out = matched.groupBy(*keys).agg(F.count("*").alias("n_words"), counted.alias("n_lexical"), F.count("lex_key").alias("hits"), F.size(F.collect_set("lex_key")).cast("long").alias("distinct_hits"), *sums, *(F.avg(v).alias(v) for v in [*VAD, *more]))
     out = segments.select(*keys).distinct().join(out, keys, "left")
     out = out.withColumns({c: F.coalesce(c, F.lit(0).cast(out.schema[c].dataType)) for c in ["n_words", "n_lexical", "hits", "distinct_hits", *EMOTIONS, *SENTIMENTS]})
     return _measures(out, "n_lexical").withColumns({f"{e}_prop": F.coalesce(F.col(e) / F.nullif(F.col("total"), F.lit(0.0)), F.lit(0.0)) for e in EMOTIONS})
@@ -147,7 +166,7 @@ def score_segments(segments: DataFrame, matched: DataFrame, keys: list[str], lex
 def score(matched: DataFrame, keys: list[str]) -> DataFrame:
     """Per segment: hits, distinct hits, coverage, emotion sums, per 1000 words, shares, sentiment balance, VAD means, dominant emotion."""
     sums = [F.coalesce(F.sum(e), F.lit(0.0)).alias(e) for e in EMOTIONS + SENTIMENTS]
-    out = matched.groupBy(*keys).agg(F.count("*").alias("n_words"), F.count("lex_key").alias("hits"), F.count_distinct("lex_key").alias("distinct_hits"), *sums, *(F.avg(v).alias(v) for v in VAD))
+    out = matched.groupBy(*keys).agg(F.count("*").alias("n_words"), F.count("lex_key").alias("hits"), F.size(F.collect_set("lex_key")).cast("long").alias("distinct_hits"), *sums, *(F.avg(v).alias(v) for v in VAD))
     return _measures(out, "n_words")
 
 

@@ -135,11 +135,11 @@ def output_ids(rows: DataFrame, mode: str = "auto", prefix: str = "doc") -> Data
     if mode == "auto":
         n = rows.agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("ids"), F.coalesce(F.bool_or(F.lower("doc_id").isin(GENERIC_IDS)), F.lit(False)).alias("generic")).first()
         mode = "source" if n["ids"] < n["n"] or n["ids"] <= max(1, n["n"] // 100) or n["generic"] else "keep"
-    by_order = F.concat(F.lit(f"{prefix}-"), F.lpad((F.col("place") + 1).cast("string"), 6, "0"))
+    by_order = F.concat(F.lit(f"{prefix}-"), tx.padded(F.col("place") + 1, 6))
     own = {"keep": F.coalesce(F.nullif("doc_id", F.lit("")), F.nullif("source_id", F.lit("")), by_order), "source": F.coalesce(F.nullif("source_id", F.lit("")), by_order), "order": by_order}[mode]
     named = placed(rows, "pos").withColumn("_id", tx.safe_id(own))
     i = F.row_number().over(Window.partitionBy("_id").orderBy("pos"))
-    return named.withColumn("out_id", F.when(i == 1, F.col("_id")).otherwise(F.concat(F.col("_id"), F.lit("__"), F.lpad(i.cast("string"), 4, "0")))).drop("_id", "place")
+    return named.withColumn("out_id", F.when(i == 1, F.col("_id")).otherwise(F.concat(F.col("_id"), F.lit("__"), tx.padded(i, 4)))).drop("_id", "place")
 
 
 def restored(sents: DataFrame, attrs: DataFrame) -> DataFrame:

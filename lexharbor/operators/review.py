@@ -92,11 +92,11 @@ def emotion_verification(rows: DataFrame, emotion: str, key: str, words: str, pr
 
 
 def verdicts(checks: DataFrame, rules: list[tuple[str, str, float, str]]) -> DataFrame:
-    """check, value, level of checks (check, value) under rules (check, relation < or >, bound, level); without a hit it is ok."""
+    """item, value, level of checks (item, value) under rules (item, relation < or >, bound, level); without a hit it is ok."""
     level = F.lit("ok")
     for name, relation, bound, to in reversed(rules):
         hit = F.col("value") < bound if relation == "<" else F.col("value") > bound
-        level = F.when((F.col("check") == name) & hit, to).otherwise(level)
+        level = F.when((F.col("item") == name) & hit, to).otherwise(level)
     out = checks.withColumn("level", level)
     stop = out.agg(F.max(F.when(F.col("level") == "stop", 1).otherwise(0)).alias("s"))
     return out.join(F.broadcast(stop)).withColumn("go", F.col("s") == 0).drop("s")  # one row

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..functions import text as tx
+
 
 def weighted(df: DataFrame, group: list[str], sums: list[str], means: list[str], weight: str) -> DataFrame:
     """n, sums, and means weighted over non-null values; where all weights are zero, plain means."""
@@ -45,7 +47,7 @@ def suffixed(df: DataFrame, key: str, order: str) -> DataFrame:
     """Repeated keys as key__0001, ..., unique ones unchanged; in the column unique_id."""
     n = F.count("*").over(Window.partitionBy(key))
     i = F.row_number().over(Window.partitionBy(key).orderBy(order))
-    return df.withColumn("unique_id", F.when(n > 1, F.concat(F.col(key), F.lit("__"), F.lpad(i.cast("string"), 4, "0"))).otherwise(F.col(key)))
+    return df.withColumn("unique_id", F.when(n > 1, F.concat(F.col(key), F.lit("__"), tx.padded(i, 4))).otherwise(F.col(key)))
 
 
 def islands(df: DataFrame, group: str, order: list[str], value: str) -> DataFrame:

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.errors import IllegalArgumentException
+from pyspark.ml import PipelineModel
 from pyspark.ml.clustering import LDA, KMeans
-from pyspark.ml.feature import PCA, CountVectorizer
+from pyspark.ml.evaluation import ClusteringEvaluator
+from pyspark.ml.feature import PCA, CountVectorizer, CountVectorizerModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window, functions as F
 
+from .review import topic_weights
+
 
 def class_tfidf(tokens: DataFrame, group: str, k: int) -> DataFrame:
     """group, term, score, rank: term share within the class times ln(1 + mean class words / term count)."""
@@ -22,7 +29,7 @@ def class_tfidf(tokens: DataFrame, group: str, k: int) -> DataFrame:
 
 def umass(tokens: DataFrame, topics: DataFrame) -> DataFrame:
     """topic, coherence: mean over term pairs (i < j) of ln((docs with both + 1) / max(1, docs with i)); topics (topic, rank, term)."""
-    held = tokens.select("doc_id", "word").join(F.broadcast(topics), F.col("word") == F.col("term")).select("topic", "rank", "doc_id").distinct()
+    held = tokens.select("doc_id", "word").join(topics, F.col("word") == F.col("term")).select("topic", "rank", "doc_id").distinct()
     df = held.groupBy("topic", "rank").agg(F.count("*").alias("d"))
     other = held.select("topic", "doc_id", F.col("rank").alias("j"))
     pairs = held.withColumnRenamed("rank", "i").join(other, ["topic", "doc_id"]).filter("i < j").groupBy("topic", "i", "j").agg(F.count("*").alias("both"))
@@ -32,11 +39,77 @@ def umass(tokens: DataFrame, topics: DataFrame) -> DataFrame:
 
 
 def centroid_cosine(vectors: DataFrame, key: str, group: str, vector: str) -> DataFrame:
-    """key, group, cosine to the mean vector of the group, by one posexplode and two aggregations."""
-    each = vectors.select(key, group, F.posexplode(vector).alias("i", "x")).withColumn("x", F.col("x").cast("double"))
-    mean = each.groupBy(group, "i").agg(F.avg("x").alias("c"))
-    dots = each.join(mean, [group, "i"]).groupBy(key, group).agg(F.sum(F.col("x") * F.col("c")).alias("xc"), F.sum(F.col("x") * F.col("x")).alias("xx"), F.sum(F.col("c") * F.col("c")).alias("cc"))
-    return dots.select(key, group, (F.col("xc") / F.nullif(F.sqrt("xx") * F.sqrt("cc"), F.lit(0.0))).alias("cosine"))
+    """key, group, cosine to the mean vector of the group.
+
+    Means are summed within tasks (``Summarizer``), so each task hands on a vector for each group and no row is
+    taken apart; rows get their group's mean by a join that Spark broadcasts where the means are small.
+    """
+    rows = vectors.select(key, group, F.col(vector).cast("array<double>").alias("v"))
+    means = rows.groupBy(group).agg(Summarizer.mean(array_to_vector("v")).alias("m")).select(F.col(group).alias("_g"), vector_to_array("m").alias("c"))
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda a, b: a * b), F.lit(0.0), lambda s, t: s + t)
+    cosine = dot(F.col("v"), F.col("c")) / F.nullif(F.sqrt(dot(F.col("v"), F.col("v"))) * F.sqrt(dot(F.col("c"), F.col("c"))), F.lit(0.0))
+    return rows.join(means, F.col(group).eqNullSafe(F.col("_g"))).select(key, group, cosine.alias("cosine"))
+
+
+def _vectorized(docs: DataFrame, least: int) -> tuple[DataFrame, CountVectorizerModel | None]:
+    """Documents of at least ``least`` words with their counts; a vocabulary of fewer than five terms, or none, gives no model.
+
+    Terms are in two documents at least, in one where there are fewer than five documents, and in at most 85% of them.
+    """
+    kept = docs.filter(F.size("words") >= least)
+    n = kept.limit(5).count()
+    if n < 2:
+        return kept, None
+    try:
+        model = CountVectorizer(inputCol="words", outputCol="features", minDF=2 if n >= 5 else 1, maxDF=0.85, vocabSize=50_000).fit(kept)
+    except IllegalArgumentException:  # no term is left
+        return kept, None
+    return (model.transform(kept), model) if len(model.vocabulary) >= 5 else (kept, None)
+
+
+def lda_grid(docs: DataFrame, counts: list[int], iterations: int = 30, terms: int = 20, least: int = 30, seed: int = 42) -> DataFrame:
+    """k, perplexity, coherence and chosen for each number of topics below the number of documents.
+
+    Chosen is that of the greatest mean coherence, then the least perplexity. Perplexity is of the fitted
+    documents, per word, by the variational bound of an online model; coherence is of each topic's terms.
+    """
+    spark = docs.sparkSession
+    rows, vectorizer = _vectorized(docs, least)
+    out, n = [], rows.count()
+    tokens = rows.select("doc_id", F.explode("words").alias("word"))
+    words = None if vectorizer is None else spark.createDataFrame(list(enumerate(vectorizer.vocabulary)), "i int, term string")
+    for k in sorted({min(k, n - 1) for k in counts if min(k, n - 1) >= 2}) if vectorizer is not None else ():
+        model = LDA(k=k, maxIter=iterations, seed=seed, optimizer="online", subsamplingRate=1.0).fit(rows)
+        described = model.describeTopics(terms).select("topic", F.posexplode("termIndices").alias("rank", "i")).join(words, "i").select("topic", "rank", "term")
+        out.append((k, math.exp(model.logPerplexity(rows)), float(umass(tokens, described).agg(F.avg("coherence")).first()[0] or 0.0)))
+    best = min(out, key=lambda r: (-r[2], r[1]))[0] if out else None
+    return spark.createDataFrame([(*r, r[0] == best) for r in out], "k int, perplexity double, coherence double, chosen boolean")
+
+
+def lda_weights(docs: DataFrame, k: int = 20, iterations: int = 30, least: int = 30, seed: int = 42) -> DataFrame:
+    """doc_id, topic, probability and dominant for each document of ``least`` words and each topic."""
+    rows, vectorizer = _vectorized(docs, least)
+    if vectorizer is None:
+        return docs.sparkSession.createDataFrame([], "doc_id long, topic int, probability double, dominant boolean")
+    model = LDA(k=min(k, max(2, rows.limit(k + 1).count() - 1)), maxIter=iterations, seed=seed, optimizer="online", subsamplingRate=1.0).fit(rows)
+    return topic_weights(model.transform(rows).select("doc_id", vector_to_array("topicDistribution").alias("v")), "doc_id", "v")
+
+
+def kmeans_with_silhouette(vectors: DataFrame, key: str, vector: str, k: int | None = None, seed: int = 42) -> DataFrame:
+    """key, cluster and the silhouette of all rows (squared distances), the same in each row."""
+    rows = vectors.select(key, array_to_vector(F.col(vector).cast("array<double>")).alias("features"))
+    k = k or max(2, min(30, int(rows.count() ** 0.5)))
+    held = KMeans(k=k, seed=seed, maxIter=10).fit(rows).transform(rows)
+    return held.select(key, F.col("prediction").alias("cluster"), F.lit(float(ClusteringEvaluator().evaluate(held))).alias("silhouette"))
+
+
+def save_topics(model, vectorizer: CountVectorizerModel, path: str) -> None:
+    """A fitted model with its vocabulary, to be read again by ``load_topics``."""
+    PipelineModel([vectorizer, model]).write().overwrite().save(path)
+
+
+def load_topics(path: str) -> PipelineModel:
+    return PipelineModel.load(path)
 
 
 def lda(docs: DataFrame, k: int = 20, iterations: int = 30, terms: int = 20, least: int = 30, seed: int = 42) -> DataFrame:

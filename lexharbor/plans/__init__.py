@@ -1,6 +1,6 @@
 """Registered queries and their SQL."""
 
-from . import tokens
+from . import meta, tokens, topics
 from .corpus import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "tokens"]
+__all__ = ["ORACLE", "QUERIES", "meta", "tokens", "topics"]

@@ -88,8 +88,7 @@ def window_segments(spark, d):
 
 
 def _window_scores(spark, d):
-    w = sg.windows(_t(spark, d, "documents")).select("doc_id", "seg_no", F.explode("words").alias("word"))
-    return lx.score(lx.match(w, _lexicon(spark, d)), ["doc_id", "seg_no"])
+    return lx.score_windows(_t(spark, d, "documents"), _lexicon(spark, d))
 
 
 @query(f"{_WIN}, wt AS (SELECT doc_id, seg_no, unnest(words) AS word FROM win), {_LEX}, {_scored('wt', 'doc_id, seg_no')} SELECT * FROM scores")
