@@ -29,8 +29,8 @@ PRIOR, SHRINK = 30.0, 3.0
 ATTESTED, PREFIXES = 8, (6, 5, 4)
 #: What a passage must outweigh for each of its words, and expected segments by chance above which one isn't significant.
 DRIFT, EXPECT = 0.5, 0.01
-#: Least factor of each number in the curve.
-RANK = 0.1
+#: Least factor of each number in the curve, and words that a task keeps in mind.
+RANK, HELD = 0.1, 50_000
 SCHEMA = "doc_id long, score double, predicted int, passages array<struct<start:int,end:int,bits:double>>"
 
 
@@ -83,7 +83,7 @@ class Model:
     def odds(self, words: list[str], own: int = 2) -> list[tuple[float, float]]:
         """Both log-odds of each word; own is the class of a text of the sample, whose own part in them is left out."""
         held = self.held[own]
-        if len(held) > 500_000:
+        if len(held) > HELD:
             held.clear()
         out = []
         for w in words:
@@ -115,21 +115,28 @@ def _sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts in which each word and beginning occurs, by class, summed within the task, with the least and greatest word of each."""
+    """Texts in which each word and beginning occurs, by class, with the least and greatest word of each; summed as far as HELD features go."""
     texts: dict[int, Counter] = {0: Counter(), 1: Counter()}
+
+    def made() -> pa.RecordBatch:
+        keys = sorted({*texts[0], *texts[1]})
+        low, high = {}, {}
+        for w in keys:
+            for b in (w, *beginnings(w)) if not w.endswith("*") else ():
+                low.setdefault(b, w)
+                high[b] = w
+        columns = [pa.array(keys, pa.string()), *(pa.array([c[k] for k in keys], pa.int64()) for c in (texts[0], texts[1])), *(pa.array([c.get(k) for k in keys], pa.string()) for c in (low, high))]
+        for c in texts.values():
+            c.clear()
+        return pa.RecordBatch.from_arrays(columns, ["feature", "d0", "d1", "low", "high"])
+
     for batch in batches:
         for kind, text in zip(batch.column("toxic").to_pylist(), utf8(batch.column("text")), strict=True):
             words = set(WORD.findall(normal(text)))
             texts[kind].update(words | {b for w in words for b in beginnings(w)} | {""})
-    keys = sorted({*texts[0], *texts[1]})
-    low, high = {}, {}
-    for w in keys:
-        for b in (w, *beginnings(w)) if not w.endswith("*") else ():
-            low.setdefault(b, w)
-            high[b] = w
-    columns = [pa.array(keys, pa.string()), *(pa.array([c[k] for k in keys], pa.int64()) for c in (texts[0], texts[1])), *(pa.array([c.get(k) for k in keys], pa.string()) for c in (low, high))]
-    for i in range(0, len(keys), 50_000):
-        yield pa.RecordBatch.from_arrays([c.slice(i, 50_000) for c in columns], ["feature", "d0", "d1", "low", "high"])
+            if len(texts[0]) + len(texts[1]) > HELD:
+                yield made()
+    yield made()
 
 
 def log_odds(d0: Column, d1: Column, n0: int, n1: int) -> tuple[Column, Column]:
