@@ -72,12 +72,13 @@ def test_models(spark):
 
 
 def test_model_is_kept(spark, tmp_path):
-    docs = spark.createDataFrame([(i, [f"w{(i + j) % 9}" for j in range(30)]) for i in range(12)], "doc_id long, words array<string>")
+    docs = spark.createDataFrame([(i, [f"w{(5 * i + j) % 60}" for j in range(30)]) for i in range(12)], "doc_id long, words array<string>")
     rows, vectorizer = topics._vectorized(docs, 30)
     from pyspark.ml.clustering import LDA
 
     topics.save_topics(LDA(k=2, maxIter=2).fit(rows), vectorizer, str(tmp_path / "m"))
     assert topics.load_topics(str(tmp_path / "m")).transform(docs).filter("topicDistribution IS NOT NULL").count() == 12
+    assert topics._vectorized(docs, 31)[1] is None
 
 
 def test_conllu(spark, tmp_path):
