@@ -166,7 +166,7 @@ def test_maps(spark):
 
 
 def test_lexicon_columns(spark):
-    table = spark.createDataFrame([("1", "Vesel|radost", "joy", "0,5", "da", "1"), ("2", "tih", "sad", "1", "", "n")], "`Id` string, `Slovenian word(s)` string, English string, `Joy-intensity` string, veselje string, Žalost string")
+    table = spark.createDataFrame([("1", "Vesel|radost", "joy", "0,5", "da", "1"), ("2", "tih", "sad", "1", "", "n")], "`Id` string, `Slovenian word(s)` string, English string, `Joy-intensity` string, veselje string, `Žalost` string")
     assert lexicon.word_column(table) == "Slovenian word(s)" and lexicon.word_column(table, "english") == "English"
     assert lexicon.roles(table, "Slovenian word(s)") == {"joy intensity": ["Joy-intensity"], "joy": ["veselje"], "sadness": ["Žalost"]}
     got = {r.key: (r.joy, r.joy_intensity, r.sadness, r.anger, r.valence) for r in lexicon.load_by_roles(table).collect()}
