@@ -222,7 +222,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     usable = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     same = usable.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     same = scratch.save(same.filter("copies > 1").drop("copies"), "same")
-    owner = scratch.save(signed.select("doc_id", "n_shingles", "f1", "f2").join(same, ["f1", "f2", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")), "owner")
+    owner = scratch.save(signed.select("doc_id", "n_shingles", "f1", "f2").join(same, ["f1", "f2", "n_shingles"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep")), "owner")
     spare = owner.filter("doc_id <> rep").select("doc_id")
     reps = without(usable, spare)
 
