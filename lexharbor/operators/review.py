@@ -136,3 +136,17 @@ def report(sections: dict[str, DataFrame], digits: int = 4) -> DataFrame:
     return out
 
 
+
+
+def preview(docs: DataFrame, first: int = 5) -> DataFrame:
+    """item, value on documents (doc_id, text, attrs, name): rows, ids, blank texts, all keys of metadata and the first names."""
+    one = docs.agg(F.count("*").cast("string").alias("documents"), F.count_distinct("doc_id").cast("string").alias("distinct_ids"), F.count_if(F.trim(F.coalesce("text", F.lit(""))) == "").cast("string").alias("blank_texts"))
+    keys = docs.select(F.explode(F.map_keys("attrs")).alias("k")).agg(F.array_join(F.array_sort(F.collect_set("k")), ",").alias("keys"))
+    head = docs.orderBy("doc_id").limit(first).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "name"))), lambda x: x["name"]), " ").alias("first_keys"))
+    return one.join(F.broadcast(keys)).join(F.broadcast(head)).unpivot([], ["documents", "distinct_ids", "blank_texts", "keys", "first_keys"], "item", "value")  # one row each
+
+
+def validation(facts: DataFrame, checks: dict[str, tuple[str, str]]) -> DataFrame:
+    """item and result of one row of facts: ok where a check's condition holds, else what it says (warn or fail)."""
+    held = {name: F.when(F.expr(test), "ok").otherwise(bad) for name, (test, bad) in checks.items()}
+    return facts.select(F.explode(F.array(*(F.struct(F.lit(n).alias("item"), c.alias("result")) for n, c in held.items()))).alias("x")).select("x.*")

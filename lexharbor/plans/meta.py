@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as tx
 from ..operators import metadata as md, review as rv, segments as sg
-from ..sources import conllu
+from ..sources import conllu, delimited
 from .corpus import _t, query
 from .tokens import _ANN
 
@@ -242,3 +242,57 @@ def document_sizes(spark, d):
     return n.groupBy(F.floor(F.col("n") / 100).alias("hundred")).agg(F.count("*").alias("n_docs"), F.min("n").alias("least"), F.max("n").alias("most"), F.max("longest").cast("long").alias("longest"))
 
 
+
+
+@query("SELECT unnest([0, 1, 2, 3]) AS place, unnest(['o_orderkey', 'o_orderstatus', 'o_totalprice', 'flag']) AS column, unnest(['bigint', 'string', CASE WHEN bool_and(o_totalprice = floor(o_totalprice)) THEN 'bigint' ELSE 'double' END, 'boolean']) AS type FROM orders")
+def types_inferred(spark, d):
+    rows = _t(spark, d, "orders").select(F.col("o_orderkey").cast("string"), "o_orderstatus", F.col("o_totalprice").cast("string"), F.when(F.col("o_orderkey") % 3 == 0, "").when(F.col("o_orderkey") % 3 == 1, "True").otherwise("false").alias("flag"))
+    return delimited.column_types(rows)
+
+
+@query("SELECT c_custkey AS key, c_name AS name, c_acctbal AS balance, c_mktsegment AS segment FROM customer UNION ALL SELECT s_suppkey, s_name, s_acctbal, NULL FROM supplier")
+def tables_concatenated(spark, d):
+    c = _t(spark, d, "customer").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance"), F.col("c_mktsegment").alias("segment"))
+    return delimited.concatenated([c, _t(spark, d, "supplier").select(F.col("s_acctbal").alias("balance"), F.col("s_name").alias("name"), F.col("s_suppkey").alias("key"))])
+
+
+@query(f"{_BLOCKS} SELECT doc_id, count(*) AS n_tokens, any_value(lang) AS lang, coalesce(any_value(quality), -1) AS quality FROM tok JOIN documents USING (doc_id) LEFT JOIN labels USING (doc_id) GROUP BY 1")
+def statistics_with_metadata(spark, d):
+    docs = _t(spark, d, "documents")
+    stats = sg.annotate(docs).groupBy("doc_id").agg(F.count("*").alias("n_tokens"))
+    extra = docs.select("doc_id", "lang").join(_t(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left")
+    return stats.join(extra, "doc_id", "left").fillna(-1, ["quality"])
+
+
+_WORDS_SQL = ", ".join(f"('{w}')" for w in [*tx.STOPWORDS, "der", "und"])
+
+
+@query(f"{_BLOCKS}, s(w) AS (VALUES {_WORDS_SQL}) SELECT lang, count(*) AS n_words, count(*) FILTER (lower(form) IN (SELECT w FROM s)) AS n_stopwords FROM tok JOIN documents USING (doc_id) WHERE is_word GROUP BY 1")
+def stopword_shares(spark, d):
+    docs = _t(spark, d, "documents")
+    words = sg.annotate(docs).filter(tx.is_word(F.col("form"), F.col("upos"))).select("doc_id", F.lower("form").alias("w"))
+    held = words.join(delimited.stopwords(spark, extra="Der, und").select(F.col("word").alias("w"), F.lit(1).alias("stop")), "w", "left").join(docs.select("doc_id", "lang"), "doc_id")
+    return held.groupBy("lang").agg(F.count("*").alias("n_words"), F.count("stop").alias("n_stopwords"))
+
+
+@query("SELECT unnest(['documents', 'distinct_ids', 'blank_texts', 'keys', 'first_keys']) AS item, unnest([count(*)::VARCHAR, count(DISTINCT doc_id)::VARCHAR, (count(*) FILTER (trim(coalesce(text, '')) = ''))::VARCHAR, 'lang,source', 'd0 d1 d2 d3 d4']) AS value FROM documents")
+def dry_run_preview(spark, d):
+    """What an annotation would read: counts, the keys of metadata and the first five documents."""
+    docs = _t(spark, d, "documents")
+    return rv.preview(docs.select("doc_id", "text", F.create_map(F.lit("lang"), "lang", F.lit("source"), "source").alias("attrs"), F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("name")))
+
+
+@query("SELECT unnest(['rows', 'rows', 'argument', 'warning']) AS kind, unnest(['documents', 'labels', 'top', '1']) AS name, unnest([(SELECT count(*) FROM documents)::VARCHAR, (SELECT count(*) FROM labels)::VARCHAR, '25', 'few labels']) AS value")
+def review_manifest(spark, d):
+    return delimited.run_manifest({"documents": _t(spark, d, "documents"), "labels": _t(spark, d, "labels")}, {"top": 25}, ["few labels"])
+
+
+@query("""WITH c AS (SELECT count(*) AS n, count(DISTINCT doc_id) AS ids, count(*) FILTER (coalesce(text, '') = '') AS blank, count(*) FILTER (n_chars <> length(text)) AS wrong, count(*) FILTER (regexp_matches(text, '[\x00-\x08]')) AS odd FROM documents)
+SELECT unnest(['has_documents', 'unique_ids', 'filled_texts', 'right_lengths', 'plain_characters', 'labels_known', 'labels_enough']) AS item, unnest([CASE WHEN n > 0 THEN 'ok' ELSE 'fail' END, CASE WHEN ids = n THEN 'ok' ELSE 'fail' END, CASE WHEN blank = 0 THEN 'ok' ELSE 'warn' END, CASE WHEN wrong = 0 THEN 'ok' ELSE 'warn' END, CASE WHEN odd = 0 THEN 'ok' ELSE 'warn' END,
+CASE WHEN (SELECT count(*) FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)) = 0 THEN 'ok' ELSE 'fail' END, CASE WHEN (SELECT count(*) FROM labels) >= 0.8 * n THEN 'ok' ELSE 'warn' END]) AS result FROM c""".replace("\\\\", "\\"))
+def output_validation(spark, d):
+    docs, labels = _t(spark, d, "documents"), _t(spark, d, "labels")
+    stray = labels.join(docs, "doc_id", "left_anti").agg(F.count("*").alias("stray"))
+    n = labels.agg(F.count("*").alias("labels"))
+    one = docs.agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("ids"), F.count_if(F.coalesce("text", F.lit("")) == "").alias("blank"), F.count_if(F.col("n_chars") != F.length("text")).alias("wrong"), F.count_if(F.col("text").rlike(r"[\x00-\x08]")).alias("odd"))
+    return rv.validation(one.join(F.broadcast(stray)).join(F.broadcast(n)), {"has_documents": ("n > 0", "fail"), "unique_ids": ("ids = n", "fail"), "filled_texts": ("blank = 0", "warn"), "right_lengths": ("wrong = 0", "warn"), "plain_characters": ("odd = 0", "warn"), "labels_known": ("stray = 0", "fail"), "labels_enough": ("labels >= 0.8 * n", "warn")})

@@ -241,3 +241,22 @@ def test_lda_reads_every_document(spark):
     full = topics.lda(spark.createDataFrame(rows, "doc_id long, words array<string>"))
     assert full.groupBy("topic").count().filter("count = 20").count() == 20
     assert topics.lda(spark.createDataFrame(short, "doc_id long, words array<string>")).count() == 0
+
+
+def test_sources(spark, tmp_path):
+    (tmp_path / "t.tsv").write_text("id\ta;b\tn\n1\tx;y\t2,5\n2\t\t\n")
+    table = delimited.read(spark, str(tmp_path / "t.tsv"))
+    assert table.columns == ["id", "a;b", "n"] and {r["column"]: r["type"] for r in delimited.column_types(table).collect()} == {"id": "bigint", "a;b": "string", "n": "string"}
+    assert dict(delimited.retyped(table).dtypes)["id"] == "bigint"
+    assert [(r.pos, r.doc_id, r.attrs) for r in delimited.source_rows(spark, str(tmp_path / "t.tsv")).orderBy("pos").collect()] == [(0, "1", {"id": "1", "a;b": "x;y", "n": "2,5"}), (1, "2", {"id": "2"})]
+    (tmp_path / "m.conllu").write_text(CONLLU)
+    assert [(r.doc_id, r.attrs) for r in delimited.source_rows(spark, str(tmp_path / "m.conllu")).collect()] == [("d1", {"title": "One"})]
+    (tmp_path / "m.xml").write_text('<c><doc id="a" title="T">x</doc><doc id="a">y</doc></c>')
+    assert [(r.doc_id, r.attrs["id"]) for r in delimited.source_rows(spark, str(tmp_path / "m.xml")).orderBy("pos").collect()] == [("a", "a"), ("a-002", "a")]
+    (tmp_path / "stop.txt").write_text("# none\nEiner,\n\n")
+    words = {r.word for r in delimited.stopwords(spark, str(tmp_path / "stop.txt"), "Und").collect()}
+    assert {"einer", "und", "ali"} <= words and "# none" not in words
+    delimited.write_tsv(table, str(tmp_path / "out"), True)
+    assert delimited.manifest(spark, str(tmp_path / "t.tsv")).first().length == 25
+    kept = delimited.run_manifest({"t": table}, {"a": 1}, ["w"]).collect()
+    assert [tuple(r) for r in kept] == [("argument", "a", "1"), ("warning", "1", "w"), ("rows", "t", "2")]
