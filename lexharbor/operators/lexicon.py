@@ -132,19 +132,15 @@ def score_windows(docs: DataFrame, lexicon: DataFrame, size: int = 250, step: in
 
 
 def match_by_sources(tokens: DataFrame, lexicon: DataFrame, sources: list[str], upos: list[str] | None = None) -> DataFrame:
-    """tokens with lex_key and source: the first of the source columns whose value is a key. Only words of the given tags are looked up.
+    """tokens with lex_key, source and the lexicon's columns: the first of the source columns whose value is a key. Only words of the given tags are looked up.
 
-    Keys are looked up once for each distinct combination of the sources' values.
+    One left join for each source and one for the values; Spark broadcasts a small lexicon by itself.
     """
     able = F.lit(True) if upos is None else F.col("upos").isin(upos)
-    names = [f"_k{i}" for i in range(len(sources))]
-    rows = tokens.withColumns({n: F.when(able, F.col(s)) for n, s in zip(names, sources, strict=True)})
-    combos = rows.select(*names).distinct()
-    for n in names:
-        combos = combos.join(lexicon.select(F.col("key").alias(f"{n}_hit")), F.col(n) == F.col(f"{n}_hit"), "left")
-    combos = combos.select(*names, F.coalesce(*(F.col(f"{n}_hit") for n in names)).alias("lex_key"), F.coalesce(*(F.when(F.col(f"{n}_hit").isNotNull(), F.lit(s)) for n, s in zip(names, sources, strict=True))).alias("source"))
-    same = reduce(Column.__and__, (F.col(f"t.{n}").eqNullSafe(F.col(f"c.{n}")) for n in names))
-    found = rows.alias("t").join(combos.alias("c"), same, "left").select("t.*", "c.lex_key", "c.source").drop(*names)
+    rows, names = tokens, [f"_hit{i}" for i in range(len(sources))]
+    for n, s in zip(names, sources, strict=True):
+        rows = rows.join(lexicon.select(F.col("key").alias(n)), F.when(able, F.col(s)) == F.col(n), "left")
+    found = rows.withColumn("source", F.coalesce(*(F.when(F.col(n).isNotNull(), F.lit(s)) for n, s in zip(names, sources, strict=True)))).withColumn("lex_key", F.coalesce(*names)).drop(*names)
     return found.join(lexicon.withColumnRenamed("key", "lex_key"), "lex_key", "left")
 
 

@@ -52,7 +52,9 @@ def annotate(docs: DataFrame) -> DataFrame:
     token = r"\p{L}+|[0-9]+|[^\s\p{L}0-9]"
     cut = lambda line, p: F.transform(F.regexp_extract_all(line, F.lit("[^.!?]+[.!?]*"), F.lit(0)), lambda s, i: F.transform(F.regexp_extract_all(s, F.lit(token + r"|\s+"), F.lit(0)), lambda t, j: F.struct((p + 1).alias("par"), (i + 1).alias("sent"), j.alias("at"), t.alias("form"))))
     parts = F.flatten(F.flatten(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), cut)))
-    each = docs.select("doc_id", F.posexplode(F.filter(F.arrays_zip(parts.alias("t"), F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1))).alias("next")), lambda x: ~x.t.form.rlike(r"^\s"))).alias("pos", "x"))
+    cut_once = docs.select("doc_id", parts.alias("_parts"))  # read several times below, made once
+    after_each = F.slice("_parts", 2, F.greatest(F.size("_parts"), F.lit(1)))
+    each = cut_once.select("doc_id", F.posexplode(F.filter(F.arrays_zip(F.col("_parts").alias("t"), after_each.alias("next")), lambda x: ~x.t.form.rlike(r"^\s"))).alias("pos", "x"))
     form = F.col("x.t.form")
     upos = F.when(form.rlike("^[0-9]+$"), "NUM").when(~form.rlike(r"\p{L}"), "PUNCT").when(form.rlike(r"^\p{Lu}"), "PROPN").otherwise(F.element_at(F.array(*map(F.lit, ("VERB", "ADJ", "NOUN", "ADP"))), (F.length(form) % 4 + 1)))
     after = F.col("x.next.form").isNull() | F.col("x.next.form").rlike(r"^\s")
