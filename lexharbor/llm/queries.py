@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, licenses, near_dedup, packing, pii, sharding, suffix_dedup, tiff, toxicity, url_filter
+from . import decontaminate, licenses, near_dedup, packing, pii, sharding, suffix_dedup, tiff, topk, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,7 +59,11 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.scan(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_url_filter, op3_toxicity, op4_sharding, op5_suffix_dedup, op6_personal_data, op7_license_scan, op8_best_fit_packing, op9_tiff_media, op10_decontamination)}
+def op11_bit_sliced_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_table(spark, sf_dir, "embeddings"), every=50, k=5, scale=256)
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_url_filter, op3_toxicity, op4_sharding, op5_suffix_dedup, op6_personal_data, op7_license_scan, op8_best_fit_packing, op9_tiff_media, op10_decontamination, op11_bit_sliced_top_k)}
 
 _WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _LOW = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -75,6 +79,11 @@ f AS (SELECT p.page_id, p.host, p.path, r.host_part || r.path_part AS rule, r.ve
 SELECT page_id, host, path, rule, CASE WHEN rule IS NOT NULL THEN verdict
   WHEN regexp_matches(host || path, '^[^/]*ads-track\.') OR starts_with(host || path, 'ads.') OR regexp_matches(host || path, '/login[^/]\.php$') OR ends_with(host || path, '.exe') THEN 'block'
   ELSE 'allow' END AS verdict FROM f WHERE n = 1""",
+    "op11_bit_sliced_top_k": """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.q, b.q)::BIGINT AS score FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5""",
     "op10_decontamination": r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
