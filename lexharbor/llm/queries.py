@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, licenses, near_dedup, packing, pii, sharding, suffix_dedup, tiff, topk, toxicity, url_filter
+from . import conversations, decontaminate, licenses, near_dedup, packing, pii, sharding, suffix_dedup, tiff, topk, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,7 +63,11 @@ def op11_bit_sliced_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(_table(spark, sf_dir, "embeddings"), every=50, k=5, scale=256)
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_url_filter, op3_toxicity, op4_sharding, op5_suffix_dedup, op6_personal_data, op7_license_scan, op8_best_fit_packing, op9_tiff_media, op10_decontamination, op11_bit_sliced_top_k)}
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(_table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_url_filter, op3_toxicity, op4_sharding, op5_suffix_dedup, op6_personal_data, op7_license_scan, op8_best_fit_packing, op9_tiff_media, op10_decontamination, op11_bit_sliced_top_k, op13_conversation_repair)}
 
 _WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _LOW = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -123,3 +127,43 @@ d AS (SELECT doc_id, {_canonical_sql("text")} AS c FROM documents),
 n AS (SELECT doc_id, string_agg(license, ',' ORDER BY license) AS notices, count(*) AS n_notices FROM (SELECT DISTINCT d.doc_id, k.license FROM d JOIN k ON k.n >= {licenses.HEAD} AND contains(' ' || d.c || ' ', ' ' || k.c || ' ')) GROUP BY 1)
 SELECT d.doc_id, sha256(d.c) AS digest, k.license, coalesce(n.notices, '') AS notices, coalesce(n.n_notices, 0) AS n_notices
 FROM d LEFT JOIN k ON k.c = d.c LEFT JOIN n ON n.doc_id = d.doc_id"""
+
+
+def _cheapest(*tops: str) -> str:
+    return f"list_min([{', '.join(tops)}])"
+
+
+def _edit(top: str, cost: str, edit: str, line: str = "''") -> str:
+    """A top after an edit: cost, audit and the repaired lines so far (a top that nothing leads to costs 1e9)."""
+    return f"{{'c': {top}.c + {cost}, 'w': {top}.w || '{edit}', 't': {top}.t || {line}}}"
+
+
+_NOTHING = "{'c': 1000000000, 'w': '', 't': ''}"
+_IN_U = _cheapest("u", *(_edit(t, "2", "I", "chr(10) || 'user:'") for t in "esa"))
+_IN_A = _cheapest("a", _edit("v", "2", "I", "chr(10) || 'assistant:'"))
+_KEPT = "chr(10) || role || ':' || text"
+_GONE = "CASE WHEN f IN (1, 2) THEN 1000000000 ELSE (f = 3)::INT END"
+
+
+def _into(own: str, before: str, initial: str, name: str) -> str:
+    """The best top ``own`` after a turn: it goes, is kept behind one of ``before``, or takes another role."""
+    keep = [_edit(t, f"CASE WHEN left(role, 1) = '{initial}' THEN {_GONE} ELSE 1000000000 END", "K", _KEPT) for t in before]
+    return _cheapest(_edit(own, "3", "D"), *keep, *(_edit(t, f"2 + {_GONE}", "R", f"chr(10) || '{name}:' || text") for t in before if name))
+
+
+ORACLE["op13_conversation_repair"] = rf"""
+WITH RECURSIVE o AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+h AS (SELECT *, list_reduce([4294967295::UBIGINT] || list_transform(range(1, len(k) + 1), lambda i: ascii(k[i])::UBIGINT), lambda c, b: list_reduce([xor(c, b)] || [0::UBIGINT, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384::UBIGINT ELSE 0::UBIGINT END))) AS z FROM o),
+d AS (SELECT conv_id, turn, CASE WHEN m = 4 THEN 'user' ELSE role END AS role, CASE m WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN m = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM (SELECT *, xor(z, 4294967295::UBIGINT) % 20 AS m FROM h) WHERE m <> 0),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS seen, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS p FROM (SELECT *, row_number() OVER w AS i FROM d WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text))),
+r AS (SELECT conv_id, turn, role, text, i, p, CASE WHEN NOT regexp_matches(text, '[^ 	-
+]') THEN 1 WHEN seen > 1 THEN 2 WHEN NOT regexp_matches(text, '[.!?][ 	-
+]*$') THEN 3 ELSE 0 END AS f FROM n),
+g AS (SELECT DISTINCT conv_id, 1::BIGINT AS i, {{'c': 0, 'w': '', 't': ''}} AS e, {_NOTHING} AS s, {_NOTHING} AS u, {_NOTHING} AS a FROM conversations
+  UNION ALL SELECT conv_id, i + 1, {_edit("e", "3", "D")}, {_into("s", "e", "s", "")}, {_into("v", "esx", "u", "user")}, {_into("x", "v", "a", "assistant")}
+  FROM (SELECT *, {_IN_A} AS x FROM (SELECT g.*, r.role, r.text, r.f, {_IN_U} AS v FROM g JOIN r ON r.conv_id IS NOT DISTINCT FROM g.conv_id AND r.i = g.i))),
+l AS (SELECT conv_id, {_cheapest("e", "x")} AS b FROM (SELECT *, {_IN_A} AS x FROM (SELECT *, {_IN_U} AS v FROM (SELECT * FROM g QUALIFY i = max(i) OVER (PARTITION BY conv_id))))),
+t AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(f = 1) AS blank, count_if(f = 2) AS duplicate, count_if(f = 3) AS truncated, count_if(p || left(role, 1) NOT IN ('su', 'ua', 'au')) AS illegal FROM r GROUP BY 1)
+SELECT l.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+  b.c::BIGINT AS cost, b.w AS audit, sha256(substr(b.t, 2)) AS repaired_sha256 FROM l LEFT JOIN t ON t.conv_id IS NOT DISTINCT FROM l.conv_id"""
