@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import conversations, decontaminate, licenses, near_dedup, packing, pii, sharding, suffix_dedup, tiff, topk, toxicity, url_filter
+from . import collocations, conversations, decontaminate, licenses, near_dedup, packing, pii, sharding, suffix_dedup, tiff, topk, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,11 +63,15 @@ def op11_bit_sliced_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(_table(spark, sf_dir, "embeddings"), every=50, k=5, scale=256)
 
 
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(_table(spark, sf_dir, "documents"))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair(_table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_url_filter, op3_toxicity, op4_sharding, op5_suffix_dedup, op6_personal_data, op7_license_scan, op8_best_fit_packing, op9_tiff_media, op10_decontamination, op11_bit_sliced_top_k, op13_conversation_repair)}
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_url_filter, op3_toxicity, op4_sharding, op5_suffix_dedup, op6_personal_data, op7_license_scan, op8_best_fit_packing, op9_tiff_media, op10_decontamination, op11_bit_sliced_top_k, op12_phrase_collocations, op13_conversation_repair)}
 
 _WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _LOW = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -83,6 +87,18 @@ f AS (SELECT p.page_id, p.host, p.path, r.host_part || r.path_part AS rule, r.ve
 SELECT page_id, host, path, rule, CASE WHEN rule IS NOT NULL THEN verdict
   WHEN regexp_matches(host || path, '^[^/]*ads-track\.') OR starts_with(host || path, 'ads.') OR regexp_matches(host || path, '/login[^/]\.php$') OR ends_with(host || path, '.exe') THEN 'block'
   ELSE 'allow' END AS verdict FROM f WHERE n = 1""",
+    "op12_phrase_collocations": r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+w AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM p),
+n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY 1),
+g AS (SELECT lang, m, w, unnest(range(1, len(w) - m + 2)) AS i FROM w, range(1, 6) r(m) WHERE len(w) >= m),
+f AS (SELECT lang, m, w[i : i + m - 1] AS p, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 100),
+c AS (SELECT f.lang, f.m, f.p, f.f AS a, n.n, unnest(range(1, f.m)) AS k FROM f JOIN n USING (lang) WHERE f.m > 1),
+s AS (SELECT c.*, l.f AS l, r.f AS r, ((1000::HUGEINT * c.a * c.n) // (l.f::HUGEINT * r.f))::BIGINT AS score FROM c JOIN f l ON l.lang = c.lang AND l.p = c.p[1 : c.k] JOIN f r ON r.lang = c.lang AND r.p = c.p[c.k + 1 : c.m]),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1),
+d AS (SELECT lang, f, p[1 : m - 1] AS p FROM f WHERE m > 2 UNION SELECT lang, f, p[2 : m] FROM f WHERE m > 2),
+o AS (SELECT b.lang, array_to_string(b.p, ' ') AS phrase, b.a, b.l, b.r, b.n, b.score FROM b WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.lang = b.lang AND d.p = b.p AND d.f >= b.a))
+SELECT lang, rank::INT AS rank, phrase, a, l, r, n, score FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM o) WHERE rank <= 2000""",
     "op11_bit_sliced_top_k": """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
