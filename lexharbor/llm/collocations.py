@@ -29,8 +29,8 @@ from .scratch import Scratch
 LONGEST, TOP, LEAST = 5, 2000, 100
 #: Shares of the words that may be expanded after each step.
 STEPS = (0.25, 0.5, 1.0)
-#: Bits (as a power of two) of a set of fingerprints, and fingerprints that are counted in a task at a time.
-BITS, HELD = 26, 1 << 20
+#: Bits (as a power of two) of a set of fingerprints, fingerprints that a task counts, and texts and bytes of them that it codes at a time.
+BITS, HELD, ROWS, BLOCK = 25, 1 << 18, 256, 1 << 18
 _STEP = np.random.default_rng(12).integers(1, 2**63, LONGEST, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _GAP, _BREAK = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
 _GAP[[0x20, 0x09]] = True
@@ -65,30 +65,30 @@ def words(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def _coded(batch: pa.RecordBatch) -> Iterator[tuple]:
-    """For stretches of documents: their text, codes of the words (with the language), starts, ends, pieces and documents."""
-    texts = utf8(batch.column("text"))
-    langs = utf8(batch.column("lang"))
-    seed = {x: int(mix(mix(prefix_hash(np.frombuffer(x, dtype=np.uint8))[-1:]) + _STEP[:1])[0]) for x in set(langs)}  # unlike a word's hash
-    seeds = np.array([seed[x] for x in langs], dtype=np.uint64)
-    for lo, hi in blocks(texts):
-        joined = b"\n".join(texts[lo:hi]).lower()
-        h, start, end, piece = words(joined)
-        at = np.cumsum([0, *(len(t) + 1 for t in texts[lo : hi - 1])])
-        doc = np.searchsorted(at, start, "right") - 1 + lo
-        yield joined, np.maximum(mix(h ^ seeds[doc]), np.uint64(1)), start, end, piece, doc
+def _coded(whole: pa.RecordBatch) -> Iterator[tuple]:
+    """For stretches of documents: their text, codes of the words (with the language), starts, ends, pieces and languages."""
+    for top in range(0, whole.num_rows, ROWS):
+        batch = whole.slice(top, ROWS)
+        texts, langs = utf8(batch.column("text")), utf8(batch.column("lang"))
+        seed = {x: int(mix(mix(prefix_hash(np.frombuffer(x, dtype=np.uint8))[-1:]) + _STEP[:1])[0]) for x in set(langs)}  # unlike a word's hash
+        seeds, langs = np.array([seed[x] for x in langs], dtype=np.uint64), np.array(langs, dtype=object)
+        for lo, hi in blocks(texts, BLOCK):
+            joined = b"\n".join(texts[lo:hi]).lower()
+            h, start, end, piece = words(joined)
+            at = np.cumsum([0, *(len(t) + 1 for t in texts[lo : hi - 1])])
+            doc = np.searchsorted(at, start, "right") - 1 + lo
+            yield joined, np.maximum(mix(h ^ seeds[doc]), np.uint64(1)), start, end, piece, langs[doc]
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, code, word, c) of the words of each stretch."""
     for batch in batches:
-        langs = batch.column("lang")
-        for joined, code, start, end, _, doc in _coded(batch):
+        for joined, code, start, end, _, lang in _coded(batch):
             if not len(code):
                 continue
             own, first, count = np.unique(code, return_index=True, return_counts=True)
             names = [joined[a:b].decode() for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([langs.take(pa.array(doc[first])), pa.array(own.view(np.int64)), pa.array(names), pa.array(count)], ["lang", "code", "word", "c"])
+            yield pa.RecordBatch.from_arrays([pa.array([x.decode() for x in lang[first]]), pa.array(own.view(np.int64)), pa.array(names), pa.array(count)], ["lang", "code", "word", "c"])
 
 
 def _in(bits: np.ndarray, x: np.ndarray) -> np.ndarray:

@@ -119,7 +119,7 @@ def _schema(spark_type: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(spark_type))
 
 
-def _chunks(kinds: pa.Schema):
+def _chunks(kinds: pa.Schema, size: int):
     """Over sorted turns: a row for each chunk. Only a task's first conversation may have turns in an earlier task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,7 +133,7 @@ def _chunks(kinds: pa.Schema):
         for batch in batches:
             for conv, turn, role, text, fault, copies in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 for i in range(copies):
-                    if held and (conv != held[0][0] or len(held) == CHUNK):
+                    if held and (conv != held[0][0] or len(held) == size):
                         yield made()
                         inside, seq, held = conv == held[0][0], seq + 1, []
                     held.append((conv, turn, role, text, DUPLICATE if i and fault != BLANK else fault))
@@ -260,7 +260,7 @@ def faulted(rows: DataFrame) -> DataFrame:
     return rows.join(first, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("role") == F.col("r")) & (key == F.col("h"))).select("conv_id", "turn", "role", "text", fault.alias("fault"), "copies")
 
 
-def repair(conversations: DataFrame, damage: bool = True) -> DataFrame:
+def repair(conversations: DataFrame, damage: bool = True, size: int = CHUNK) -> DataFrame:
     """One row per conv_id: gaps, blank, duplicate, truncated, illegal, cost, audit, repaired_sha256.
 
     Turns are damaged first (unless ``damage`` is false) and then ordered by turn, nulls first, and within a turn by
@@ -269,14 +269,14 @@ def repair(conversations: DataFrame, damage: bool = True) -> DataFrame:
     chosen, of equally cheap ones those of the least audit. A conversation of which no turn is left has zeros, an
     empty audit and the hash of nothing. Extra columns are ignored; an empty table gives an empty result.
 
-    A task holds a chunk of CHUNK turns and, of one conversation at a time, the audit. The hash of one repaired
+    A task holds a chunk of ``size`` turns and, of one conversation at a time, the audit. The hash of one repaired
     conversation is made chunk by chunk in one task.
     """
     spark = conversations.sparkSession
     scratch = Scratch(spark, "conversations")
     order = ["conv_id", "turn", "role", "text"]
     rows = damaged(conversations) if damage else conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), *(F.coalesce(c, F.lit(" ")).alias(c) for c in ("role", "text"))).groupBy(*order).agg(F.count("*").alias("copies"))
-    chunks = scratch.save(faulted(rows).repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_chunks(_schema(_CHUNKS)), _CHUNKS), "chunks")
+    chunks = scratch.save(faulted(rows).repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_chunks(_schema(_CHUNKS), size), _CHUNKS), "chunks")
     tables = chunks.select("conv_id", "part", "seq", F.size("faults").alias("n"), "tops")
     shares = tables.repartition(F.col("conv_id")).sortWithinPartitions("conv_id", "part", "seq").mapInArrow(_shares(_schema(_SHARES)), _SHARES)
     shares = scratch.save(shares, "shares")
