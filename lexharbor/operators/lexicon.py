@@ -10,17 +10,27 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as tx
+from .fuzzy import nearest
 
 #: The emotions in the order that breaks ties, and names by which columns are known.
 EMOTIONS = ["anger", "anticipation", "disgust", "fear", "joy", "sadness", "surprise", "trust"]
 SENTIMENTS, VAD = ["positive", "negative"], ["valence", "arousal", "dominance"]
 LEXICAL = ["NOUN", "PROPN", "VERB", "ADJ", "ADV", "INTJ"]
 NAMES = {
-    "anger": "anger jeza angry", "anticipation": "anticipation anticip pričakovanje pricakovanje", "disgust": "disgust gnus odpor", "fear": "fear strah",
-    "joy": "joy veselje radost happiness happy", "sadness": "sadness zalost žalost sad", "surprise": "surprise presenecenje presenečenje", "trust": "trust zaupanje",
-    "positive": "positive positivity pozitivno pozitiven pos", "negative": "negative negativity negativno negativen neg",
-    "valence": "valence valenca vad_valence nrc_vad_valence", "arousal": "arousal vzburjenje vzburjenost aktivacija vad_arousal nrc_vad_arousal", "dominance": "dominance dominanca vad_dominance nrc_vad_dominance",
-}
+    "anger": ["anger", "jeza", "angry"],
+    "anticipation": ["anticipation", "anticip", "pričakovanje", "pricakovanje"],
+    "disgust": ["disgust", "gnus", "odpor"],
+    "fear": ["fear", "strah"],
+    "joy": ["joy", "veselje", "radost", "happiness", "happy"],
+    "sadness": ["sadness", "zalost", "žalost", "sad"],
+    "surprise": ["surprise", "presenecenje", "presenečenje"],
+    "trust": ["trust", "zaupanje"],
+    "positive": ["positive", "positivity", "pozitivno", "pozitiven", "pos"],
+    "negative": ["negative", "negativity", "negativno", "negativen", "neg"],
+    "valence": ["valence", "valenca", "vad_valence", "nrc_vad_valence"],
+    "arousal": ["arousal", "vzburjenje", "vzburjenost", "aktivacija", "vad_arousal", "nrc_vad_arousal"],
+    "dominance": ["dominance", "dominanca", "vad_dominance", "nrc_vad_dominance"],
+}
 WORD_COLUMNS = ["slovene", "slovenian", "sl", "word_sl", "sl_word", "slo", "lemma", "lemmas", "word", "term", "entry", "lexeme", "token", "form"]
 NO_WORD_COLUMNS = ["id", "index", "source", "origin", "english", "en", "translation", "notes", "comment"]
 INTENSITY_MARKS = ["intensity", "intens", "affect", "score"]
@@ -32,43 +42,51 @@ def _name(column: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFD", plain) if unicodedata.category(c) != "Mn")
 
 
+def _decimal(column: str | Column) -> Column:
+    """A number with a decimal comma or point; null for anything else."""
+    return F.replace((F.col(column) if isinstance(column, str) else column).cast("string"), F.lit(","), F.lit(".")).try_cast("double")
+
+
 def word_column(table: DataFrame, wanted: str | None = None) -> str:
-    """The wanted column, or the first of the known names, or the first column whose first 50 values are under a fifth numbers."""
-    named = {_name(c): c for c in reversed(table.columns)}
+    """The column that holds the words: the wanted one, else by its name, else by what its first 50 rows hold.
+
+    Names are compared in their plain form, known ones in their order; of columns by content, the first counts of
+    which under a fifth are numbers and whose name isn't that of notes, sources or translations.
+    """
+    plain = {c: _name(c) for c in table.columns}
     if wanted is not None:
-        if wanted not in table.columns and _name(wanted) not in named:
-            raise ValueError(f"no column {wanted}")
-        return wanted if wanted in table.columns else named[_name(wanted)]
-    for n in WORD_COLUMNS:
-        if n in named:
-            return named[n]
-    left = [c for c in table.columns if _name(c) not in NO_WORD_COLUMNS]
-    if left:
-        head = table.select(*left).limit(50)
-        share = head.agg(*(F.avg(F.replace(F.col(c).cast("string"), F.lit(","), F.lit(".")).try_cast("double").isNotNull().cast("int")).alias(str(i)) for i, c in enumerate(left))).first()
-        for i, c in enumerate(left):
-            if (share[str(i)] or 0) < 0.2:
-                return c
-    raise ValueError("no column of words")
+        fit = [c for c in plain if c == wanted] or [c for c in plain if plain[c] == _name(wanted)]
+    else:
+        fit = sorted((c for c in plain if plain[c] in WORD_COLUMNS), key=lambda c: WORD_COLUMNS.index(plain[c]))
+    if not fit and wanted is None:
+        open_ = [c for c in plain if plain[c] not in NO_WORD_COLUMNS]
+        numbers = table.limit(50).agg(F.count("*"), *(F.count(_decimal(f"`{c}`")) for c in open_)).first()
+        fit = [c for c, n in zip(open_, numbers[1:], strict=True) if 5 * n < max(1, numbers[0])]
+    if not fit:
+        raise ValueError(f"no column {wanted}" if wanted else "no column of words")
+    return fit[0]
+
+
+def _rules() -> list[tuple[str, set[str], set[str]]]:
+    """(role, names of which a column's name is one or has one as a part, parts that speak against it)."""
+    against = {s: {_name(n) for n in NAMES["valence"][:2]} for s in SENTIMENTS}
+    return [(role, {_name(n) for n in names}, against.get(role, set())) for role, names in NAMES.items()]
 
 
 def roles(table: DataFrame, words: str) -> dict[str, list[str]]:
     """Columns by what they hold: an emotion, its intensity (``joy intensity``), a sentiment or a VAD dimension."""
-    out: dict[str, list[str]] = {}
-    for column in table.columns:
-        own = _name(column)
-        parts = {own, *own.split("_")}
-        for name, known in NAMES.items():
-            if column == words or not parts & {_name(k) for k in known.split()} or (name in SENTIMENTS and ("valence" in own or "valenca" in own)):
-                continue
-            strong = name in EMOTIONS and any(m in own for m in INTENSITY_MARKS)
-            out.setdefault(f"{name} intensity" if strong else name, []).append(column)
-    return out
+    found = [
+        (f"{role} intensity" if role in EMOTIONS and any(m in _name(c) for m in INTENSITY_MARKS) else role, c)
+        for c in table.columns
+        for role, names, against in _rules()
+        if c != words and names & {_name(c), *_name(c).split("_")} and not any(x in _name(c) for x in against)
+    ]
+    return {role: [c for r, c in found if r == role] for role in dict(found)}
 
 
 def from_long(table: DataFrame, word: str, emotion: str = "emotion", score: str = "score") -> DataFrame:
     """A table of (word, emotion, score) with a column for each emotion: the greatest score of each word."""
-    rows = table.select(F.col(word).alias("word"), tx.lexeme("simple", True)(F.col(emotion)).alias("e"), F.replace(F.col(score).cast("string"), F.lit(","), F.lit(".")).try_cast("double").alias("s"))
+    rows = table.select(F.col(word).alias("word"), tx.lexeme("simple", True)(F.col(emotion)).alias("e"), _decimal(score).alias("s"))
     return rows.groupBy("word").pivot("e", EMOTIONS).max("s")
 
 
@@ -131,19 +149,48 @@ def score_windows(docs: DataFrame, lexicon: DataFrame, size: int = 250, step: in
     return _measures(out, "n_words")
 
 
-def match_by_sources(tokens: DataFrame, lexicon: DataFrame, sources: list[str], upos: list[str] | None = None) -> DataFrame:
+def match_by_sources(tokens: DataFrame, lexicon: DataFrame, sources: list[str], upos: list[str] | None = None, fuzzy: int | None = None) -> DataFrame:
     """tokens with lex_key, source and the lexicon's columns: the first of the source columns whose value is a key. Only words of the given tags are looked up.
 
-    One left join for each source and one for the values; Spark broadcasts a small lexicon by itself.
+    One left join for each source and one for the values; Spark broadcasts a small lexicon by itself. With fuzzy, a
+    threshold, words without a key take the nearest one (``fuzzy.nearest``) of the first source that has any; source
+    is then ``lemma:fuzzy:`` and the value, and fuzzy_score the ratio, else null. Distinct values are compared once.
     """
     able = F.lit(True) if upos is None else F.col("upos").isin(upos)
     rows, names = tokens, [f"_hit{i}" for i in range(len(sources))]
     for n, s in zip(names, sources, strict=True):
         rows = rows.join(lexicon.select(F.col("key").alias(n)), F.when(able, F.col(s)) == F.col(n), "left")
     found = rows.withColumn("source", F.coalesce(*(F.when(F.col(n).isNotNull(), F.lit(s)) for n, s in zip(names, sources, strict=True)))).withColumn("lex_key", F.coalesce(*names)).drop(*names)
+    if fuzzy is not None:
+        left = tokens.filter(able).select(F.explode(F.array(*sources)).alias("word")).distinct().join(lexicon, F.col("word") == F.col("key"), "left_anti")
+        near = nearest(left, lexicon, fuzzy).select("word", F.struct("key", "score").alias("near"))
+        for n, s in zip(names, sources, strict=True):
+            own = near.select(F.col("word").alias(f"{n}_word"), F.col("near").alias(n))
+            found = found.join(own, F.when(able & F.col("lex_key").isNull(), F.col(s)) == F.col(f"{n}_word"), "left").drop(f"{n}_word")
+        near_source = F.coalesce(*(F.when(F.col(n).isNotNull(), F.concat(F.lit(f"{s}:fuzzy:"), F.col(s))) for n, s in zip(names, sources, strict=True)))
+        best = F.coalesce(*names)
+        found = found.withColumns({"source": F.coalesce("source", near_source), "fuzzy_score": best["score"], "lex_key": F.coalesce("lex_key", best["key"])}).drop(*names)
     return found.join(lexicon.withColumnRenamed("key", "lex_key"), "lex_key", "left")
 
 
+def match_export(matched: DataFrame, unit: str = "document") -> DataFrame:
+    """The 32 columns of a token match: where it stands, what matched, and the lexicon's values; only words that matched.
+
+    matched (doc_id, par, sent, pos, form, lemma, upos and the columns of ``match_by_sources``) may have segment_id;
+    without it, its document is the segment.
+    """
+    segment = F.col("segment_id") if "segment_id" in matched.columns else F.concat_ws("::", F.col("doc_id").cast("string"), F.lit("document-1"))
+    score = F.col("fuzzy_score") if "fuzzy_score" in matched.columns else F.lit(None).cast("double")
+    have = lambda c: F.col(c) if c in matched.columns else F.lit(None).cast("double")
+    sent = F.concat_ws(".", *(F.col(c).cast("string") for c in ("doc_id", "par", "sent")))
+    return matched.filter("lex_key IS NOT NULL").select(
+        segment.alias("segment_id"), F.lit(unit).alias("unit"), "doc_id", sent.alias("sent_id"), F.col("pos").cast("string").alias("token_id"), "form", "lemma", "upos",
+        F.col("lex_key").alias("matched_key"), F.col("source").alias("match_source"), score.alias("fuzzy_score"),
+        *(F.coalesce(e, F.lit(0.0)).alias(f"emotion_{e}") for e in EMOTIONS), *(have(f"{e}_intensity").alias(f"intensity_{e}") for e in EMOTIONS),
+        *(F.coalesce(s, F.lit(0.0)).alias(f"sentiment_{s}") for s in SENTIMENTS), *(have(v).alias(f"vad_{v}") for v in VAD),
+    )
+
+
 def score_segments(segments: DataFrame, matched: DataFrame, keys: list[str], lexical: Column | None = None) -> DataFrame:
     """The measures of ``score`` for every segment, also those without words; rates and coverage are by lexical words.
 

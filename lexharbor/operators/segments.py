@@ -43,22 +43,22 @@ def statistics(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.size(s).cast("long").alias("n_sentences"), F.size(w).cast("long").alias("n_words"), F.size(F.array_distinct(w)).cast("long").alias("n_types"))
 
 
-def annotate(docs: DataFrame) -> DataFrame:
+def annotate(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Tokens of texts by plain rules, where no annotator is at hand: doc_id, pos (place in the document), par, sent, tok, form, lemma, upos, space_after.
 
     Lines are paragraphs, sentences end at . ! or ?; lemmas are lower-cased words without a plural s; numbers,
-    marks and capitalised words are told by their form, other words by length alone.
+    marks and capitalised words are told by their form, other words by length alone. Columns in keep stay.
     """
     token = r"\p{L}+|[0-9]+|[^\s\p{L}0-9]"
     cut = lambda line, p: F.transform(F.regexp_extract_all(line, F.lit("[^.!?]+[.!?]*"), F.lit(0)), lambda s, i: F.transform(F.regexp_extract_all(s, F.lit(token + r"|\s+"), F.lit(0)), lambda t, j: F.struct((p + 1).alias("par"), (i + 1).alias("sent"), j.alias("at"), t.alias("form"))))
     parts = F.flatten(F.flatten(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), cut)))
-    cut_once = docs.select("doc_id", parts.alias("_parts"))  # read several times below, made once
+    cut_once = docs.select("doc_id", *keep, parts.alias("_parts"))  # read several times below, made once
     after_each = F.slice("_parts", 2, F.greatest(F.size("_parts"), F.lit(1)))
-    each = cut_once.select("doc_id", F.posexplode(F.filter(F.arrays_zip(F.col("_parts").alias("t"), after_each.alias("next")), lambda x: ~x.t.form.rlike(r"^\s"))).alias("pos", "x"))
+    each = cut_once.select("doc_id", *keep, F.posexplode(F.filter(F.arrays_zip(F.col("_parts").alias("t"), after_each.alias("next")), lambda x: ~x.t.form.rlike(r"^\s"))).alias("pos", "x"))
     form = F.col("x.t.form")
     upos = F.when(form.rlike("^[0-9]+$"), "NUM").when(~form.rlike(r"\p{L}"), "PUNCT").when(form.rlike(r"^\p{Lu}"), "PROPN").otherwise(F.element_at(F.array(*map(F.lit, ("VERB", "ADJ", "NOUN", "ADP"))), (F.length(form) % 4 + 1)))
     after = F.col("x.next.form").isNull() | F.col("x.next.form").rlike(r"^\s")
-    return each.select("doc_id", "pos", "x.t.par", "x.t.sent", "x.t.at", form.alias("form"), F.regexp_replace(F.lower(form), "^(.{3,})s$", "$1").alias("lemma"), upos.alias("upos"), after.alias("space_after"))
+    return each.select("doc_id", *keep, "pos", "x.t.par", "x.t.sent", "x.t.at", form.alias("form"), F.regexp_replace(F.lower(form), "^(.{3,})s$", "$1").alias("lemma"), upos.alias("upos"), after.alias("space_after"))
 
 
 def reconstructed(tokens: DataFrame, keys: list[str], order: str = "pos") -> DataFrame:

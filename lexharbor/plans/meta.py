@@ -108,14 +108,13 @@ _BLOCKS = rf"""WITH {_ANN}, x AS (SELECT *, row_number() OVER (PARTITION BY doc_
 
 def _conllu(spark: SparkSession, d: str) -> DataFrame:
     """CoNLL-U lines (file, split, row, value) of the documents: heads are the word before, metadata stands in comments."""
-    docs = _t(spark, d, "documents")
-    t = sg.annotate(docs)
+    t = sg.annotate(_t(spark, d, "documents"), ("lang", "source"))
     row = F.struct("pos", "form", "lemma", "upos", "space_after")
     body = F.transform(F.array_sort(F.collect_list(row)), lambda x, i: F.concat_ws("\t", (i + 1).cast("string"), x.form, x.lemma, x.upos, F.lit("_"), F.lit("_"), i.cast("string"), F.when(i == 0, "root").otherwise("dep"), F.lit("_"), F.when(x.upos == "PROPN", F.when(x.space_after, "NER=B-PER").otherwise("NER=B-PER|SpaceAfter=No")).when(x.space_after, "_").otherwise("SpaceAfter=No")))
-    sents = t.groupBy("doc_id", "par", "sent").agg(body.alias("rows"), F.min("pos").alias("first"))
+    sents = t.groupBy("doc_id", "par", "sent").agg(body.alias("rows"), F.min("pos").alias("first"), F.first("lang").alias("lang"), F.first("source").alias("source"))
     meta = F.array(F.concat(F.lit("# newdoc id = "), F.col("doc_id").cast("string")), F.concat(F.lit("# Gnere = "), F.col("source")), F.concat(F.lit("# doc_meta = lang="), F.col("lang"), F.lit("|leto=1850")), F.concat(F.lit("# genre = "), F.when(F.col("doc_id") % 3 == 0, F.col("lang")).otherwise("")))
     head = F.concat(F.when(F.col("first") == 0, meta).otherwise(F.array().cast("array<string>")), F.when(F.col("sent") == 1, F.array(F.concat(F.lit("# newpar id = "), F.concat_ws(".", F.col("doc_id").cast("string"), F.col("par").cast("string"))))).otherwise(F.array().cast("array<string>")), F.array(F.concat(F.lit("# sent_id = "), F.concat_ws(".", F.col("doc_id").cast("string"), F.col("par").cast("string"), F.col("sent").cast("string")))))
-    made = sents.join(docs.select("doc_id", "lang", "source"), "doc_id").select("doc_id", "par", "sent", F.explode(F.transform(F.concat(head, "rows", F.array(F.lit(""))), lambda x, i: F.struct(i.alias("i"), x.alias("value")))).alias("x"))
+    made = sents.select("doc_id", "par", "sent", F.explode(F.transform(F.concat(head, "rows", F.array(F.lit(""))), lambda x, i: F.struct(i.alias("i"), x.alias("value")))).alias("x"))
     return made.select(F.lit("documents").alias("file"), F.floor(F.col("doc_id") / 16).alias("split"), F.struct("doc_id", "par", "sent", "x.i").alias("row"), "x.value")
 
 
@@ -123,10 +122,10 @@ def _sentences(spark: SparkSession, d: str) -> DataFrame:
     return conllu.sentences(conllu.blocks(_conllu(spark, d)))
 
 
-@query(f"{_BLOCKS} SELECT doc_id::VARCHAR AS doc_id, doc_id || '.' || par AS par_id, doc_id || '.' || par || '.' || sent AS sent_id, sentence_index, id::VARCHAR AS id, form, lemma, upos, (id - 1)::VARCHAR AS head, CASE WHEN upos = 'PROPN' THEN 'B-PER' ELSE 'O' END AS ner, NOT space_after AS no_space_after, is_word FROM x")
+@query(f"{_BLOCKS} SELECT doc_id::VARCHAR AS doc_id, doc_id || '.' || par AS par_id, doc_id || '.' || par || '.' || sent AS sent_id, sentence_index, row_number() OVER (ORDER BY doc_id, par, sent, id) - 1 AS ordinal, id::VARCHAR AS id, form, lemma, upos, (id - 1)::VARCHAR AS head, CASE WHEN upos = 'PROPN' THEN 'B-PER' ELSE 'O' END AS ner, NOT space_after AS no_space_after, is_word FROM x")
 def conllu_tokens(spark, d):
     toks = conllu.tokens(_sentences(spark, d))
-    return toks.select("doc_id", "par_id", "sent_id", F.col("sentence_index").cast("long").alias("sentence_index"), "id", "form", "lemma", "upos", "head", "ner", "no_space_after", "is_word")
+    return toks.select("doc_id", "par_id", "sent_id", F.col("sentence_index").cast("long").alias("sentence_index"), "ordinal", "id", "form", "lemma", "upos", "head", "ner", "no_space_after", "is_word")
 
 
 @query(f"""{_BLOCKS}, m AS (SELECT DISTINCT doc_id FROM tok), a AS (SELECT doc_id::VARCHAR AS doc_id, unnest(['genre', 'lang', 'year']) AS key, unnest([source, lang, '1850']) AS value, unnest([doc_id % 3 = 0 AND lang <> source, false, false]) AS conflict, unnest([1, 0, 1]::BIGINT[]) AS aliased FROM documents JOIN m USING (doc_id)) SELECT * FROM a""")
@@ -139,9 +138,9 @@ UNION ALL SELECT count(*), 'root_count' FROM (SELECT 1 FROM e GROUP BY doc_id, p
 UNION ALL SELECT count(*), 'root_name' FROM e WHERE id > 1 AND upos = 'NUM' AND length(form) % 7 <> 3""")
 def conllu_problems(spark, d):
     """Heads moved outside or to the root for words of some lengths and kinds."""
-    toks = conllu.tokens(_sentences(spark, d))
-    head = F.when((F.col("id") != "1") & (F.length("form") % 7 == 3), "999999").when((F.col("id") != "1") & (F.col("upos") == "NUM"), "0").otherwise(F.col("head"))
-    return conllu.problems(toks.withColumn("head", head)).groupBy("problem").agg(F.count("*").alias("n")).select("n", "problem")
+    head = lambda r: F.when((r[0] != "1") & (F.length(r[1]) % 7 == 3), "999999").when((r[0] != "1") & (r[3] == "NUM"), "0").otherwise(r[6])
+    moved = F.transform("rows", lambda r: F.concat(F.slice(r, 1, 6), F.array(head(r)), F.slice(r, 8, 3)))
+    return conllu.problems(_sentences(spark, d).withColumn("rows", moved)).groupBy("problem").agg(F.count("*").alias("n")).select("n", "problem")
 
 
 @query(f"""{_BLOCKS}, n AS (SELECT count(DISTINCT doc_id) AS n FROM tok), c AS (SELECT count(*) AS c FROM documents WHERE doc_id % 3 = 0 AND lang <> source AND doc_id IN (SELECT doc_id FROM tok)),
@@ -149,8 +148,7 @@ g AS (SELECT form, space_after, lead(form) OVER (PARTITION BY doc_id, par, sent
 SELECT unnest(['column_count', 'repeated_doc_id', 'repeated_sent_id', 'metadata_conflict', 'metadata_alias', 'glued_words', 'few_documents', 'coverage_genre', 'coverage_title']) AS item, unnest([0, 0, 0, c, 2 * n, w, n, n, 0]) AS n,
 unnest(['ok', 'ok', 'ok', CASE WHEN c > 0 THEN 'warning' ELSE 'ok' END, 'warning', CASE WHEN w > 0 THEN 'warning' ELSE 'ok' END, 'ok', 'ok', 'error']) AS level FROM n, c, w""".replace("\\\\p", "\\p"))
 def conllu_integrity(spark, d):
-    s = _sentences(spark, d)
-    return conllu.integrity(s, conllu.tokens(s), 1, {"genre": 0.8, "title": 0.95})
+    return conllu.integrity(_sentences(spark, d), 1, {"genre": 0.8, "title": 0.95})
 
 
 @query(f"""{_BLOCKS}, s AS (SELECT doc_id, par, sent, sentence_index, string_agg(id || chr(9) || form || chr(9) || lemma || chr(9) || upos || chr(9) || '_' || chr(9) || '_' || chr(9) || (id - 1) || chr(9) || CASE WHEN id = 1 THEN 'root' ELSE 'dep' END || chr(9) || '_' || chr(9) || CASE WHEN upos = 'PROPN' THEN 'NER=B-PER' || CASE WHEN space_after THEN '' ELSE '|SpaceAfter=No' END WHEN space_after THEN '_' ELSE 'SpaceAfter=No' END, chr(10) ORDER BY id) AS body FROM x GROUP BY ALL)

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import text as tx
-from ..operators import lexicon as lx, segments as sg, summary as sm
+from ..operators import fuzzy, lexicon as lx, segments as sg, summary as sm
 from .corpus import _LEX, EMO, _lexicon, _t, query
 
 _ANN = r"""flat AS (SELECT doc_id, flatten(flatten(list_transform(string_split(coalesce(text, ''), chr(10)), lambda l, p: list_transform(regexp_extract_all(l, '[^.!?]+[.!?]*'), lambda s, i:
@@ -178,6 +178,48 @@ def oov_review(spark, d):
     return lx.review_unknown(lx.top_unknown(words, _lexicon(spark, d)), ["the", "und"])
 
 
+#: The best ratio of each word against every key of a fitting length.
+_LCS = "list_reduce([list_transform(range(0, m + 1), lambda i: 0::BIGINT)] || list_transform(range(1, n + 1), lambda i: [i]), lambda above, i: list_reduce([[0::BIGINT]] || list_transform(range(1, m + 1), lambda j: [j]), lambda acc, j: acc || [CASE WHEN key[i[1]] = word[j[1]] THEN above[j[1]] + 1 ELSE greatest(above[j[1] + 1], acc[-1]) END]))[-1]"
+
+
+def _near(words: str) -> str:
+    plain = lambda x: f"regexp_replace({x}, '[^\\x00-\\x7F]', '?', 'g')"  # noqa: E731  levenshtein counts bytes
+    return f"""pair AS (SELECT word, key, length(word) AS m, length(key) AS n FROM (SELECT DISTINCT word, {plain("word")} AS p FROM {words}) JOIN (SELECT key, {plain("key")} AS q FROM lex) ON length(word) >= 5 AND 200 * least(length(word), length(key)) >= 92 * (length(word) + length(key)) WHERE 100 * levenshtein(p, q) <= 8 * (length(word) + length(key))),
+ratio AS (SELECT word, key, 200.0::DOUBLE * {_LCS} / (n + m) AS score FROM pair),
+near AS (SELECT * FROM ratio WHERE score >= 92 QUALIFY row_number() OVER (PARTITION BY word ORDER BY score DESC, key) = 1)"""
+
+
+_MISS = "miss AS (SELECT unnest([lemma, lower(form)]) AS word FROM tok WHERE lexical)"
+
+
+@query(f"WITH {_ANN}, {_LEX}, {_MISS}, open AS (SELECT DISTINCT word FROM miss WHERE word NOT IN (SELECT key FROM lex)), {_near('open')} SELECT word, key, score FROM near")
+def fuzzy_matches(spark, d):
+    """Lemmas and forms without a lexicon key, with the nearest one."""
+    lexicon = _lexicon(spark, d)
+    words = _words(spark, d).filter(F.col("upos").isin(lx.LEXICAL)).select(F.explode(F.array("lemma", "lowered")).alias("word")).distinct()
+    return fuzzy.nearest(words.join(lexicon, F.col("word") == F.col("key"), "left_anti"), lexicon)
+
+
+@query(f"""WITH {_ANN}, {_LEX}, {_FULL}, {_HITS}, {_MISS}, open AS (SELECT DISTINCT word FROM miss WHERE word NOT IN (SELECT key FROM lex)), {_near('open')},
+m AS (SELECT h.*, coalesce(h.lex_key, a.key, b.key) AS k, CASE WHEN h.lex_key IS NOT NULL THEN h.source WHEN a.key IS NOT NULL THEN 'lemma:fuzzy:' || h.lemma ELSE 'form:fuzzy:' || lower(h.form) END AS s, CASE WHEN h.lex_key IS NULL THEN coalesce(a.score, b.score) END AS score
+  FROM hit h LEFT JOIN near a ON h.lexical AND a.word = h.lemma LEFT JOIN near b ON h.lexical AND b.word = lower(h.form) WHERE is_word)
+SELECT doc_id || '::document-1' AS segment_id, 'document' AS unit, doc_id, doc_id || '.' || par || '.' || sent AS sent_id, pos::VARCHAR AS token_id, lower(form) AS form, lemma, upos, k AS matched_key, s AS match_source, score AS fuzzy_score,
+{", ".join(f"{e} AS emotion_{e}, {e}_intensity AS intensity_{e}" for e in EMO)}, {", ".join(f"{x} AS sentiment_{x}" for x in lx.SENTIMENTS)}, {", ".join(f"{v} AS vad_{v}" for v in lx.VAD)} FROM m JOIN full_lex ON full_lex.key = k""")
+def token_match_export(spark, d):
+    """All columns of the matched tokens, near keys for those without one."""
+    words = _words(spark, d).withColumnsRenamed({"form": "surface", "lowered": "form"})
+    return lx.match_export(lx.match_by_sources(words, _full_lexicon(spark, d), ["lemma", "form"], lx.LEXICAL, fuzzy.THRESHOLD))
+
+
+_RUNS = [c * 3 for c in "abcdefghijklmnopqrstuvwxyzčšž"]
+
+
+@query(f"WITH {_ANN}, w AS (SELECT DISTINCT form, replace(lower(form), 'zh', 'č') AS f FROM tok WHERE is_word) SELECT form, list_reduce([f] || {_RUNS}, lambda s, r: regexp_replace(s, r || '+', r[1:2], 'g')) AS modern FROM w")
+def lexeme_historical(spark, d):
+    """Old spellings of distinct forms; runs of one letter are cut to two."""
+    return _words(spark, d).select("form").distinct().select("form", tx.lexeme("historical")(F.col("form")).alias("modern"))
+
+
 @query(f"WITH {_ANN}, w AS (SELECT DISTINCT form FROM tok WHERE is_word) SELECT form, lower(form) AS simple, strip_accents(lower(form)) AS ascii FROM w")
 def lexeme_forms(spark, d):
     return _words(spark, d).select("form").distinct().select("form", tx.lexeme()(F.col("form")).alias("simple"), tx.lexeme("ascii")(F.col("form")).alias("ascii"))
@@ -185,8 +227,6 @@ def lexeme_forms(spark, d):
 
 @query(f"WITH {_ANN}, s AS (SELECT doc_id, CASE WHEN upos = 'PROPN' THEN CASE WHEN lag(upos) OVER w = 'PROPN' THEN 'I-PER' ELSE 'B-PER' END ELSE 'O' END AS ner, * EXCLUDE (doc_id) FROM tok WINDOW w AS (PARTITION BY doc_id, par, sent ORDER BY pos)), r AS (SELECT *, sum(CASE WHEN ner = 'I-PER' THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, par, sent ORDER BY pos ROWS UNBOUNDED PRECEDING) AS run FROM s), e AS (SELECT string_agg(form, ' ' ORDER BY pos) AS text FROM r WHERE ner <> 'O' GROUP BY doc_id, par, sent, run) SELECT text, count(*) AS n FROM e GROUP BY 1")
 def entity_spans(spark, d):
-    from pyspark.sql import Window
-
     w = Window.partitionBy("doc_id", "par", "sent").orderBy("pos")
     ner = F.when(F.col("upos") == "PROPN", F.when(F.lag("upos").over(w) == "PROPN", "I-PER").otherwise("B-PER")).otherwise("O")
     return sm.iob_spans(_tokens(spark, d).withColumn("ner", ner), ["doc_id", "par", "sent"], "pos").groupBy("text").agg(F.count("*").alias("n"))

@@ -90,8 +90,8 @@ def test_conllu(spark, tmp_path):
     for d in ("d1", "d2"):
         assert [(r.doc_id, r.sentence_index, r.form, r.ner, r.no_space_after, r.is_word) for r in toks.filter(F.col("doc_id") == d).orderBy("sentence_index", "token_index").collect()] == [(d, 0, "Janez", "B-PER", False, True), (d, 0, "Novak", "I-PER", True, True), (d, 0, ".", "O", False, False), (d, 1, "do", "I-LOC", False, True), (d, 1, "a", "O", False, True)]
     assert sorted((r.doc_id, r.key, r.value, r.aliased) for r in conllu.metadata(sents).collect()) == [("d1", "title", "One", 1), ("d2", "title", "One", 1)]
-    assert sorted((r.sent_id, r.problem) for r in conllu.problems(toks).collect()) == [("d1.2", "head_outside"), ("d2.2", "head_outside")]
-    level = {r["item"]: (r.n, r.level) for r in conllu.integrity(sents, toks, 3, {"title": 1.0, "genre": 0.5}).collect()}
+    assert sorted((r.sent_id, r.problem) for r in conllu.problems(sents).collect()) == [("d1.2", "head_outside"), ("d2.2", "head_outside")]
+    level = {r["item"]: (r.n, r.level) for r in conllu.integrity(sents, 3, {"title": 1.0, "genre": 0.5}).collect()}
     assert level["column_count"] == (2, "error") and level["repeated_doc_id"] == (0, "ok") and level["few_documents"] == (2, "error") and level["coverage_title"] == (2, "ok") and level["coverage_genre"] == (0, "error")
     spans = summary.iob_spans(toks, ["doc_id", "sent_id"], "token_index").collect()
     assert [(r.type, r.text) for r in spans] == [("PER", "Janez Novak")] * 2
