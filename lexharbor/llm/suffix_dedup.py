@@ -1,17 +1,17 @@
 """Removal of repeated passages by longest previous factors in suffix order.
 
 A position goes, with the ``length`` bytes from it, if its longest previous factor (LPF) is that long. Suffixes are
-ordered over the whole cluster: by the names (64-bit fingerprints) of the first and of the second half of their
-first ``length`` bytes, as in a step of prefix doubling, and then by position. There, suffixes that agree on
-``length`` bytes are neighbours; the previous smaller position of one is the neighbour before it, the next smaller
-one lies outside of them, so the LPF reaches ``length`` exactly where the neighbour before has the same names. The
-order is not needed beyond ``length`` bytes, so LPF values are not told apart beyond it.
-
-Only suffixes that can have an earlier match are ordered. Equal windows of ``length`` bytes have the same least hash
-among their ``GRAM``-byte substrings, their anchor. Runs of windows of the same anchor are sorted by anchor and
-bytes first: whole runs that repeat are settled there, an anchor of one run only has no repeats, and single windows
-are named only where an anchor has several different runs. Hot anchors, names and copies are split: both sorts are
-by range and include the position, so that equal keys may go to several tasks.
+ordered over the whole cluster by their bytes, up to ``length`` of them, and then by position. One pass over the order
+gives the common prefixes of neighbours and, by a stack of smaller positions, each suffix's previous and next smaller
+position; the longer of its common prefixes with these two is its LPF. Values are not told apart beyond ``length``,
+on which alone removal depends.
+
+Only suffixes that can have an earlier match of that length are ordered, as an order of all bytes doesn't fit on the
+disk. Equal windows of ``length`` bytes have the same least hash among their ``GRAM``-byte substrings, their anchor.
+Runs of windows of the same anchor are sorted by anchor and bytes first: whole runs that repeat are settled there, an
+anchor of one run only has no repeats, and single windows are ordered only where an anchor has several different runs.
+Hot anchors, prefixes and copies are split: both sorts are by range and include the position, so that equal keys may
+go to several tasks.
 """
 
 from __future__ import annotations
@@ -33,7 +33,9 @@ LENGTH, GRAM = 100, 32
 CHUNK, HELD = 1 << 20, 500_000
 _RUN = "anchor long, body long, doc_id long, start int, info long"
 _FOUND = "doc_id long, start int, n int, whole boolean"
-_PLACED = "kind int, part int, x long, y long, doc_id long, start int"
+_PLACED = "kind int, part int, bytes binary, doc_id long, start int"
+#: Windows whose bytes a task hands on at a time.
+WINDOWS = 20_000
 
 
 def _hashes(c: np.ndarray, at: np.ndarray, size: np.ndarray | int) -> np.ndarray:
@@ -164,8 +166,7 @@ def _lists(column: pa.Array, *fields: str) -> tuple[np.ndarray, ...]:
 
 
 def _windows(length: int):
-    """The chosen windows of each text as (x, y, doc_id, start): names of the halves of their bytes."""
-    half = length - length // 2
+    """The chosen windows of each text as (bytes, doc_id, start)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -174,47 +175,100 @@ def _windows(length: int):
                 f, n = first[cuts[i] : cuts[i + 1]], count[cuts[i] : cuts[i + 1]]
                 at = np.repeat(f - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
                 a = np.frombuffer(text, dtype=np.uint8)
-                chunk = at // CHUNK
-                for k in np.unique(chunk):
-                    own = at[chunk == k]
-                    c = prefix_hash(a[k * CHUNK : (k + 1) * CHUNK + length])
-                    x, y = (mix(_hashes(c, own - k * CHUNK + off, size)) for off, size in ((0, half), (half, length - half)))
-                    yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(y.view(np.int64)), pa.array(np.full(len(own), doc), pa.int64()), pa.array(own.astype(np.int32))], ["x", "y", "doc_id", "start"])
+                for lo in range(0, len(at), WINDOWS):
+                    own = at[lo : lo + WINDOWS]
+                    rows = np.lib.stride_tricks.sliding_window_view(a, length)[own]
+                    held = pa.FixedSizeBinaryArray.from_buffers(pa.binary(length), len(own), [None, pa.py_buffer(rows.tobytes())])
+                    yield pa.RecordBatch.from_arrays([held.cast(pa.binary()), pa.array(np.full(len(own), doc), pa.int64()), pa.array(own.astype(np.int32))], ["bytes", "doc_id", "start"])
 
     return run
 
 
-def _previous(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over sorted names: kind 0 for suffixes whose previous smaller position has the same names; 1 and 2 for the task's ends.
+class Factors:
+    """LPF values of suffixes that come in order, with the length of the prefix that each shares with the one before.
 
-    The first suffix of a task may have it in an earlier task, which the ends tell.
+    The stack holds suffixes of ever greater position, each with the prefix that it shares with the one below, its
+    previous smaller position. A suffix of smaller position is the next smaller one of those that it takes off. One
+    that shares ``most`` bytes with its previous smaller position has its value and needs no place on the stack, since
+    what is below stands for it.
     """
-    part, last, names = TaskContext.get().partitionId(), None, ["kind", "part", "x", "y", "doc_id", "start"]
-    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        own = [batch.column(i).to_numpy() for i in range(4)]
-        if last is None:
-            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip([1, part, *(int(x[0]) for x in own)], kinds, strict=True)], names)
-        rows = own if last is None else [np.concatenate(x) for x in zip(last, own, strict=True)]
-        rows = [x[~_equal(*rows)] for x in rows]  # a row that repeats a doc_id
-        hit = np.flatnonzero(_equal(rows[0], rows[1]))
-        n, zero = len(hit), np.zeros(len(hit), dtype=np.int64)
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array(zero.astype(np.int32)), pa.array(np.full(n, part, dtype=np.int32)), pa.array(zero), pa.array(zero), pa.array(rows[2][hit]), pa.array(rows[3][hit])], names)
-        last = [x[-1:] for x in rows]
-    if last is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip([2, part, *(int(x[0]) for x in last)], kinds, strict=True)], names)
+
+    def __init__(self, most: int):
+        self.most, self.stack = most, []
+
+    def add(self, position, shared: int) -> Iterator[tuple]:
+        """(position, LPF) of the suffixes whose value is now known."""
+        stack, now = self.stack, shared
+        while stack and stack[-1][0] > position:
+            top, below = stack.pop()
+            yield top, max(below, now)
+            now = min(now, below)
+        if not now:
+            yield from stack
+            stack.clear()
+        if now >= self.most:
+            yield position, now
+        else:
+            stack.append((position, now))
+
+    def end(self) -> Iterator[tuple]:
+        yield from self.stack
+        self.stack = []
+
+
+def shared_prefixes(rows: np.ndarray) -> np.ndarray:
+    """Bytes that each row but the first shares with the one before, from the left."""
+    differ = rows[1:] != rows[:-1]
+    return np.where(differ.any(axis=1), differ.argmax(axis=1), rows.shape[1])
+
+
+def _ordered(length: int):
+    """Over sorted suffixes: kind 0 for those whose LPF reaches ``length``; 1 and 2 for the task's ends.
+
+    The first suffix of a task may have its previous smaller position in an earlier task, which the ends tell; others of
+    its prefix have the first itself before them.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, last, factors = TaskContext.get().partitionId(), None, Factors(length)
+
+        def made(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int32()), strict=True)], ["kind", "part", "bytes", "doc_id", "start"])
+
+        for batch in batches:
+            keys = [x for x in batch.column("bytes").to_pylist()]
+            places = list(zip(batch.column("doc_id").to_pylist(), batch.column("start").to_pylist(), strict=True))
+            if not keys:
+                continue
+            found: list[tuple] = []
+            if last is None:
+                found.append((1, part, keys[0], *places[0]))
+                shared = [0]
+            else:
+                shared = []
+            rows = np.frombuffer(b"".join(keys if last is None else [last[0], *keys]), dtype=np.uint8).reshape(-1, length)
+            shared += shared_prefixes(rows).tolist()
+            before = None if last is None else last[1]
+            for place, n in zip(places, shared, strict=True):
+                if place != before:  # else a row that repeats a doc_id
+                    found += [(0, part, None, *p) for p, lpf in factors.add(place, n) if lpf >= length]
+                before = place
+            last = (keys[-1], places[-1])
+            if found:
+                yield made(found)
+        if last is not None:
+            yield made([(0, part, None, *p) for p, lpf in factors.end() if lpf >= length] + [(2, part, last[0], *last[1])])
+
+    return run
 
 
 def _ends_found(ends: list) -> list[tuple[int, int]]:
-    """(doc_id, start) of the first suffixes of tasks that have the names of the last suffix of the task before."""
+    """(doc_id, start) of the first suffixes of tasks that begin as the last suffix of the task before."""
     out, last = [], None
     for r in sorted(ends, key=lambda r: (r["part"], r["kind"])):
-        key = (r["x"], r["y"], r["doc_id"], r["start"])
-        if r["kind"] == 1 and last is not None and last[:2] == key[:2] and last != key:
-            out.append(key[2:])
+        key = (bytes(r["bytes"]), r["doc_id"], r["start"])
+        if r["kind"] == 1 and last is not None and last[0] == key[0] and last != key:
+            out.append(key[1:])
         last = key
     return out
 
@@ -271,9 +325,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     order = ["anchor", "body", "doc_id", "start"]
     found = scratch.save(every.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_sorted_runs(length), _FOUND), "found", (every,))
     spans = found.filter("NOT whole").groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
-    windows = scratch.save(docs.join(spans, "doc_id").mapInArrow(_windows(length), "x long, y long, doc_id long, start int"), "windows")
-    order = ["x", "y", "doc_id", "start"]
-    later = scratch.save(windows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_previous, _PLACED), "later", (windows,))
+    windows = scratch.save(docs.join(spans, "doc_id").mapInArrow(_windows(length), "bytes binary, doc_id long, start int"), "windows")
+    order = ["bytes", "doc_id", "start"]
+    later = scratch.save(windows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_ordered(length), _PLACED), "later", (windows,))
     ends = spark.createDataFrame(_ends_found(later.filter("kind > 0").collect()), "doc_id long, start int")
     gone = later.filter("kind = 0").select("doc_id", "start").union(ends).select("doc_id", "start", F.lit(1).alias("n")).union(found.filter("whole").select("doc_id", "start", "n"))
     gone = gone.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("spans"))

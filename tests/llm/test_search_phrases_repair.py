@@ -5,13 +5,14 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
 
-from lexharbor.llm import collocations, conversations, topk
+from lexharbor.llm import collocations, conversations, suffix_dedup, topk, url_filter
 
 random.seed(3)
 
@@ -183,3 +184,46 @@ def test_stack_merges_equal_tops():
     tops = {(r["enter"], r["leave"]): (r["cost"], r["audit"]) for r in conversations.table(["system", "user", "assistant"], [0, 0, 0], (0,))}
     assert tops[0, 4] == (0, "KKK") and tops[0, 0] == (9, "DDD") and min(tops.values()) == (0, "KKK")
     assert conversations.closed({2: (5, "KK"), 0: (6, "DD")}) == (6, "DD") and conversations.closed({2: (3, "KK"), 0: (6, "DD")}) == (5, "KKI")
+
+
+def test_longest_previous_factors():
+    """LPF values, up to a length, of all suffixes of some texts against the longest common prefix with every earlier one."""
+    rng = random.Random(12)
+    for most in (3, 6, 40):
+        texts = ["".join(rng.choices("ab", k=rng.randrange(1, 60))) for _ in range(4)] + ["ab" * 30, "a" * 50]
+        suffixes = {(d, i): t[i : i + most].encode() for d, t in enumerate(texts) for i in range(len(t))}
+        order = sorted(suffixes, key=lambda p: (suffixes[p].ljust(most, b"\0"), p))
+        rows = np.array([list(suffixes[p].ljust(most, b"\0")) for p in order], dtype=np.uint8)
+        shared = [0, *suffix_dedup.shared_prefixes(rows).tolist()]
+        factors, got = suffix_dedup.Factors(most), {}
+        for p, n in zip(order, shared):
+            got.update(factors.add(p, n))
+        got.update(factors.end())
+
+        def common(a, b):
+            return next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+        padded = {p: s.ljust(most, b"\0") for p, s in suffixes.items()}
+        assert got == {p: max((common(padded[p], padded[q]) for q in suffixes if q < p), default=0) for p in suffixes}
+
+
+def test_odd_url_tables(spark):
+    """Long URLs end in seconds; repeated rows, clashing columns and an empty table."""
+    long = "http://ads.example.com/" + "x/" * 600_000
+    rows = [(1, long + "login1.php", "a", 1), (2, long + "en.exe", "b", 2), (2, long + "en.exe", "b", 2), (3, None, None, None), (4, "http://WWW.com/en/" + "y" * 5000, "c", 3)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, host string, verdict int")
+    begun = time.time()
+    got = sorted((r.page_id, r.rule or "", r.verdict) for r in url_filter.filter_urls(pages).collect())
+    assert got == [(1, "", "block"), (2, "", "block"), (2, "", "block"), (3, "", "allow"), (4, "com/en/", "block")]
+    assert time.time() - begun < 20
+    assert url_filter.filter_urls(pages.limit(0)).count() == 0
+
+
+def test_urls_alone_and_together():
+    """States of single texts and of batches are the same, over several words."""
+    globs = [url_filter._glob(g) for g in ("**a?b*", "*//**", "?b**a", "**")] * 30
+    texts = [bytes(random.choices(b"ab/", k=random.randrange(40))) for _ in range(60)]
+    automaton = url_filter.Automaton(globs)
+    together = sorted((int(t), int(p)) for rows, found in automaton.run(texts) for t, p in zip(rows, found, strict=True))
+    alone = sorted((i, int(p)) for i, t in enumerate(texts) for _, found in automaton.run([t]) for p in found)
+    assert together == alone
