@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .license_texts import KNOWN
+from .scratch import Scratch
 
 #: Equivalent spellings, after lower-casing and the reduction to words.
 SPELLINGS = [("licence", "license"), ("licenced", "licensed"), ("licences", "licenses"), ("sublicence", "sublicense"), ("organisation", "organization"), ("merchantibility", "merchantability"), ("non infringement", "noninfringement"), ("copyright owner", "copyright holder"), ("copyright owners", "copyright holders"), ("https", "http")]
@@ -57,16 +58,20 @@ def scan_licenses(docs: DataFrame, licenses: DataFrame | None = None) -> DataFra
     if licenses.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         names = F.broadcast(names)
     rows = docs.select("doc_id", canonical(F.col("text")).alias("c")).select(F.monotonically_increasing_id().alias("row"), "doc_id", F.sha2("c", 256).alias("digest"), F.split("c", " ").alias("w"))
-    whole = rows.drop("w").join(names, "digest", "left")
     # where a known text may begin, then the digests of as many words; each array is evaluated once a row
     three = F.transform(F.arrays_zip("w", *(F.slice("w", i + 1, F.greatest(F.size("w") - i, F.lit(0))).alias(f"w{i}") for i in range(1, HEAD))), lambda x, i: F.struct((i + 1).alias("i"), F.concat_ws(" ", x.w, *(x[f"w{j}"] for j in range(1, HEAD))).alias("head")))
     begins = F.filter(three, lambda x: x.head.isin(sorted({r["head"] for r in marks})))
     sizes = F.array(*(F.struct(F.lit(r["head"]).alias("head"), F.lit(r["n"]).alias("n")) for r in marks)) if marks else F.array().cast("array<struct<head:string,n:int>>")
+
     def digests(w: Column) -> Column:
         at = lambda x: F.transform(F.filter(sizes, lambda s: (s.head == x.head) & (x.i + s.n - 1 <= F.size(w))), lambda s: F.sha2(F.array_join(F.slice(w, x.i, s.n), " "), 256))
         return F.flatten(F.transform(begins, at))
 
-    parts = rows.select("row", F.explode(F.array_distinct(F.flatten(F.transform(F.array("w"), digests)))).alias("digest")).join(names, "digest")
+    # every text is canonicalised once: its digest and those of its stretches are stored, without words
+    scratch = Scratch(docs.sparkSession, "licenses")
+    slim = scratch.save(rows.select("row", "doc_id", "digest", F.array_distinct(F.flatten(F.transform(F.array("w"), digests))).alias("parts")), "digests")
+    whole = slim.drop("parts").join(names, "digest", "left")
+    parts = slim.select("row", F.explode("parts").alias("digest")).join(names, "digest")
     named = parts.groupBy("row").agg(F.array_sort(F.collect_set("license")).alias("names"))
     out = whole.join(named, "row", "left")
-    return out.select("doc_id", "digest", "license", F.coalesce(F.array_join("names", ","), F.lit("")).alias("notices"), F.coalesce(F.size("names"), F.lit(0)).cast("long").alias("n_notices"))
+    return scratch.keep(out.select("doc_id", "digest", "license", F.coalesce(F.array_join("names", ","), F.lit("")).alias("notices"), F.coalesce(F.size("names"), F.lit(0)).cast("long").alias("n_notices")))
