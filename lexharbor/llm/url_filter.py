@@ -18,6 +18,8 @@ RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/
 GLOBS = [("block", "*ads-track.**"), ("block", "ads.**"), ("block", "**/login?.php"), ("block", "**.exe"), ("allow", "**")]
 #: Bytes of the states of all texts that are run together.
 STATE_BYTES = 1 << 24
+#: Texts up to which each is run on its own, its state as one number: the few longest of a batch.
+FEW = 4
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _ANY, _ONE, _MANY, _ALL = 256, 257, 258, 259
 
@@ -57,11 +59,21 @@ class Automaton:
         self.step, self.stay, self.ends, self.final = step, stay, np.array(self.ends, dtype=np.int64), np.zeros(self.words, dtype=np.uint64)
         for e in self.ends:
             self.final[e // 64] |= np.uint64(1 << int(e) % 64)
+        whole = lambda m: [int.from_bytes(row.tobytes(), "little") for row in m]
+        self.numbers = list(zip(whole(step), whole(stay), strict=True))
+
+    def _alone(self, state: np.ndarray, rest: bytes) -> np.ndarray:
+        """The state after the rest of one text."""
+        s, numbers = int.from_bytes(state.tobytes(), "little"), self.numbers
+        for byte in rest:
+            step, stay = numbers[byte]
+            s = (s << 1 & step) | (s & stay)
+        return np.frombuffer(s.to_bytes(8 * self.words, "little"), dtype=np.uint64)
 
     def run(self, texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Rows of texts, and for each the numbers of the patterns that match it whole: as (text, pattern), sorted.
 
-        Texts are run together, as many as keep the state within STATE_BYTES.
+        Texts are run together, as many as keep the state within STATE_BYTES; the longest ones end alone.
         """
         order = np.argsort([-len(t) for t in texts], kind="stable")
         step = int(max(16, min(4096, STATE_BYTES // (8 * self.words))))
@@ -74,6 +86,10 @@ class Automaton:
             state = np.tile(self.start, (len(own), 1))
             for j in range(size[0] if len(size) else 0):
                 n = int(np.searchsorted(-size, -j, "left"))  # texts longer than j
+                if n <= FEW:
+                    for i in range(n):
+                        state[i] = self._alone(state[i], own[i][j:])
+                    break
                 c, s = data[at[:n] + j], state[:n]
                 moved = s << np.uint64(1)
                 moved[:, 1:] |= s[:, :-1] >> np.uint64(63)
@@ -108,7 +124,7 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str]] = RULES, globs: l
 
     The longest fitting rule decides; without one, rule is null and the first glob that matches host and
     path decides, or else allow. A null url, or one without ``://``, has an empty host and path. Repeated
-    rows are judged alike; other columns are ignored. Rules are held
+    rows are judged alike; other columns are ignored; an empty table gives an empty result. Rules are held
     by every task: one takes as many bits as it has characters, in 512 masks, so 10,000 rules of 20 characters take 26 MB.
     """
     order = sorted(rules, key=lambda r: -len(r[1]))
