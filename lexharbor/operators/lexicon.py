@@ -206,10 +206,15 @@ def score_segments(segments: DataFrame, matched: DataFrame, keys: list[str], lex
     return _measures(out, "n_lexical").withColumns({f"{e}_prop": F.coalesce(F.col(e) / F.nullif(F.col("total"), F.lit(0.0)), F.lit(0.0)) for e in EMOTIONS})
 
 
-def score(matched: DataFrame, keys: list[str]) -> DataFrame:
-    """Per segment: hits, distinct hits, coverage, emotion sums, per 1000 words, shares, sentiment balance, VAD means, dominant emotion."""
+def score(matched: DataFrame, keys: list[str], segments: DataFrame | None = None) -> DataFrame:
+    """Per segment: hits, distinct hits, coverage, emotion sums, per 1000 words, shares, sentiment balance, VAD means, dominant emotion.
+
+    With segments (keys, each once), those without words have a row of zeros too.
+    """
     sums = [F.coalesce(F.sum(e), F.lit(0.0)).alias(e) for e in EMOTIONS + SENTIMENTS]
     out = matched.groupBy(*keys).agg(F.count("*").alias("n_words"), F.count("lex_key").alias("hits"), F.size(F.collect_set("lex_key")).cast("long").alias("distinct_hits"), *sums, *(F.avg(v).alias(v) for v in VAD))
+    if segments is not None:
+        out = segments.select(*keys).join(out, keys, "left").fillna(0, ["n_words", "hits", "distinct_hits", *EMOTIONS, *SENTIMENTS])
     return _measures(out, "n_words")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as tx
+from .numbering import numbered
 
 #: Keys that make metadata useful, the order of the columns of a metadata table, and ids that name no document.
 USEFUL = ["title", "author", "genre", "century", "year", "publication", "period", "source", "url", "translator"]
@@ -73,6 +74,60 @@ def normalized(rows: DataFrame) -> DataFrame:
     return fixed.join(blank.select("doc_id", "key"), ["doc_id", "key"], "left_anti").unionByName(derived)
 
 
+def value_problems(rows: DataFrame) -> DataFrame:
+    """doc_id, key, value, problem of canonical metadata (doc_id, key, value): tabs, centuries beyond 8 to 21 or without a number, years beyond 800 to 2100 or without one."""
+    value = F.trim(F.regexp_replace("value", r"^\s+|\s+$", ""))
+    outside = lambda form, low, high: F.filter(F.transform(F.regexp_extract_all(value, F.lit(form), F.lit(0)), lambda n: n.try_cast("decimal(38,0)")), lambda n: n.isNull() | ~n.between(low, high))
+    told = lambda form, low, high, none, far: F.when(~value.rlike(form), F.array(F.lit(none))).otherwise(F.array_repeat(F.lit(far), F.size(outside(form, low, high))))
+    tab = F.when(F.contains(value, F.lit("\t")), F.array(F.lit("tab in value"))).otherwise(F.array().cast("array<string>"))
+    own = F.when(F.col("key") == "century", told("[0-9]+", 8, 21, "no numeric century", "century outside 8-21")).when(F.col("key") == "year", told("[0-9]{3,4}", 800, 2100, "no year of 3 or 4 digits", "year outside 800-2100")).otherwise(F.array().cast("array<string>"))
+    return rows.filter(_filled()).select("doc_id", "key", "value", F.explode(F.concat(tab, own)).alias("problem"))
+
+
+def renewed(docs: DataFrame, id_attribute: str = "id") -> tuple[DataFrame, DataFrame]:
+    """Documents (doc_index, attrs) with unique ids and canonical attributes (doc_index, doc_id, attrs), and the log of what was done.
+
+    The log has doc_index, action, old_key, new_key, old_value and new_value: rename_key, conflict_keep_first (the first
+    attribute of a key stays), normalize_value (years and centuries), derive_century_from_year and set_doc_id.
+    Repeated ids get __0002 and so on in the order of doc_index; without an id, the title serves.
+    """
+    entry = lambda e: F.struct(e.key.alias("raw"), tx.canonical_key(tx.bare_name(e.key)).alias("key"), tx.comment_safe(e.value).alias("value"))
+    rows = docs.select("doc_index", F.col("attrs").alias("given"), F.transform(F.map_entries("attrs"), entry).alias("e"))
+    ids = ["id", "xml_id", "doc_id", ""]
+    first = F.filter("e", lambda x, i: ~x.key.isin(ids) & ~F.exists(F.slice("e", 1, i), lambda y: y.key == x.key))
+    rows = rows.withColumn("first", first)
+    plain = lambda x: F.when(x.key == "year", F.coalesce(F.nullif(tx.year(x.value), F.lit("")), x.value)).when(x.key == "century", F.coalesce(tx.century(x.value).cast("string"), x.value)).otherwise(x.value)
+    rows = rows.withColumn("clean", F.transform("first", lambda x: F.struct(x.key.alias("key"), x.value.alias("old"), plain(x).alias("value"))))
+    of = lambda key: F.get(F.filter("clean", lambda x: x.key == key), F.lit(0)).value
+    century = F.when(F.coalesce(of("century"), F.lit("")) == "", tx.century(F.when(of("year").rlike("^[0-9]{4}$"), of("year"))).cast("string"))
+    rows = rows.withColumn("derived", century)
+    base = F.coalesce(F.nullif(F.element_at("given", id_attribute), F.lit("")), F.nullif(F.element_at("given", "xml:id"), F.lit("")), F.nullif(F.element_at("given", "doc_id"), F.lit("")), F.lit(""))
+    rows = rows.withColumns({"old_id": base, "_id": tx.safe_id(F.when(base != "", base).otherwise(F.coalesce(of("title"), F.lit(""))))})
+    rows = numbered(rows, ["_id"], ["doc_index"], "_n")
+    rows = rows.withColumn("doc_id", F.when(F.col("_n") == 1, F.col("_id")).otherwise(F.concat("_id", F.lit("__"), tx.padded(F.col("_n"), 4))))
+    log = lambda action, old_key, new_key, old, new: F.struct(F.lit(action).alias("action"), old_key.alias("old_key"), new_key.alias("new_key"), old.alias("old_value"), new.alias("new_value"))
+    renamed = F.transform(F.filter("e", lambda x: (x.key != x.raw) & (x.raw != "xml:id")), lambda x: log("rename_key", x.raw, x.key, x.value, x.value))
+    held = lambda x: F.get(F.filter("first", lambda y: y.key == x.key), F.lit(0)).value
+    conflicts = F.transform(F.filter("e", lambda x: ~x.key.isin(ids) & (held(x) != "") & (x.value != "") & (held(x) != x.value)), lambda x: log("conflict_keep_first", x.raw, x.key, x.value, held(x)))
+    values = F.transform(F.filter("clean", lambda x: x.old != x.value), lambda x: log("normalize_value", x.key, x.key, x.old, x.value))
+    none = F.array().cast("array<struct<action:string,old_key:string,new_key:string,old_value:string,new_value:string>>")
+    from_year = F.when(F.col("derived").isNotNull(), F.array(log("derive_century_from_year", F.lit("year"), F.lit("century"), of("year"), F.col("derived")))).otherwise(none)
+    set_id = F.when(F.col("doc_id") != F.col("old_id"), F.array(log("set_doc_id", F.lit(id_attribute), F.lit("doc_id"), F.col("old_id"), F.col("doc_id")))).otherwise(none)
+    fixes = rows.select("doc_index", F.explode(F.concat(renamed, conflicts, values, from_year, set_id)).alias("x")).select("doc_index", "x.*")
+    kept = F.filter(F.transform("clean", lambda x: F.struct(x.key.alias("key"), F.when(x.key == "century", F.coalesce(F.col("derived"), x.value)).otherwise(x.value).alias("value"))), lambda x: x.value != "")
+    more = F.when(F.col("derived").isNotNull() & of("century").isNull(), F.array(F.struct(F.lit("century").alias("key"), F.col("derived").alias("value")))).otherwise(F.array().cast("array<struct<key:string,value:string>>"))
+    return rows.select("doc_index", "doc_id", F.map_from_entries(F.array_sort(F.concat(kept, more))).alias("attrs")), fixes
+
+
+def refuse(fixes: DataFrame, gate: DataFrame, on_alias: bool = False, on_coverage: bool = False) -> None:
+    """Raise ValueError if keys were renamed (``on_alias``) or a key of the gate (key, coverage, least, ok) has too little coverage."""
+    if on_alias and fixes.filter("action = 'rename_key'").limit(1).count():
+        raise ValueError("keys had to be renamed")
+    low = [f"{r.key}: {r.coverage:.3f} < {r.least:.3f}" for r in gate.filter("NOT ok").orderBy("key").collect()] if on_coverage else []
+    if low:
+        raise ValueError("too little coverage: " + ", ".join(low))
+
+
 def apply_maps(rows: DataFrame, key_map: DataFrame, value_map: DataFrame, policy: str = "existing") -> DataFrame:
     """rows under reviewed maps: doc_id, key, value, conflict.
 

@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ..sources.stored import stored
+
 
 def _assigned(v: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     """Number of the nearest centroid of each row, the first of equally near ones."""
@@ -54,6 +56,7 @@ def fit(vectors: DataFrame, k: int | None = None, passes: int = 5, batches: int
     A row's batch follows from its id. The first centroids are the rows of the k least hashes of ids; batches of fewer
     than k rows are passed over. Tasks sum up their rows, the driver holds k centroids.
     """
+    vectors = stored(vectors.select("id", "v"), "batches")  # read once for each batch
     n = vectors.count()
     k = k or auto_k(n)
     start = vectors.orderBy(F.xxhash64("id", F.lit(7)), "id").limit(k).select("v").collect()  # k rows

@@ -102,6 +102,21 @@ def verdicts(checks: DataFrame, rules: list[tuple[str, str, float, str]]) -> Dat
     return out.join(F.broadcast(stop)).withColumn("go", F.col("s") == 0).drop("s")  # one row
 
 
+def hardened(parts: dict[str, DataFrame], rules: list[tuple[str, str, float, str]]) -> DataFrame:
+    """item (part.column), value, level and go: tables of one row each, as checks that are judged together (see ``verdicts``)."""
+    rows = None
+    for part, table in parts.items():
+        one = table.select(F.explode(F.array(*(F.struct(F.lit(f"{part}.{c}").alias("item"), F.col(c).cast("double").alias("value")) for c in table.columns))).alias("x")).select("x.*")
+        rows = one if rows is None else rows.unionByName(one)
+    return verdicts(rows, rules)
+
+
+def with_vectors(assigned: DataFrame, manifest: DataFrame, key: str) -> DataFrame:
+    """Assignments with the columns of a manifest of vectors, joined by key, whatever the order of either; has_vector tells where there is one."""
+    held = manifest.withColumns({"_key": F.col(key), "_held": F.lit(True)}).drop(key)
+    return assigned.join(held, F.col(key) == F.col("_key"), "left").withColumn("has_vector", F.coalesce("_held", F.lit(False))).drop("_key", "_held")
+
+
 def empty_rates(rows: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
     """by, column, n, rate of blank or underscore cells."""
     share = lambda c: F.avg((F.coalesce(F.trim(F.col(c)), F.lit("")).isin("", "_")).cast("int")).alias(c)
@@ -136,8 +151,6 @@ def report(sections: dict[str, DataFrame], digits: int = 4) -> DataFrame:
     return out
 
 
-
-
 def preview(docs: DataFrame, first: int = 5) -> DataFrame:
     """item, value on documents (doc_id, text, attrs, name): rows, ids, blank texts, all keys of metadata and the first names."""
     one = docs.agg(F.count("*").cast("string").alias("documents"), F.count_distinct("doc_id").cast("string").alias("distinct_ids"), F.count_if(F.trim(F.coalesce("text", F.lit(""))) == "").cast("string").alias("blank_texts"))

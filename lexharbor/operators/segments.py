@@ -17,7 +17,7 @@ def tokens(docs: DataFrame) -> DataFrame:
 def pieces(docs: DataFrame, unit: str) -> DataFrame:
     """doc_id, seg_no (from 1), text: lines as paragraphs, or sentences by end punctuation; blank ones are left out."""
     cut = r"\n" if unit == "paragraph" else r"[.!?\n]+"
-    parts = F.filter(F.transform(F.split("text", cut), lambda x: F.trim(x)), lambda x: x != "")
+    parts = F.filter(F.transform(F.split("text", cut), lambda x: F.btrim(x, F.lit(tx.BLANKS))), lambda x: x != "")
     return docs.select("doc_id", F.posexplode(parts).alias("i", "text")).select("doc_id", (F.col("i") + 1).alias("seg_no"), "text")
 
 
@@ -43,6 +43,15 @@ def statistics(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.size(s).cast("long").alias("n_sentences"), F.size(w).cast("long").alias("n_words"), F.size(F.array_distinct(w)).cast("long").alias("n_types"))
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """df dealt by key where its source has fewer partitions than there are cores, as with one small file; else df itself.
+
+    Meant for rows that are dear to work on, such as texts, behind a scan.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def annotate(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Tokens of texts by plain rules, where no annotator is at hand: doc_id, pos (place in the document), par, sent, tok, form, lemma, upos, space_after.
 
@@ -52,7 +61,7 @@ def annotate(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     token = r"\p{L}+|[0-9]+|[^\s\p{L}0-9]"
     cut = lambda line, p: F.transform(F.regexp_extract_all(line, F.lit("[^.!?]+[.!?]*"), F.lit(0)), lambda s, i: F.transform(F.regexp_extract_all(s, F.lit(token + r"|\s+"), F.lit(0)), lambda t, j: F.struct((p + 1).alias("par"), (i + 1).alias("sent"), j.alias("at"), t.alias("form"))))
     parts = F.flatten(F.flatten(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), cut)))
-    cut_once = docs.select("doc_id", *keep, parts.alias("_parts"))  # read several times below, made once
+    cut_once = spread(docs.select("doc_id", "text", *keep), "doc_id").select("doc_id", *keep, parts.alias("_parts"))  # read several times below, made once
     after_each = F.slice("_parts", 2, F.greatest(F.size("_parts"), F.lit(1)))
     each = cut_once.select("doc_id", *keep, F.posexplode(F.filter(F.arrays_zip(F.col("_parts").alias("t"), after_each.alias("next")), lambda x: ~x.t.form.rlike(r"^\s"))).alias("pos", "x"))
     form = F.col("x.t.form")
@@ -95,6 +104,12 @@ def members(tokens: DataFrame, unit: str, size: int = SIZE, step: int = STEP) ->
     return out.withColumn("segment_id", F.concat_ws("::", F.col("doc_id").cast("string"), F.concat(F.lit("window-"), F.col("seg").cast("string"))))
 
 
+def by_paragraph_id(tokens: DataFrame) -> DataFrame:
+    """tokens (doc_id, par_id, ...) with segment_id by the paragraph's id, wherever its tokens stand; those without one share ``paragraph-1``."""
+    own = F.coalesce(F.nullif("par_id", F.lit("")), F.lit("paragraph-1"))
+    return tokens.withColumn("segment_id", F.concat_ws("::", F.col("doc_id").cast("string"), own))
+
+
 def projection(held: DataFrame, unit: str, docs: DataFrame, ids: int = 20, length: int = 300) -> DataFrame:
     """One row per segment: unit, the first sentences' names, counts, a preview, and the documents' columns."""
     word = tx.is_word(F.col("form"), F.col("upos"))

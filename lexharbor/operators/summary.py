@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import text as tx
+from .numbering import numbered
 
 
 def weighted(df: DataFrame, group: list[str], sums: list[str], means: list[str], weight: str) -> DataFrame:
@@ -44,10 +45,9 @@ def alignment(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
 
 
 def suffixed(df: DataFrame, key: str, order: str) -> DataFrame:
-    """Repeated keys as key__0001, ..., unique ones unchanged; in the column unique_id."""
-    n = F.count("*").over(Window.partitionBy(key))
-    i = F.row_number().over(Window.partitionBy(key).orderBy(order))
-    return df.withColumn("unique_id", F.when(n > 1, F.concat(F.col(key), F.lit("__"), tx.padded(i, 4))).otherwise(F.col(key)))
+    """Repeated keys as key__0001, ..., unique ones unchanged; in the column unique_id. No task holds all rows of a key."""
+    rows = numbered(df, [key], [order], "_i", "_all")
+    return rows.withColumn("unique_id", F.when(F.col("_all") > 1, F.concat(F.col(key), F.lit("__"), tx.padded(F.col("_i"), 4))).otherwise(F.col(key))).drop("_i", "_all")
 
 
 def islands(df: DataFrame, group: str, order: list[str], value: str) -> DataFrame:

@@ -1,6 +1,6 @@
 """Registered queries and their SQL."""
 
-from . import meta, tokens, topics
+from . import meta, models, tokens, topics
 from .corpus import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "meta", "tokens", "topics"]
+__all__ = ["ORACLE", "QUERIES", "meta", "models", "tokens", "topics"]

@@ -49,17 +49,18 @@ _DOM = "CASE WHEN total > 0 THEN CASE " + " ".join(f"WHEN {e} = most THEN '{e}'"
 
 
 def _scored(source: str, keys: str) -> str:
-    return f"""g AS (SELECT {keys}, count(*) AS n_words, count(key) AS hits, count(DISTINCT key) AS distinct_hits, {_SUMS} FROM {source} LEFT JOIN lex ON word = key GROUP BY {keys}),
+    return f"""g AS (SELECT {keys}, count(word) AS n_words, count(key) AS hits, count(DISTINCT key) AS distinct_hits, {_SUMS} FROM {source} LEFT JOIN lex ON word = key GROUP BY {keys}),
 s AS (SELECT *, {_TOTAL} AS total, {_MOST} AS most FROM g),
-scores AS (SELECT * EXCLUDE (most), hits / n_words AS coverage, {", ".join(f"{e} / greatest(n_words, 1) * 1000 AS {e}_per_1k" for e in EMO)},
+scores AS (SELECT * EXCLUDE (most), hits / greatest(n_words, 1) AS coverage, {", ".join(f"{e} / greatest(n_words, 1) * 1000 AS {e}_per_1k" for e in EMO)},
  (positive - negative) / nullif(positive + negative, 0) AS balance, {_DOM} AS dominant, CASE WHEN total > 0 THEN most / total ELSE 0 END AS dominant_share FROM s)"""
 
 
-_DOCS = f"WITH {_TOK}, {_LEX}, {_scored('tok', 'doc_id')}"
+_DOCS = f"WITH {_TOK}, {_LEX}, every AS (SELECT d.doc_id, word FROM documents d LEFT JOIN tok USING (doc_id)), {_scored('every', 'doc_id')}"
 
 
 def _doc_scores(spark: SparkSession, d: str) -> DataFrame:
-    return lx.score(lx.match(sg.tokens(_t(spark, d, "documents")), _lexicon(spark, d)), ["doc_id"])
+    docs = _t(spark, d, "documents")
+    return lx.score(lx.match(sg.tokens(docs), _lexicon(spark, d)), ["doc_id"], docs)
 
 
 @query(f"{_DOCS} SELECT * FROM scores")

@@ -240,8 +240,6 @@ def document_sizes(spark, d):
     return n.groupBy(F.floor(F.col("n") / 100).alias("hundred")).agg(F.count("*").alias("n_docs"), F.min("n").alias("least"), F.max("n").alias("most"), F.max("longest").cast("long").alias("longest"))
 
 
-
-
 @query("SELECT unnest([0, 1, 2, 3]) AS place, unnest(['o_orderkey', 'o_orderstatus', 'o_totalprice', 'flag']) AS column, unnest(['bigint', 'string', CASE WHEN bool_and(o_totalprice = floor(o_totalprice)) THEN 'bigint' ELSE 'double' END, 'boolean']) AS type FROM orders")
 def types_inferred(spark, d):
     rows = _t(spark, d, "orders").select(F.col("o_orderkey").cast("string"), "o_orderstatus", F.col("o_totalprice").cast("string"), F.when(F.col("o_orderkey") % 3 == 0, "").when(F.col("o_orderkey") % 3 == 1, "True").otherwise("false").alias("flag"))

@@ -72,10 +72,10 @@ def reconstructed_text(spark, d):
     return sg.reconstructed(_tokens(spark, d), ["doc_id"]).select("doc_id", F.md5("text").alias("digest"))
 
 
-@query(f"""WITH {_ANN}, w AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS r, count(*) OVER (PARTITION BY doc_id) AS n FROM tok WHERE is_word),
-k AS (SELECT DISTINCT doc_id, n, unnest(CASE WHEN n <= 250 THEN [0] ELSE range(0, ((n - 50) // 125)::BIGINT + 1) END) AS k FROM w),
-b AS (SELECT k.doc_id, k + 1 AS seg, least(n - k * 125, 250) AS n_words, k * 125 AS lo, k * 125 + least(n - k * 125, 250) - 1 AS hi FROM k)
-SELECT b.doc_id, b.seg, x.pos AS first_pos, y.pos AS last_pos, y.pos - x.pos + 1 AS n_tokens, b.n_words FROM b JOIN w x ON x.doc_id = b.doc_id AND x.r = b.lo JOIN w y ON y.doc_id = b.doc_id AND y.r = b.hi""")
+@query(f"""WITH {_ANN}, w AS (SELECT doc_id, list(pos ORDER BY pos) AS p, count(*) AS n FROM tok WHERE is_word GROUP BY 1),
+k AS (SELECT doc_id, p, n, unnest(CASE WHEN n <= 250 THEN [0] ELSE range(0, ((n - 50) // 125)::BIGINT + 1) END) AS k FROM w),
+b AS (SELECT doc_id, k + 1 AS seg, least(n - k * 125, 250) AS n_words, p[k * 125 + 1] AS first_pos, p[least(k * 125 + 250, n)] AS last_pos FROM k)
+SELECT doc_id, seg, first_pos, last_pos, last_pos - first_pos + 1 AS n_tokens, n_words FROM b""")
 def window_members(spark, d):
     word = tx.is_word(F.col("form"), F.col("upos"))
     return sg.members(_tokens(spark, d), "window").groupBy("doc_id", "seg").agg(F.min("pos").cast("long").alias("first_pos"), F.max("pos").cast("long").alias("last_pos"), F.count("*").alias("n_tokens"), F.count_if(word).alias("n_words"))

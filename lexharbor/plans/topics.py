@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import text as tx
 from ..operators import review as rv, summary as sm, topics as tp
-from .corpus import _CEN, _DOCS, _EXT, _RATES, EMO, _doc_scores, _t, centroid_cosine, emotion_extremes, query
+from .corpus import _CEN, _DOCS, _EXT, _RATES, EMO, ORACLE, _doc_scores, _t, centroid_cosine, emotion_extremes, query, score_alignment
 
 #: Shares of four topics for each vector: the squares of its first four numbers.
 _SHARES = """sh AS (SELECT vec_id, label, list_transform(embedding[1:4], lambda x: x::DOUBLE * x::DOUBLE) AS q FROM embeddings), v AS (SELECT vec_id, label, list_transform(q, lambda x: x / list_sum(q)) AS v FROM sh),
@@ -135,8 +135,6 @@ def plot_topic_top30(spark, d):
 
 @query(f"{_DOCS}, t AS (SELECT {', '.join(f'sum({e})::BIGINT AS {e}' for e in EMO)} FROM scores), u AS (SELECT unnest([{', '.join(repr(e) for e in EMO)}]) AS emotion, unnest([{', '.join(EMO)}]) AS total, unnest(range(1, 9)) AS no FROM t), l AS (SELECT lang, count(*) AS n, row_number() OVER (ORDER BY lang) AS no FROM documents GROUP BY 1) SELECT 0 AS section, no + 3 AS no, '| ' || emotion || ' | ' || total || ' |' AS line FROM u UNION ALL SELECT 1, no + 3, '| ' || lang || ' | ' || n || ' |' FROM l UNION ALL SELECT unnest([0, 0, 0, 1, 1, 1]), unnest([1, 2, 3, 1, 2, 3]), unnest(['## Emotions', '| emotion | total |', '|---|---|', '## Languages', '| lang | n |', '|---|---|'])")
 def report_lines(spark, d):
-    from pyspark.sql import Window
-
     one = _doc_scores(spark, d).agg(*(F.sum(e).cast("long").alias(e) for e in EMO))
     totals = one.select(F.posexplode(F.array(*(F.struct(F.lit(e).alias("emotion"), F.col(e).alias("total")) for e in EMO))).alias("i", "x")).select((F.col("i") + 1).alias("no"), "x.*")
     langs = _t(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("n")).withColumn("no", F.row_number().over(Window.orderBy("lang")))  # a row for each language
@@ -159,3 +157,50 @@ def lda_segment_topics(spark, d):
 def cluster_silhouette(spark, d):
     """Clusters of vectors with the silhouette of the clustering."""
     return tp.kmeans_with_silhouette(_t(spark, d, "embeddings"), "vec_id", "embedding")
+
+
+_RULES = [("topics.zeros", ">", 0, "warning"), ("topics.small_topics", ">", 0, "warning"), ("emotions.under_80", ">", 0, "stop"), ("emotions.glued", ">", 0, "warning"), ("scores.left_only", ">", 1e9, "stop"), ("scores.both", "<", 1, "stop")]
+_CHECKS = {"topics": ["rows", "topics", "zeros", "missing", "small_topics"], "emotions": ["rows", "segments", "repeated", "under_80", "glued"], "scores": ["both", "left_only", "right_only"]}
+_ITEMS = ", ".join(f"'{p}.{c}'" for p, names in _CHECKS.items() for c in names)
+_LEVELS = " ".join(f"WHEN item = '{item}' AND value {way} {bound} THEN '{name}'" for item, way, bound, name in _RULES)
+
+
+@query(f"""WITH tv AS ({ORACLE["topic_verification"]}), ev AS (SELECT sum(rows) AS rows, sum(segments) AS segments, sum(repeated) AS repeated, sum(under_80) AS under_80, sum(glued) AS glued FROM ({ORACLE["emotion_verification"]})), al AS ({ORACLE["score_alignment"]}),
+sc AS (SELECT coalesce(sum(n) FILTER (status = 'both'), 0) AS both, coalesce(sum(n) FILTER (status = 'left_only'), 0) AS left_only, coalesce(sum(n) FILTER (status = 'right_only'), 0) AS right_only FROM al),
+i AS (SELECT unnest([{_ITEMS}]) AS item, unnest([{", ".join(f"{t}.{c}::DOUBLE" for t, p in (("tv", "topics"), ("ev", "emotions"), ("sc", "scores")) for c in _CHECKS[p])}]) AS value FROM tv, ev, sc), l AS (SELECT *, CASE {_LEVELS} ELSE 'ok' END AS level FROM i)
+SELECT *, (SELECT count(*) FROM l WHERE level = 'stop') = 0 AS go FROM l""")
+def review_hardening(spark, d):
+    """The checks of the topic sheet, the emotion sheet and the alignment of scores as one result."""
+    emotions = emotion_verification(spark, d).agg(*(F.sum(c).alias(c) for c in _CHECKS["emotions"]))
+    status = score_alignment(spark, d).agg(*(F.coalesce(F.sum(F.when(F.col("status") == s, F.col("n"))), F.lit(0)).alias(s) for s in _CHECKS["scores"]))
+    return rv.hardened({"topics": topic_verification(spark, d).select(*_CHECKS["topics"]), "emotions": emotions, "scores": status}, _RULES)
+
+
+@query("SELECT d.doc_id, d.lang, coalesce(e.label, -1)::BIGINT AS label, coalesce(len(e.embedding), 0)::BIGINT AS size, e.vec_id IS NOT NULL AS has_vector FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id")
+def assignments_with_vectors(spark, d):
+    manifest = _t(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "label", F.size("embedding").cast("long").alias("size"))
+    joined = rv.with_vectors(_t(spark, d, "documents").select("doc_id", "lang"), manifest, "doc_id")
+    return joined.select("doc_id", "lang", F.coalesce(F.col("label").cast("long"), F.lit(-1)).alias("label"), F.coalesce("size", F.lit(0)).alias("size"), "has_vector")
+
+
+_NUMBERED = ", ".join(f"({i + 1}, '{e}', (SELECT sum({e}) FROM scores))" for i, e in enumerate(EMO))
+
+
+@query(f"""{_DOCS}, e(no, emotion, total) AS (VALUES {_NUMBERED}), c AS (SELECT avg(coverage) AS c, count(*) AS n, count(*) FILTER (n_words = 0) AS blank FROM scores),
+b AS (SELECT 0 AS section, no, '| ' || emotion || ' | ' || total::BIGINT || ' | ' || printf('%.4f', total / (SELECT sum(total) FROM e)) || ' |' AS line FROM e UNION ALL SELECT 1, 1, '| mean coverage | ' || printf('%.4f', c) || ' |' FROM c
+UNION ALL SELECT 2, 1, '| documents without words | ' || blank || ' |' FROM c UNION ALL SELECT 3, row_number() OVER (ORDER BY name), '| ' || name || ' | ' || n || ' |' FROM (SELECT 'document_scores' AS name, n FROM c UNION ALL SELECT 'documents', count(*) FROM documents UNION ALL SELECT 'labels', count(*) FROM labels))
+SELECT section::INT AS section, (no + 3)::BIGINT AS no, line FROM b UNION ALL SELECT unnest([0, 0, 0, 1, 1, 1, 2, 2, 2, 3, 3, 3])::INT, unnest([1, 2, 3, 1, 2, 3, 1, 2, 3, 1, 2, 3])::BIGINT, unnest(['## Emotions', '| emotion | total | proportion |', '|---|---|---|', '## Coverage', '| measure | value |', '|---|---|', '## Warnings', '| warning | rows |', '|---|---|', '## Outputs', '| table | rows |', '|---|---|'])""")
+def report_full(spark, d):
+    """Totals with proportions, coverage, warnings and the tables with their rows."""
+    scores = _doc_scores(spark, d)
+    one = scores.agg(*(F.sum(e).alias(e) for e in EMO), F.avg("coverage").alias("coverage"), F.count("*").alias("n"), F.count_if(F.col("n_words") == 0).alias("blank"))
+    total = sum((F.col(e) for e in EMO[1:]), F.col(EMO[0]))
+    emotions = one.select(F.explode(F.array(*(F.struct(F.lit(i + 1).alias("no"), F.lit(e).alias("emotion"), F.col(e).cast("long").alias("total"), (F.col(e) / total).alias("proportion")) for i, e in enumerate(EMO)))).alias("x")).select("x.*")
+    coverage = one.select(F.lit(1).alias("no"), F.lit("mean coverage").alias("measure"), F.col("coverage").alias("value"))
+    warnings = one.select(F.lit(1).alias("no"), F.lit("documents without words").alias("warning"), F.col("blank").alias("rows"))
+    tables = {"document_scores": scores, "documents": _t(spark, d, "documents"), "labels": _t(spark, d, "labels")}
+    outputs = None
+    for i, (name, table) in enumerate(tables.items()):
+        n = table.agg(F.count("*").alias("rows")).select(F.lit(i + 1).alias("no"), F.lit(name).alias("table"), "rows")
+        outputs = n if outputs is None else outputs.union(n)
+    return rv.report({"Emotions": emotions, "Coverage": coverage, "Warnings": warnings, "Outputs": outputs})

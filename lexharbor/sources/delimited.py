@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as tx
+from ..operators.numbering import numbered
 from . import conllu
 
 #: Names under which a sidecar table may hold the document id, in order.
@@ -71,7 +72,7 @@ def source_rows(spark: SparkSession, path: str, tag: str = "doc") -> DataFrame:
         key = next((c for k in KEYS for c in table.columns if c.lower() == k), None)
         every = F.create_map(*(x for c in table.columns for x in (F.lit(c), F.col(c))))
         rows = table.select(F.monotonically_increasing_id().alias("at"), (F.col(key) if key else F.lit("")).alias("doc_id"), F.map_filter(every, lambda k, v: F.trim(v) != "").alias("attrs"))
-    return rows.select((F.row_number().over(Window.orderBy("at")) - 1).cast("long").alias("pos"), "doc_id", "attrs")  # a row for each document, not for its text
+    return numbered(rows.withColumn("all", F.lit(1)), ["all"], ["at"], "n").select((F.col("n") - 1).cast("long").alias("pos"), "doc_id", "attrs")
 
 
 def sidecar(table: DataFrame, key: str | None = None) -> DataFrame:
@@ -113,13 +114,16 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", "length", F.sha2("content", 256).alias("sha256"), F.md5("content").alias("md5"))
 
 
-def run_manifest(tables: dict[str, DataFrame], args: dict[str, object], warnings: list[str]) -> DataFrame:
-    """kind, name, value of a run: its arguments, the rows of its tables and its warnings."""
+def run_manifest(tables: dict[str, DataFrame], args: dict[str, object], warnings: list[str], inputs: DataFrame | None = None, columns: dict[str, list[str]] | None = None) -> DataFrame:
+    """kind, name, value of a run: its arguments, the rows of its tables, its warnings, the hashes of its inputs (``manifest``) and the lexicon's columns by role."""
     spark = next(iter(tables.values())).sparkSession
     fixed = [("argument", k, str(v)) for k, v in sorted(args.items())] + [("warning", str(i), w) for i, w in enumerate(warnings, 1)]
+    fixed += [("lexicon_column", role, ",".join(names)) for role, names in (columns or {}).items()]
     out = spark.createDataFrame(fixed, "kind string, name string, value string")
     for name, table in tables.items():
         out = out.union(table.agg(F.count("*").cast("string").alias("value")).select(F.lit("rows"), F.lit(name), "value"))
+    if inputs is not None:
+        out = out.union(inputs.select(F.lit("sha256"), F.element_at(F.split("path", "/"), -1), "sha256"))
     return out
 
 

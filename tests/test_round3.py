@@ -1,8 +1,8 @@
 """Similarity joins, density clusters, topic reduction, vectors of texts, resumable outputs and batches against plain versions."""
 
+import hashlib
 import math
 import random
-import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -10,8 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexharbor.functions import text as tx
-from lexharbor.operators import density, fuzzy, graph, lexicon, minibatch, reduction, vectors
-from lexharbor.sources import conllu, resumable
+from lexharbor.operators import density, fuzzy, graph, lexicon, metadata, minibatch, numbering, reduction, segments, vectors
+from lexharbor.sources import conllu, delimited, resumable
 
 
 def ratio(a, b):
@@ -308,3 +308,73 @@ def test_written_order(spark, tmp_path):
     assert order(again) == order(sents) and len(order(sents)) == 120
     ordinals = [(r.file, r.ordinal) for r in conllu.tokens(sents).orderBy("file", "ordinal").collect()]
     assert [o for f, o in ordinals if f.endswith("b.conllu")] == list(range(len([1 for f, _ in ordinals if f.endswith("b.conllu")])))
+
+
+def test_numbers_within_a_hot_key(spark, monkeypatch):
+    """One id on nine tenths of all rows lies in many partitions and is numbered through; null is a key too."""
+    rng = random.Random(2)
+    rows = [(rng.choice(["hot"] * 18 + ["cold", None]), i) for i in range(20_000)]
+    rng.shuffle(rows)
+    table = spark.createDataFrame(rows, "id string, place long").repartition(6)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "12")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    dealt, store = [], numbering.stored
+    monkeypatch.setattr(numbering, "stored", lambda df, name: dealt.append(store(df, name)) or dealt[-1])
+    try:
+        got = numbering.numbered(table, ["id"], ["place"], "n", "all")
+        assert dealt[0].filter("id = 'hot'").select("_n_part").distinct().count() > 8
+        found = sorted(((r["id"] or "", r.place, r.n, r["all"]) for r in got.collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = []
+    for key in {k for k, _ in rows}:
+        own = sorted(p for k, p in rows if k == key)
+        want += [(key or "", p, i + 1, len(own)) for i, p in enumerate(own)]
+    assert found == sorted(want)
+
+
+def test_encodings_in_splits(spark, tmp_path):
+    """Files of several splits are told and decoded without a task for a whole file."""
+    body = {"a": ("cp1250", [f"čaj {i} žŽ„“" for i in range(400)]), "b": ("utf-8", [f"čaj {i}" for i in range(400)]), "c": ("iso8859_2", [f"č\x81{i}š" for i in range(400)])}
+    for name, (charset, rows) in body.items():
+        (tmp_path / f"{name}.txt").write_bytes("\n".join(rows).encode(charset))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+        read = conllu.legacy_lines(spark, str(tmp_path))
+        assert read.select("file", "split").distinct().count() > 12
+        got = read.orderBy("file", "split", "row").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    for name, (_, rows) in body.items():
+        assert [r.value for r in got if r.file.endswith(f"{name}.txt")] == rows
+
+
+def test_renewed_metadata_and_refusal(spark):
+    docs = [(1, {"id": "x 1", "Gnere": "a", "genre": "b", "leto": "okoli 1850", "stoletje": ""}), (2, {"id": "x 1", "year": "?"}), (3, {"title": "T", "century": "XIX"}), (4, {}), (5, {"xml:id": "z", "genre": "", "vrsta": "c"})]
+    normal, fixes = metadata.renewed(spark.createDataFrame([(i, list(a.items())) for i, a in docs], "doc_index long, a array<struct<k:string,v:string>>").select("doc_index", F.map_from_entries("a").alias("attrs")))
+    assert {r.doc_index: (r.doc_id, r.attrs) for r in normal.collect()} == {1: ("x_1", {"genre": "a", "year": "1850", "century": "19"}), 2: ("x_1__0002", {"year": "?"}), 3: ("T", {"title": "T", "century": "19"}), 4: ("doc", {}), 5: ("z", {})}
+    log = sorted((r.doc_index, r.action, r.old_key, r.new_value) for r in fixes.collect())
+    assert [x for x in log if x[0] == 1] == [(1, "conflict_keep_first", "genre", "a"), (1, "derive_century_from_year", "year", "19"), (1, "normalize_value", "year", "1850"), (1, "rename_key", "Gnere", "a"), (1, "rename_key", "leto", "okoli 1850"), (1, "rename_key", "stoletje", ""), (1, "set_doc_id", "id", "x_1")]
+    assert [x[1] for x in log if x[0] == 2] == ["set_doc_id"] and (3, "normalize_value", "century", "19") in log
+    gate = spark.createDataFrame([("genre", 0.2, 0.8, False), ("title", 1.0, 0.5, True)], "key string, coverage double, least double, ok boolean")
+    metadata.refuse(fixes, gate)
+    with pytest.raises(ValueError, match="renamed"):
+        metadata.refuse(fixes, gate, on_alias=True)
+    with pytest.raises(ValueError, match="genre: 0.200 < 0.800"):
+        metadata.refuse(fixes.limit(0), gate, on_alias=True, on_coverage=True)
+
+
+def test_manifest_of_a_run(spark, tmp_path):
+    (tmp_path / "in.txt").write_text("a")
+    made = delimited.run_manifest({"t": spark.range(3)}, {"size": 2}, ["odd"], delimited.manifest(spark, str(tmp_path / "in.txt")), {"joy": ["Joy", "veselje"]})
+    assert sorted(map(tuple, made.collect())) == [("argument", "size", "2"), ("lexicon_column", "joy", "Joy,veselje"), ("rows", "t", "3"), ("sha256", "in.txt", hashlib.sha256(b"a").hexdigest()), ("warning", "1", "odd")]
+
+
+def test_wordless_documents_have_scores(spark):
+    docs = spark.createDataFrame([(1, "joy joy x"), (2, "..."), (3, None)], "doc_id long, text string")
+    keys = spark.createDataFrame([("joy", *[1.0] * 13)], "key string, " + ", ".join(f"{c} double" for c in [*lexicon.EMOTIONS, *lexicon.SENTIMENTS, *lexicon.VAD]))
+    got = {r.doc_id: (r.n_words, r.hits, r.joy, r.coverage, r.dominant) for r in lexicon.score(lexicon.match(segments.tokens(docs), keys), ["doc_id"], docs).collect()}
+    assert got == {1: (3, 2, 2.0, 2 / 3, "anger"), 2: (0, 0, 0.0, 0.0, None), 3: (0, 0, 0.0, 0.0, None)}
