@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..sources.stored import stored
 from . import summary as sm
 
 
@@ -26,25 +27,31 @@ def group_summary(rows: DataFrame, topic: str, doc: str, probability: str | None
     return rows.groupBy(F.col(topic).alias("topic")).agg(F.count("*").alias("n"), F.count_distinct(doc).alias("n_docs"), p.alias("mean_probability"), *(F.avg(c).alias(c) for c in measures))
 
 
-def crosswalks(families: dict[str, DataFrame], measures: list[str]) -> DataFrame:
-    """family, topic, emotion, value: the mean of each measure by topic of each family. A family has topic, weight and the measures."""
-    out = None
+def crosswalks(families: dict[str, DataFrame], scores: DataFrame, key: str, measures: list[str]) -> DataFrame:
+    """family, topic, emotion, value: the mean of each measure, by weight, by topic of each family.
+
+    A family has the key, topic and weight; all families are put together before the scores (key, measures) join them once.
+    """
+    every = None
     for name, rows in families.items():
-        mean = lambda c: (F.sum(F.col(c) * F.col("weight")) / F.nullif(F.sum(F.when(F.col(c).isNotNull(), F.col("weight"))), F.lit(0.0))).alias(c)
-        one = rows.groupBy(F.col("topic").cast("string").alias("topic")).agg(*map(mean, measures)).unpivot(["topic"], measures, "emotion", "value").withColumn("family", F.lit(name))
-        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
-    return out.select("family", "topic", "emotion", "value")
+        one = rows.select(F.lit(name).alias("family"), key, F.col("topic").cast("string").alias("topic"), F.col("weight").cast("double").alias("weight"))
+        every = one if every is None else every.unionByName(one)
+    mean = lambda c: (F.sum(F.col(c) * F.col("weight")) / F.nullif(F.sum(F.when(F.col(c).isNotNull(), F.col("weight"))), F.lit(0.0))).alias(c)
+    return every.join(scores.select(key, *measures), key, "left").groupBy("family", "topic").agg(*map(mean, measures)).unpivot(["family", "topic"], measures, "emotion", "value")
 
 
 def cluster_terms(tokens: DataFrame, group: str, doc: str, k: int = 10) -> DataFrame:
-    """group, term, score, rank: the terms of the greatest mean TF-IDF; rows have length one, idf is ln((1 + n) / (1 + df)) + 1."""
-    tf = tokens.groupBy(group, doc, "word").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("word").agg(F.count_distinct(doc).alias("df"))
-    n = tf.agg(F.count_distinct(doc).alias("n"))
+    """group, term, score, rank: the terms of the greatest mean TF-IDF; rows have length one, idf is ln((1 + n) / (1 + df)) + 1.
+
+    Counts by document and word are made once and stored; a document has one group.
+    """
+    tf = stored(tokens.groupBy(group, doc, "word").agg(F.count("*").alias("tf")), "counts")
+    members = tf.select(group, doc).distinct().groupBy(group).agg(F.count("*").alias("members"))
+    n = members.agg(F.sum("members").alias("n"))
+    df = tf.groupBy("word").agg(F.count("*").alias("df"))
     idf = df.join(F.broadcast(n)).select("word", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))  # n is one row
     rows = tf.join(idf, "word").withColumn("w", F.col("tf") * F.col("idf"))
     norm = rows.groupBy(doc).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    members = tf.groupBy(group).agg(F.count_distinct(doc).alias("members"))
     mean = rows.join(norm, doc).groupBy(group, "word").agg(F.sum(F.col("w") / F.col("norm")).alias("s")).join(members, group)
     scored = mean.select(group, F.col("word").alias("term"), (F.col("s") / F.col("members")).alias("score"))
     return sm.top_k(scored, [group], [F.desc(F.round("score", 9)), "term"], k)

@@ -51,30 +51,38 @@ def centroid_cosine(vectors: DataFrame, key: str, group: str, vector: str) -> Da
     return rows.join(means, F.col(group).eqNullSafe(F.col("_g"))).select(key, group, cosine.alias("cosine"))
 
 
-def _vectorized(docs: DataFrame, least: int) -> tuple[DataFrame, CountVectorizerModel | None]:
+#: Documents that a term is in at least, the share of documents at most, and terms at most.
+LIMITS = (2, 0.85, 50_000)
+
+
+def _vectorized(docs: DataFrame, least: int, limits: tuple[int, float, int] = LIMITS) -> tuple[DataFrame, CountVectorizerModel | None]:
     """Documents of at least ``least`` words with their counts; a vocabulary of fewer than five terms, or none, gives no model.
 
-    Terms are in two documents at least, in one where there are fewer than five documents, and in at most 85% of them.
+    limits are as LIMITS; where there are fewer than five documents, terms may be in one. If no term is within the
+    limits, those of any number of documents are taken.
     """
     kept = docs.filter(F.size("words") >= least)
     n = kept.limit(5).count()
     if n < 2:
         return kept, None
-    try:
-        model = CountVectorizer(inputCol="words", outputCol="features", minDF=2 if n >= 5 else 1, maxDF=0.85, vocabSize=50_000).fit(kept)
-    except IllegalArgumentException:  # no term is left
-        return kept, None
-    return (model.transform(kept), model) if len(model.vocabulary) >= 5 else (kept, None)
+    low, high, most = limits
+    for min_df, max_df in ((low if n >= 5 else 1, high), (1, 1.0)):
+        try:
+            model = CountVectorizer(inputCol="words", outputCol="features", minDF=min_df, maxDF=max_df, vocabSize=most).fit(kept)
+        except IllegalArgumentException:  # no term is left
+            continue
+        return (model.transform(kept), model) if len(model.vocabulary) >= 5 else (kept, None)
+    return kept, None
 
 
-def lda_grid(docs: DataFrame, counts: list[int], iterations: int = 30, terms: int = 20, least: int = 30, seed: int = 42) -> DataFrame:
+def lda_grid(docs: DataFrame, counts: list[int], iterations: int = 30, terms: int = 20, least: int = 30, seed: int = 42, limits: tuple[int, float, int] = LIMITS) -> DataFrame:
     """k, perplexity, coherence and chosen for each number of topics below the number of documents.
 
     Chosen is that of the greatest mean coherence, then the least perplexity. Perplexity is of the fitted
     documents, per word, by the variational bound of an online model; coherence is of each topic's terms.
     """
     spark = docs.sparkSession
-    rows, vectorizer = _vectorized(docs, least)
+    rows, vectorizer = _vectorized(docs, least, limits)
     out, n = [], rows.count()
     tokens = rows.select("doc_id", F.explode("words").alias("word"))
     words = None if vectorizer is None else spark.createDataFrame(list(enumerate(vectorizer.vocabulary)), "i int, term string")
@@ -86,9 +94,9 @@ def lda_grid(docs: DataFrame, counts: list[int], iterations: int = 30, terms: in
     return spark.createDataFrame([(*r, r[0] == best) for r in out], "k int, perplexity double, coherence double, chosen boolean")
 
 
-def lda_weights(docs: DataFrame, k: int = 20, iterations: int = 30, least: int = 30, seed: int = 42) -> DataFrame:
+def lda_weights(docs: DataFrame, k: int = 20, iterations: int = 30, least: int = 30, seed: int = 42, limits: tuple[int, float, int] = LIMITS) -> DataFrame:
     """doc_id, topic, probability and dominant for each document of ``least`` words and each topic."""
-    rows, vectorizer = _vectorized(docs, least)
+    rows, vectorizer = _vectorized(docs, least, limits)
     if vectorizer is None:
         return docs.sparkSession.createDataFrame([], "doc_id long, topic int, probability double, dominant boolean")
     model = LDA(k=min(k, max(2, rows.limit(k + 1).count() - 1)), maxIter=iterations, seed=seed, optimizer="online", subsamplingRate=1.0).fit(rows)

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as tx
 from ..operators import lexicon as lx, segments as sg, summary as sm, topics as tp
-from ..sources import conllu
+from ..sources import conllu, resumable
+from ..sources.stored import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -68,6 +69,14 @@ def doc_emotion_scores(spark, d):
     return _doc_scores(spark, d)
 
 
+@query(f"{_DOCS} SELECT * FROM scores")
+def document_scores_resumed(spark, d):
+    """The same in batches that a stopped run leaves behind and the next one completes."""
+    docs, lexicon = _t(spark, d, "documents").select("doc_id", "text"), _lexicon(spark, d)
+    score = lambda part: lx.score(lx.match(sg.tokens(part), lexicon), ["doc_id"], part)
+    return resumable.run(docs, "doc_id", score, f"{shared_dir(spark)}/document-scores", {"lexicon": resumable.fingerprint({}, lexicon)}, 4, ("text",))
+
+
 @query(f"WITH {_TOK} SELECT word, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM tok GROUP BY 1")
 def type_counts(spark, d):
     return sg.tokens(_t(spark, d, "documents")).groupBy("word").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("n_docs"))

@@ -45,10 +45,11 @@ fu AS (SELECT family, topic, weight, unnest([{', '.join(repr(r) for r in _RATES)
 
 @query(f"{_DOCS}, {_SHARES}, {_FAM} SELECT family, topic, emotion, sum(rate * weight) / sum(CASE WHEN rate IS NOT NULL THEN weight END) AS value FROM fu GROUP BY ALL", ["value"])
 def crosswalk_families(spark, d):
-    m, docs = _measured(spark, d), _t(spark, d, "documents")
-    plain = lambda df, key, topic: df.select(F.col(key).alias("vec_id"), F.col(topic).cast("string").alias("topic"), F.lit(1.0).alias("weight")).join(m, "vec_id", "left")
-    lda = rv.topic_weights(_shares(spark, d), "vec_id", "v").withColumnRenamed("probability", "weight").join(m, "vec_id", "left")
-    return rv.crosswalks({"lda": lda, "cluster": plain(_t(spark, d, "embeddings"), "vec_id", "label"), "classifier": plain(docs, "doc_id", "lang"), "bertopic": plain(docs, "doc_id", "source")}, _RATES)
+    docs = _t(spark, d, "documents")
+    plain = lambda df, key, topic: df.select(F.col(key).alias("vec_id"), F.col(topic).alias("topic"), F.lit(1.0).alias("weight"))
+    lda = rv.topic_weights(_shares(spark, d), "vec_id", "v").withColumnRenamed("probability", "weight")
+    families = {"lda": lda, "cluster": plain(_t(spark, d, "embeddings"), "vec_id", "label"), "classifier": plain(docs, "doc_id", "lang"), "bertopic": plain(docs, "doc_id", "source")}
+    return rv.crosswalks(families, _measured(spark, d), "vec_id", _RATES)
 
 
 _TFIDF = r"""tok AS (SELECT lang, doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '\p{L}+')) AS word FROM documents), tf AS (SELECT lang, doc_id, word, count(*) AS tf FROM tok GROUP BY ALL),

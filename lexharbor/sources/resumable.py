@@ -14,11 +14,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
-def fingerprint(parameters: dict, ids: DataFrame) -> str:
-    """Hash of the parameters and of all ids (one column), whatever their order; ids are summed up by Spark."""
-    name = ids.columns[0]
-    n, low, high = ids.agg(F.count("*"), F.sum(F.xxhash64(name).cast("decimal(38,0)")), F.sum(F.xxhash64(name, F.lit(1)).cast("decimal(38,0)"))).first()
-    known = json.dumps([parameters, n, str(low), str(high)], sort_keys=True, ensure_ascii=False, default=str)
+def fingerprint(parameters: dict, inputs: DataFrame) -> str:
+    """Hash of the parameters and of all rows of the inputs, whatever their order; rows are summed up by Spark."""
+    row = [F.col(c) for c in inputs.columns]
+    n, low, high = inputs.agg(F.count("*"), *(F.sum(F.xxhash64(*row, F.lit(i)).cast("decimal(38,0)")) for i in (0, 1))).first()
+    known = json.dumps([parameters, inputs.columns, n, str(low), str(high)], sort_keys=True, ensure_ascii=False, default=str)
     return hashlib.sha256(known.encode()).hexdigest()[:32]
 
 
@@ -36,15 +36,15 @@ def done_batches(spark: SparkSession, folder: str) -> list[int]:
     return sorted(int(n.removeprefix("done-")) for n in names if n.startswith("done-"))
 
 
-def run(rows: DataFrame, key: str, make: Callable[[DataFrame], DataFrame], path: str, parameters: dict, batches: int = 16) -> DataFrame:
+def run(rows: DataFrame, key: str, make: Callable[[DataFrame], DataFrame], path: str, parameters: dict, batches: int = 16, watched: tuple[str, ...] = ()) -> DataFrame:
     """``make`` of all rows, batch by batch, written below ``path``; batches that an earlier run completed are read only.
 
     A row's batch follows from its key, so the batches of a run that goes on are those of the one that stopped. With
-    other parameters or ids the fingerprint differs, and so does the folder. Left-overs of a batch that was not
+    other parameters, ids or values of the watched columns the fingerprint differs, and so does the folder. Left-overs of a batch that was not
     completed are removed first. ``make`` has to give columns of the same names and types for every batch.
     """
     spark = rows.sparkSession
-    folder = f"{path.rstrip('/')}/{fingerprint({**parameters, 'batches': batches}, rows.select(key))}"
+    folder = f"{path.rstrip('/')}/{fingerprint({**parameters, 'batches': batches}, rows.select(key, *watched))}"
     fs, _ = _hadoop(spark, folder)
     have = set(done_batches(spark, folder))
     if len(have) < batches:

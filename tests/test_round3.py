@@ -252,6 +252,10 @@ def test_resumed_outputs(spark, tmp_path):
     resumable.run(rows.filter("doc_id < 99"), "doc_id", make, path, {"size": 1}, 8)
     assert len(seen) == 16 and len(list((tmp_path / "out").iterdir())) == 3
     assert resumable.run(rows.limit(0), "doc_id", make, path, {}, 2).count() == 0
+    other = rows.withColumn("batch", F.lit("y"))
+    for table in (rows, other, rows):
+        resumable.run(table, "doc_id", make, path, {"size": 1}, 8, ("batch",))
+    assert len(list((tmp_path / "out").iterdir())) == 6
 
 
 def test_batched_k_means(spark):
