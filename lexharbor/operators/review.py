@@ -118,6 +118,12 @@ def hardened(parts: dict[str, DataFrame], rules: list[tuple[str, str, float, str
     return verdicts(rows, rules)
 
 
+def with_segments(rows: DataFrame, segments: DataFrame, keys: list[str]) -> DataFrame:
+    """rows with the columns of their segments; those of a name that rows have already get the suffix _segment."""
+    named = segments.select(*keys, *(F.col(c).alias(f"{c}_segment" if c in rows.columns else c) for c in segments.columns if c not in keys))
+    return rows.join(named, keys, "left")
+
+
 def with_vectors(assigned: DataFrame, manifest: DataFrame, key: str) -> DataFrame:
     """Assignments with the columns of a manifest of vectors, joined by key, whatever the order of either; has_vector tells where there is one."""
     held = manifest.withColumns({"_key": F.col(key), "_held": F.lit(True)}).drop(key)

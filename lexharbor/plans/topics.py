@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import text as tx
 from ..operators import review as rv, summary as sm, topics as tp
-from .corpus import _CEN, _DOCS, _EXT, _RATES, EMO, ORACLE, _doc_scores, _t, centroid_cosine, emotion_extremes, query, score_alignment
+from .corpus import _CEN, _DOCS, _EXT, _RATES, EMO, ORACLE, _doc_scores, _t, centroid_cosine, emotion_extremes, query, score_alignment, window_segments
 
 #: Shares of four topics for each vector: the squares of its first four numbers.
 _SHARES = """sh AS (SELECT vec_id, label, list_transform(embedding[1:4], lambda x: x::DOUBLE * x::DOUBLE) AS q FROM embeddings), v AS (SELECT vec_id, label, list_transform(q, lambda x: x / list_sum(q)) AS v FROM sh),
@@ -160,6 +160,13 @@ def cluster_silhouette(spark, d):
     return tp.kmeans_with_silhouette(_t(spark, d, "embeddings"), "vec_id", "embedding")
 
 
+@query(f"{_EXT}, g AS (SELECT doc_id, seg_no, len(words) AS n_words_segment, md5(array_to_string(words, ' ')) AS digest FROM win) SELECT x.doc_id, x.seg_no, emotion, rank, n_words, n_words_segment, digest FROM x LEFT JOIN g USING (doc_id, seg_no)")
+def extremes_with_segments(spark, d):
+    """The emotion sheet with the columns of its segments."""
+    rows = rv.with_segments(emotion_extremes(spark, d), window_segments(spark, d), ["doc_id", "seg_no"])
+    return rows.select("doc_id", "seg_no", "emotion", "rank", "n_words", "n_words_segment", "digest")
+
+
 _RULES = [("topics.zeros", ">", 0, "warning"), ("topics.small_topics", ">", 0, "warning"), ("emotions.under_80", ">", 0, "stop"), ("emotions.glued", ">", 0, "warning"), ("scores.left_only", ">", 1e9, "stop"), ("scores.both", "<", 1, "stop")]
 _CHECKS = {"topics": ["rows", "topics", "zeros", "missing", "small_topics"], "emotions": ["rows", "segments", "repeated", "under_80", "glued"], "scores": ["both", "left_only", "right_only"]}
 _ITEMS = ", ".join(f"'{p}.{c}'" for p, names in _CHECKS.items() for c in names)
