@@ -160,7 +160,7 @@ def cluster_silhouette(spark, d):
     return tp.kmeans_with_silhouette(_t(spark, d, "embeddings"), "vec_id", "embedding")
 
 
-@query(f"{_EXT}, g AS (SELECT doc_id, seg_no, len(words) AS n_words_segment, md5(array_to_string(words, ' ')) AS digest FROM win) SELECT x.doc_id, x.seg_no, emotion, rank, n_words, n_words_segment, digest FROM x LEFT JOIN g USING (doc_id, seg_no)")
+@query(f"{_EXT}, held AS (SELECT doc_id, seg_no, len(words) AS n_words_segment, md5(array_to_string(words, ' ')) AS digest FROM win) SELECT x.doc_id, x.seg_no, emotion, rank, n_words, n_words_segment, digest FROM x LEFT JOIN held USING (doc_id, seg_no)")
 def extremes_with_segments(spark, d):
     """The emotion sheet with the columns of its segments."""
     rows = rv.with_segments(emotion_extremes(spark, d), window_segments(spark, d), ["doc_id", "seg_no"])
