@@ -198,16 +198,17 @@ def output_ids(rows: DataFrame, mode: str = "auto", prefix: str = "doc") -> Data
 
 
 def restored(sents: DataFrame, attrs: DataFrame) -> DataFrame:
-    """Sentences of CoNLL-U (file, doc_no, at, comments, ...) whose documents begin with the metadata of attrs (file, doc_no, out_id, attrs).
+    """Sentences of CoNLL-U (file, doc_no, at, opens, comments, ...) whose documents begin with the metadata of attrs (file, doc_no, out_id, attrs).
 
-    Rows of tokens are never touched; comments of structure, sent_id and text stay, others go.
+    Rows of tokens are never touched; comments of structure, sent_id and text stay, others go. Only the first block of
+    each document is joined with attrs.
     """
-    first = F.row_number().over(Window.partitionBy("file", "doc_no").orderBy("at")) == 1
     key = lambda c: F.lower(F.regexp_replace(F.trim(F.regexp_extract(c, "^#([^=]*)", 1)), r"\s+", "_"))
     stay = F.filter("comments", lambda c: key(c).isin("sent_id", "text", "newpar", "newpar_id", "par_id"))
     lines = F.transform(F.map_entries(F.map_filter("attrs", lambda k, v: (F.trim(v) != "") & ~k.isin("doc_id", "id"))), lambda e: F.concat(F.lit("# "), tx.comment_safe(e.key), F.lit(" = "), tx.comment_safe(e.value)))
     head = F.concat(F.array(F.concat(F.lit("# newdoc id = "), F.col("out_id"))), F.coalesce(lines, F.array().cast("array<string>")))
-    return sents.join(attrs.select("file", "doc_no", "out_id", "attrs"), ["file", "doc_no"], "left").withColumn("_first", first).withColumn("comments", F.when(F.col("_first"), F.concat(head, stay)).otherwise(stay)).drop("_first", "out_id", "attrs")
+    first = sents.filter("opens").join(attrs.select("file", "doc_no", "out_id", "attrs"), ["file", "doc_no"], "left").withColumn("comments", F.concat(head, stay))
+    return first.select(*sents.columns).unionByName(sents.filter("NOT opens").withColumn("comments", stay))
 
 
 def wide(rows: DataFrame, keys: list[str]) -> DataFrame:

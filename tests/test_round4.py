@@ -5,6 +5,8 @@ import re
 from pyspark.sql import Window, functions as F
 
 from lexharbor.operators import segments as sg
+from lexharbor.plans import meta
+from lexharbor.sources import conllu
 
 DATA = "/root/testdata/sf0.001"
 
@@ -26,3 +28,14 @@ def test_blanks_behind_words(spark):
     assert [r[5] for r in got] == [True, False, False, False, True, False, False, True, True, True, True, True]
     assert [r[:2] for r in got] == [(1, 1)] * 5 + [(1, 2)] * 1 + [(1, 3)] * 2 + [(2, 1)] + [(3, 1)] * 3
     assert [r[3:5] for r in got][8:] == [("cat", "PROPN"), ("dog", "VERB"), ("7", "NUM"), ("čas", "PROPN")]
+
+
+def test_blocks_of_texts_keep_their_split(spark):
+    blocks = conllu.text_blocks(meta._conllu(spark, DATA))
+    assert shuffles(blocks.withColumn("n", F.count("*").over(Window.partitionBy("file", "split").orderBy("at")))) == shuffles(blocks)
+
+
+def test_text_blocks(spark):
+    rows = [("f", 0, 0, "\n \n# newdoc id = a\r\n1\tx\r\n \r\n\n2\ty\n"), ("f", 0, 1, ""), ("f", 1, 2, "3\tz\n\n\n")]
+    got = conllu.text_blocks(spark.createDataFrame(rows, "file string, split long, place long, value string")).orderBy("at").collect()
+    assert [r.lines for r in got] == [["# newdoc id = a", "1\tx"], ["2\ty"], ["3\tz"]]
