@@ -31,6 +31,9 @@ LONGEST, TOP, LEAST = 5, 2000, 100
 STEPS = (0.25, 0.5, 1.0)
 #: Bits (as a power of two) of a set of fingerprints, fingerprints that a task counts, and texts and bytes of them that it codes at a time.
 BITS, HELD, ROWS, BLOCK = 25, 1 << 18, 256, 1 << 18
+#: Codes of a stored row: that before the first start, the starts, and what their phrases need behind the last. Readers hold thousands of rows at a time.
+WIDE = 256
+STARTS = WIDE - 1 - LONGEST
 _STEP = np.random.default_rng(12).integers(1, 2**63, LONGEST, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _GAP, _BREAK = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
 _GAP[[0x20, 0x09]] = True
@@ -97,7 +100,7 @@ def _in(bits: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 def _encoded(frequent: Broadcast):
-    """Runs of frequent words of a stretch as one list, 0 between them; words without a neighbour are left out."""
+    """Runs of frequent words of a stretch, 0 between them, in rows of WIDE codes that overlap; words without a neighbour are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -111,20 +114,22 @@ def _encoded(frequent: Broadcast):
                 full = out != 0
                 out = out[1:][full[1:] | full[:-1]]
                 if len(out):
-                    yield pa.RecordBatch.from_arrays([pa.array([out.view(np.int64)], pa.list_(pa.int64()))], ["codes"])
+                    n = -(-len(out) // STARTS)
+                    x = np.concatenate((np.zeros(1, np.uint64), out, np.zeros(n * STARTS - len(out) + LONGEST, np.uint64)))
+                    x = np.lib.stride_tricks.sliding_window_view(x, WIDE)[::STARTS].reshape(-1)
+                    yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * WIDE), pa.array(x.view(np.int64)))], ["codes"])
 
     return run
 
 
-def _stretches(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, int]]:
-    """Codes of k starts, with the code before the first start and those up to the end of the last one's phrases."""
-    column = batch.column("codes")
-    flat, cuts = column.flatten().to_numpy().view(np.uint64), np.concatenate(([0], np.cumsum(column.value_lengths().to_numpy())))
-    for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-        x = np.concatenate((np.zeros(1, np.uint64), flat[lo:hi], np.zeros(LONGEST, np.uint64)))
-        for at in range(0, hi - lo, HELD):
-            k = min(HELD, hi - lo - at)
-            yield x[at : at + k + 1 + LONGEST], k
+def _stretches(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
+    """Codes of k places, with the code before the first place and those up to the end of the last one's phrases; and which are starts."""
+    own = np.zeros(WIDE, dtype=bool)
+    own[1 : 1 + STARTS] = True
+    for lo in range(0, batch.num_rows, HELD // WIDE):
+        v = batch.column("codes").slice(lo, HELD // WIDE).flatten().to_numpy().view(np.uint64)
+        k = len(v) - 1 - LONGEST
+        yield v, k, np.tile(own, len(v) // WIDE)[1 : 1 + k]
 
 
 def _gram(v: np.ndarray, k: int, m: int, off: int = 0) -> np.ndarray:
@@ -153,8 +158,8 @@ def _level(m: int, new: Broadcast, open_: Broadcast, often: Broadcast):
             return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], ["h", "c"])
 
         for batch in batches:
-            for v, k in _stretches(batch):
-                fit = _full(v, k, m) & _in(new.value, v[1 : 1 + k])
+            for v, k, own in _stretches(batch):
+                fit = own & _full(v, k, m) & _in(new.value, v[1 : 1 + k])
                 if m > 2:
                     fit &= _in(often.value, _gram(v, k, m - 1))
                     fit &= ~_in(open_.value, v[2 : 2 + k]) | _in(often.value, _gram(v, k, m - 1, 1))
@@ -173,9 +178,9 @@ def _phrases(wanted: Broadcast, new: Broadcast | None):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for v, k in _stretches(batch):
+            for v, k, starts in _stretches(batch):
                 for m in range(2, LONGEST + 1):
-                    fit = _full(v, k, m) & _in(wanted.value, _gram(v, k, m))
+                    fit = starts & _full(v, k, m) & _in(wanted.value, _gram(v, k, m))
                     at = np.flatnonzero(fit & _in(new.value, v[1 : 1 + k]) if new else fit)
                     if not len(at):
                         continue
@@ -255,7 +260,8 @@ def mine(docs: DataFrame, top: int = TOP, least: int = LEAST) -> DataFrame:
     candidate has them all. Ties in score and count are ordered by the phrase's bytes. Extra columns are ignored; an
     empty table gives an empty result.
 
-    Counts are summed before and behind the shuffles; no task holds a document's phrases but of HELD starts.
+    Counts are summed before and behind the shuffles; no task holds a document's phrases but of HELD starts, nor more
+    of the stored runs than a batch of rows of WIDE codes, however long texts and parts of the corpus are.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "collocations")
