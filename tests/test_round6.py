@@ -2,12 +2,10 @@
 
 import re
 
-import numpy as np
-
 from pyspark.sql import functions as F
 
 from lexharbor import plans
-from lexharbor.operators import density, lexicon, reduction, review, segments, topics
+from lexharbor.operators import lexicon, reduction, review, topics
 from lexharbor.plans import corpus
 from lexharbor.sources import conllu
 
@@ -42,3 +40,12 @@ def test_facts_stand_in_place_of_rows(spark):
     assert sorted(conllu.frequencies(whole).collect()) == sorted(conllu.frequencies(conllu.parsed(raw)).collect())
 
 
+def test_scores_shuffle_no_words(spark):
+    """Words stay dealt by document, and no set of entries is held."""
+    plan = corpus._doc_scores(spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "ObjectHashAggregate" not in plan and "collect_set" not in plan
+    words = spark.createDataFrame([(1, "a"), (1, "a"), (1, "b"), (1, "x"), (2, "x")], "doc_id long, word string")
+    keys = spark.createDataFrame([("a", 1.0, 0.5), ("b", 0.0, None)], "key string, joy double, valence double")
+    rest = [c for c in [*lexicon.EMOTIONS, *lexicon.SENTIMENTS, *lexicon.VAD] if c not in keys.columns]
+    got = lexicon.score(lexicon.match(words, keys.withColumns({c: F.lit(None).cast("double") for c in rest})), ["doc_id"], spark.range(1, 4).withColumnRenamed("id", "doc_id"))
+    assert [tuple(r) for r in got.select("doc_id", "n_words", "hits", "distinct_hits", "joy", "fear", "valence").orderBy("doc_id").collect()] == [(1, 4, 3, 2, 2.0, 0.0, 0.5), (2, 1, 0, 0, 0.0, 0.0, None), (3, 0, 0, 0, 0.0, 0.0, None)]
