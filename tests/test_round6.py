@@ -49,3 +49,10 @@ def test_scores_shuffle_no_words(spark):
     rest = [c for c in [*lexicon.EMOTIONS, *lexicon.SENTIMENTS, *lexicon.VAD] if c not in keys.columns]
     got = lexicon.score(lexicon.match(words, keys.withColumns({c: F.lit(None).cast("double") for c in rest})), ["doc_id"], spark.range(1, 4).withColumnRenamed("id", "doc_id"))
     assert [tuple(r) for r in got.select("doc_id", "n_words", "hits", "distinct_hits", "joy", "fear", "valence").orderBy("doc_id").collect()] == [(1, 4, 3, 2, 2.0, 0.0, 0.5), (2, 1, 0, 0, 0.0, 0.0, None), (3, 0, 0, 0, 0.0, 0.0, None)]
+
+
+def test_cluster_terms_shuffle_counts_once(spark, monkeypatch):
+    made, plans_ = [], []
+    monkeypatch.setattr(review, "stored", lambda df, name, own=review.stored: plans_.append(df._jdf.queryExecution().executedPlan().toString()) or made.append(name) or own(df, name))
+    plans.QUERIES["cluster_top_terms"](spark, DATA)
+    assert made == ["counts", "idf", "norms"] and "hashpartitioning(lang" not in plans_[0]
