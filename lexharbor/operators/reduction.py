@@ -8,14 +8,17 @@ from ..sources.stored import stored
 
 
 def class_vectors(tokens: DataFrame, group: str) -> DataFrame:
-    """group, word, weight: all class TF-IDF weights, scaled to length 1 for each group."""
-    tf = tokens.groupBy(group, "word").agg(F.count("*").alias("tf"))
+    """group, word, weight: all class TF-IDF weights, scaled to length 1 for each group.
+
+    The tokens are read once; their counts by group and word, and the weights, are stored.
+    """
+    tf = stored(tokens.groupBy(group, "word").agg(F.count("*").alias("tf")), "class-counts")
     sizes = tf.groupBy(group).agg(F.sum("tf").alias("n"))
     terms = tf.groupBy("word").agg(F.sum("tf").alias("m"))
     mean = sizes.agg(F.avg("n").alias("mean"))
     rows = tf.join(sizes, group).join(terms, "word").join(F.broadcast(mean)).withColumn("w", F.col("tf") / F.col("n") * F.log1p(F.col("mean") / F.col("m")))
     norm = rows.groupBy(group).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return rows.join(norm, group).select(group, "word", (F.col("w") / F.col("norm")).alias("weight"))
+    return stored(rows.join(norm, group).select(group, "word", (F.col("w") / F.col("norm")).alias("weight")), "class-vectors")
 
 
 def similarities(vectors: DataFrame, group: str) -> DataFrame:

@@ -56,3 +56,9 @@ def test_cluster_terms_shuffle_counts_once(spark, monkeypatch):
     monkeypatch.setattr(review, "stored", lambda df, name, own=review.stored: plans_.append(df._jdf.queryExecution().executedPlan().toString()) or made.append(name) or own(df, name))
     plans.QUERIES["cluster_top_terms"](spark, DATA)
     assert made == ["counts", "idf", "norms"] and "hashpartitioning(lang" not in plans_[0]
+
+
+def test_topic_words_are_counted_once(spark, monkeypatch):
+    made = kept(monkeypatch, reduction)
+    plan = plans.QUERIES["topic_similarities"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert [n for n, _ in made] == ["class-counts", "class-vectors"] and "Generate" not in plan
