@@ -40,6 +40,16 @@ def test_facts_stand_in_place_of_rows(spark):
     assert sorted(conllu.frequencies(whole).collect()) == sorted(conllu.frequencies(conllu.parsed(raw)).collect())
 
 
+def test_vocabulary_keeps_no_words_in_memory(spark, monkeypatch):
+    """A share of documents goes to the vectorizer as their number; words and counts are stored once."""
+    made, given = kept(monkeypatch, topics), []
+    monkeypatch.setattr(topics, "CountVectorizer", lambda own=topics.CountVectorizer, **k: given.append(k) or own(**k))
+    docs = spark.createDataFrame([(i, [f"w{(5 * i + j) % 60}" for j in range(30)] + ["all"]) for i in range(12)], "doc_id long, words array<string>")
+    rows, model = topics._vectorized(docs, 30)
+    assert given[0]["maxDF"] == 0.85 * 12 and "all" not in model.vocabulary and len(model.vocabulary) == 60
+    assert made == [("words", ["doc_id", "words"]), ("features", ["doc_id", "features"])] and rows.count() == 12
+
+
 def test_scores_shuffle_no_words(spark):
     """Words stay dealt by document, and no set of entries is held."""
     plan = corpus._doc_scores(spark, DATA)._jdf.queryExecution().executedPlan().toString()
