@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..sources.stored import stored
-from .graph import components, spanning_forest
+from .graph import merged
 
 #: Rows that are compared with each other at a time, projections, neighbours, least members and levels.
 CHUNK, TABLES, NEAR, LEAST, LEVELS = 1024, 8, 10, 15, 16
@@ -30,27 +30,63 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def _nearest(ids: np.ndarray, v: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Row, place of its neighbour and distance, for the k nearest of each row of v by (distance, id), 64 rows at a time.
+
+    Matrix products tell which rows may be among the k nearest; they err by no more than ``slack``, and only the
+    rows within it have their distances taken as ``distances`` takes them, so the result is the same.
+    """
+    n, k = len(ids), min(k, len(ids) - 1)
+    norms = (v * v).sum(axis=1)
+    slack = (8 * (v.shape[1] + 8) * np.finfo(float).eps * (norms + norms.max()) + 1e-300) if norms.max() < 1e300 else np.full(n, np.inf)
+    step = max(1, (1 << 20) // max(1, v.shape[1]))
+    for lo in range(0, n if k > 0 else 0, 64):
+        here = v[lo : lo + 64]
+        with np.errstate(over="ignore", invalid="ignore"):
+            about = norms[lo : lo + 64, None] + norms - 2 * (here @ v.T)
+            about[np.arange(len(here)), lo + np.arange(len(here))] = np.inf
+            far = about > (np.partition(about, k - 1, axis=1)[:, k - 1] + slack[lo : lo + 64])[:, None]
+        far[np.arange(len(here)), lo + np.arange(len(here))] = True
+        row, other = np.nonzero(~far)
+        d = np.concatenate([np.sqrt(((v[other[i : i + step]] - here[row[i : i + step]]) ** 2).sum(axis=1)) for i in range(0, len(row), step)])
+        order = np.lexsort((ids[other], d, row))
+        first = np.searchsorted(row, np.arange(len(here)))
+        order = order[np.arange(len(row)) - first[row] < k]  # row is sorted, before and after
+        yield lo + row[order], other[order], d[order]
+
+
 def _near(k: int, chunk: int):
     """Over rows sorted by projection: the k nearest of each among ``chunk`` rows that follow each other."""
 
-    def made(ids: np.ndarray, v: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for lo in range(0, len(ids), 64):
-            d = distances(v[lo : lo + 64], v)
-            d[np.arange(len(d)), lo + np.arange(len(d))] = np.inf
-            near = np.lexsort((np.broadcast_to(ids, d.shape), d), axis=1)[:, : min(k, len(ids) - 1)]
-            one = np.repeat(ids[lo : lo + 64], near.shape[1])
-            yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(ids[near].ravel()), pa.array(np.take_along_axis(d, near, 1).ravel())], ["id", "other", "distance"])
+    def made(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        ids, v = (np.concatenate(x) for x in zip(*held, strict=True))
+        for row, other, d in _nearest(ids, v, k):
+            yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(ids[other]), pa.array(d)], ["id", "other", "distance"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, int, list[float]]] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        line = None
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("t", "id", "v")), strict=True):
-                if held and (held[0][0] != row[0] or len(held) == chunk):
-                    yield from made(np.array([x[1] for x in held]), np.array([x[2] for x in held]))
+            if not batch.num_rows:
+                continue
+            t, ids, column = batch.column("t").to_numpy(), batch.column("id").to_numpy(), batch.column("v")
+            if len(column.value_lengths().unique()) > 1:
+                raise ValueError("vectors differ in length")
+            v = column.flatten().to_numpy().reshape(len(column), -1)
+            for lo, hi in zip(starts := [0, *(np.flatnonzero(t[1:] != t[:-1]) + 1)], [*starts[1:], len(t)], strict=True):
+                if held and t[lo] != line:
+                    yield from made(held)
                     held = []
-                held.append(row)
-        if len(held) > 1:
-            yield from made(np.array([x[1] for x in held]), np.array([x[2] for x in held]))
+                line = t[lo]
+                while lo < hi:
+                    end = min(hi, lo + chunk - sum(len(x) for x, _ in held))
+                    held.append((ids[lo:end], v[lo:end]))
+                    lo = end
+                    if sum(len(x) for x, _ in held) == chunk:
+                        yield from made(held)
+                        held = []
+        if held:
+            yield from made(held)
 
     return run
 
@@ -69,7 +105,7 @@ def neighbours(vectors: DataFrame, k: int = NEAR, tables: int = TABLES, chunk: i
     rows = vectors.select("id", "v", F.explode(F.array(*on)).alias("p")).select("p.t", "p.x", "id", "v")
     parts = max(1, n * len(lines) // (8 * chunk))
     found = rows.repartitionByRange(parts, "t", "x", "id").sortWithinPartitions("t", "x", "id").mapInArrow(_near(k, chunk), _PAIR)
-    each = found.groupBy("id", "other").agg(F.min("distance").alias("distance"))
+    each = found.repartition("id").groupBy("id", "other").agg(F.min("distance").alias("distance"))  # dealt by id for the places too
     place = F.row_number().over(Window.partitionBy("id").orderBy("distance", "other"))
     return each.withColumn("place", place).filter(F.col("place") <= k).drop("place")
 
@@ -82,19 +118,23 @@ def reachability(near: DataFrame) -> DataFrame:
     return ends.select("a", "b", F.greatest("d", "core_a", "core_b").alias("w"))
 
 
-def condensed(ids: DataFrame, forest: DataFrame, cuts: list[float], least: int = LEAST) -> DataFrame:
+def condensed(ids: DataFrame, forest: DataFrame, cuts: list[float], least: int = LEAST, steps: DataFrame | None = None) -> DataFrame:
     """id and path: the clusters (level of birth, least member, last level) that a row belongs to, outermost first.
 
-    cuts are distances from wide to narrow; at a level the edges up to its distance hold.
+    cuts are distances from wide to narrow; at a level the edges up to its distance hold. What hangs together at a
+    level stands in the steps of ``merged``, without rounds: a row is in the last tree before an edge that is too long.
     """
-    level = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: F.col("w") <= c)) - 1  # the narrowest that has the edge
-    edges = forest.withColumn("to", level).filter("to >= 0").select(F.explode(F.sequence(F.lit(0), "to")).alias("level"), F.col("a").alias("u"), F.col("b").alias("v"))
-    found = stored(components(edges, ("level",)), "levels")
-    full = found.groupBy("level", "component").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
-    rows = found.join(full.drop("n"), ["level", "component"])
+    trees = merged(forest)[1] if steps is None else steps
+    upto = F.transform(F.array(*map(F.lit, cuts)), lambda c: F.array_position(F.transform("steps", lambda s: s.w.isNull() | (s.w > c)), F.lit(True)).cast("int"))
+    each = trees.select("node", "steps", F.posexplode(upto).alias("level", "at")).filter("at > 1")  # others are alone
+    each = stored(each.select("level", "node", "at", F.element_at("steps", F.col("at")).tree.alias("tree")), "trees")
+    key = ["level", "at", "tree"]
+    full = stored(each.groupBy(*key).agg(F.count("*").alias("n"), F.min("node").alias("component")).filter(F.col("n") >= least), "components")
+    rows = stored(each.join(full.drop("n"), key).select("level", "node", "component"), "levels")
+    full = full.select("level", "component")
     # a component is new where its parent has two or more children; all of the widest level are
     above = rows.select((F.col("level") + 1).alias("level"), "node", F.col("component").alias("parent"))
-    tree = full.drop("n").join(above.withColumnRenamed("node", "component"), ["level", "component"], "left")
+    tree = full.join(above.withColumnRenamed("node", "component"), ["level", "component"], "left")
     many = tree.filter("parent IS NOT NULL").groupBy("level", "parent").agg(F.count("*").alias("children"))
     tree = tree.join(many, ["level", "parent"], "left").select("level", "component", (F.coalesce("children", F.lit(2)) > 1).alias("new"))
     rows = rows.join(tree, ["level", "component"])
@@ -141,9 +181,10 @@ def clusters(vectors: DataFrame, k: int = NEAR, least: int = LEAST, levels: int
     """
     every = vectors.select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v"))
     good = stored(every.filter((F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))), "vectors")
-    forest = stored(spanning_forest(reachability(neighbours(good, k, tables, chunk))), "forest")
+    forest, steps = merged(reachability(stored(neighbours(good, k, tables, chunk), "near")))
+    forest = stored(forest, "forest")
     cuts = forest.agg(F.percentile_approx("w", [i / levels for i in range(levels, 0, -1)], 10_000)).first()[0] or []
     cuts = sorted({float(c) for c in cuts}, reverse=True)
     if not cuts:
         return every.select("id", F.lit(-1).cast("long").alias("cluster"))
-    return stable(stored(condensed(every.select("id"), forest, cuts, least), "paths"), cuts, single)
+    return stable(stored(condensed(every.select("id"), forest, cuts, least, steps), "paths"), cuts, single)

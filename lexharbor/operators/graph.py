@@ -36,23 +36,28 @@ def _roots(links: DataFrame) -> DataFrame:
     """(x, root) of links (x, to), one for each x, whose only cycles are pairs; the smaller of a pair is the root."""
     back = links.select(F.col("x").alias("to"), F.col("to").alias("back"))
     now = links.join(back, "to", "left").select("x", F.when((F.col("back") == F.col("x")) & (F.col("x") < F.col("to")), F.col("x")).otherwise(F.col("to")).alias("root"))
+    now = stored(now, "roots")
     while True:
-        now = stored(now, "roots")
         up = now.select(F.col("x").alias("root"), F.col("root").alias("above"))
-        further = now.join(up, "root").select("x", F.col("above").alias("root"), (F.col("above") != F.col("root")).alias("moved"))
-        if not further.filter("moved").limit(1).count():
-            return now
+        further = stored(now.join(up, "root").select("x", F.col("above").alias("root"), (F.col("above") != F.col("root")).alias("moved")), "roots")
         now = further.drop("moved")
+        if further.filter("moved").isEmpty():
+            return now
 
 
-def spanning_forest(edges: DataFrame) -> DataFrame:
-    """The edges (a, b, w) of a minimum spanning forest by Borůvka's rounds; edges of equal weight are ordered by (a, b).
+def merged(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A minimum spanning forest (a, b, w) by Borůvka's rounds, and the trees that each node was in; edges of equal weight are ordered by (a, b).
 
     In each round every tree takes its least edge to another one; trees that are linked so become one, and of the
     edges between two trees only the least stays. The number of trees at least halves in a round.
+
+    The second table has node and steps, array of (tree, w): the trees that the node was in before each round, from
+    itself on, with the weights of the edges they took, and the last one without. Along the steps of two nodes, up to
+    the first tree that is the same, the greatest weight is the greatest on their path in the forest (V. King, A
+    simpler minimum spanning tree verification algorithm, 1997), so the steps tell what hangs together below a weight.
     """
     cross = stored(edges.filter("a <> b").select(F.col("a").alias("x"), F.col("b").alias("y"), F.struct("w", "a", "b").alias("e")), "cross")
-    taken = None
+    taken, rounds = None, []
     while True:
         each = cross.union(cross.select(F.col("y").alias("x"), F.col("x").alias("y"), "e"))
         best = stored(each.groupBy("x").agg(F.min(F.struct("e", "y")).alias("m")).select("x", F.col("m.y").alias("to"), "m.e"), "best")
@@ -61,7 +66,19 @@ def spanning_forest(edges: DataFrame) -> DataFrame:
         own = best.select("e").distinct()
         taken = own if taken is None else taken.union(own)
         root = _roots(best.select("x", "to"))
+        rounds.append(best.select("x", "e.w").join(root, "x"))
         moved = cross.join(root, "x").select(F.col("root").alias("p"), "y", "e").join(root.withColumnRenamed("x", "y"), "y").select("p", F.col("root").alias("q"), "e")
         cross = stored(moved.filter("p <> q").groupBy(F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y")).agg(F.min("e").alias("e")), "cross")
     rows = cross.select("e") if taken is None else taken
-    return rows.select("e.a", "e.b", "e.w")
+    step = lambda tree, w: F.struct(F.col(tree).alias("tree"), w.cast("double").alias("w"))
+    last = F.array(step("root", F.lit(None)))
+    up = cross.select("x", F.array(step("x", F.lit(None))).alias("steps")).limit(0)
+    for k, one in enumerate(reversed(rounds)):  # from the last round, which has the fewest trees
+        later = one.select("x", "w", "root", last.alias("later")) if k == 0 else one.join(up.select(F.col("x").alias("root"), "steps"), "root", "left").select("x", "w", "root", F.coalesce("steps", last).alias("later"))
+        up = later.select("x", F.concat(F.array(step("x", F.col("w"))), "later").alias("steps"))
+    return rows.select("e.a", "e.b", "e.w"), up.withColumnRenamed("x", "node")
+
+
+def spanning_forest(edges: DataFrame) -> DataFrame:
+    """The edges (a, b, w) of a minimum spanning forest, see ``merged``."""
+    return merged(edges)[0]
