@@ -74,3 +74,33 @@ def test_coherence_equals_joins(spark, features):
     want = {r.topic: r.coherence for r in topics.umass(tokens, spark.createDataFrame([x[:3] for x in told], "topic int, rank int, term int")).collect()}
     got = lda.coherence(held, told)
     assert got.keys() == want.keys() and all(abs(got[t] - want[t]) < 1e-9 for t in got)
+
+
+def test_em_equals_plain_loops(spark, features, monkeypatch):
+    """However the documents are dealt, and with sums kept from one iteration to the next."""
+    rows, vectorizer = features
+    held, k, size = lda.counts(rows), 3, len(vectorizer.vocabulary)
+    docs = [(r.h, np.array(r.i, dtype=np.int64), np.array(r.n)) for r in held.select(F.xxhash64("doc_id").alias("h"), "i", "n").collect()]
+    alpha, eta, total, state = 50 / k + 1, 1.1, np.zeros((size, k)), []
+    for h, i, n in docs:
+        share = lda._uniform(np.full(len(i), h), i, k, 42) if len(i) else np.zeros((0, k))
+        share = share / share.sum(axis=1, keepdims=True) * n[:, None]
+        assert ((share >= 0) & (share <= n[:, None])).all()
+        state.append(share.sum(axis=0))
+        np.add.at(total, i, share)
+    for _ in range(4):
+        phi, new = (total + eta - 1) / (total.sum(axis=0) + size * (eta - 1)), np.zeros((size, k))
+        for d, (_, i, n) in enumerate(docs):
+            share = phi[i] * (state[d] + alpha - 1)
+            share = share / share.sum(axis=1, keepdims=True) * n[:, None]
+            state[d] = share.sum(axis=0)
+            np.add.at(new, i, share)
+        total = new
+    monkeypatch.setattr(lda, "PAIRS", 16)
+    for dealt in (held, held.repartition(5)):
+        assert np.allclose(lda.fit_em(dealt, size, k, 4), total.T)
+    assert not spark._jsparkSession.sharedState().cacheManager().lookupCachedData(held._jdf).isDefined() and not spark.sparkContext._jsc.getPersistentRDDs()
+    found = {}
+    for t, _, w, _ in lda.described(lda.fit_em(held, size, k, 60), 8):
+        found.setdefault(t, set()).add(vectorizer.vocabulary[w][:2])
+    assert len(found) == k
