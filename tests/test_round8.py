@@ -7,7 +7,8 @@ import pytest
 from pyspark.ml.clustering import LDA
 from pyspark.sql import functions as F
 
-from lexharbor.operators import lda, topics
+from lexharbor import plans
+from lexharbor.operators import lda, lexicon, topics
 
 DATA = "/root/testdata/sf0.001"
 
@@ -104,3 +105,17 @@ def test_em_equals_plain_loops(spark, features, monkeypatch):
     for t, _, w, _ in lda.described(lda.fit_em(held, size, k, 60), 8):
         found.setdefault(t, set()).add(vectorizer.vocabulary[w][:2])
     assert len(found) == k
+
+
+def test_fuzzy_matches_shuffle_no_tokens(spark, monkeypatch):
+    """Tokens are stored once and joined with the values that match, which Spark broadcasts; exact keys of any source come first."""
+    made = []
+    monkeypatch.setattr(lexicon, "stored", lambda df, name, own=lexicon.stored: made.append(name) or own(df, name))
+    plan = plans.QUERIES["token_match_export"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert made == ["tokens", "known"] and "SortMergeJoin" not in plan and "Generate posexplode" not in plan
+    rows = [("meadows", "meadow", "NOUN"), ("meadowy", "xmeadow", "NOUN"), ("meadowz", "qqqqqqq", "NOUN"), ("qqqqqqq", "zzzzzzz", "NOUN"), ("meadow", "meadow", "ADP"), ("meadow", None, "NOUN")]
+    tokens = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, form string, lemma string, upos string")
+    keys = spark.createDataFrame([("meadow", 1.0)], "key string, joy double")
+    got = lexicon.match_by_sources(tokens, keys, ["lemma", "form"], ["NOUN"], 92).orderBy("i").collect()
+    score = 200 * 6 / 13
+    assert [(r.lex_key, r.source, r.fuzzy_score, r.joy) for r in got] == [("meadow", "lemma", None, 1.0), ("meadow", "lemma:fuzzy:xmeadow", score, 1.0), ("meadow", "form:fuzzy:meadowz", score, 1.0), (None, None, None, None), (None, None, None, None), ("meadow", "form", None, 1.0)]
