@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..sources.stored import stored
-from .graph import merged
+from .graph import linked, merged
 
 #: Rows that are compared with each other at a time, projections, neighbours, least members and levels.
 CHUNK, TABLES, NEAR, LEAST, LEVELS = 1024, 8, 10, 15, 16
@@ -114,7 +114,7 @@ def reachability(near: DataFrame) -> DataFrame:
     """Edges a < b with w: the distance, or, if greater, the distance of either end to its last neighbour."""
     core = near.groupBy("id").agg(F.max("distance").alias("core"))
     pairs = near.groupBy(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).agg(F.min("distance").alias("d"))
-    ends = pairs.join(core.withColumnsRenamed({"id": "a", "core": "core_a"}), "a").join(core.withColumnsRenamed({"id": "b", "core": "core_b"}), "b")
+    ends = linked(linked(pairs, core.withColumnsRenamed({"id": "a", "core": "core_a"}), "a"), core.withColumnsRenamed({"id": "b", "core": "core_b"}), "b")
     return ends.select("a", "b", F.greatest("d", "core_a", "core_b").alias("w"))
 
 
@@ -130,19 +130,19 @@ def condensed(ids: DataFrame, forest: DataFrame, cuts: list[float], least: int =
     each = stored(each.select("level", "node", "at", F.element_at("steps", F.col("at")).tree.alias("tree")), "trees")
     key = ["level", "at", "tree"]
     full = stored(each.groupBy(*key).agg(F.count("*").alias("n"), F.min("node").alias("component")).filter(F.col("n") >= least), "components")
-    rows = stored(each.join(full.drop("n"), key).select("level", "node", "component"), "levels")
+    rows = stored(linked(each, full.drop("n"), key).select("level", "node", "component"), "levels")
     full = full.select("level", "component")
     # a component is new where its parent has two or more children; all of the widest level are
     above = rows.select((F.col("level") + 1).alias("level"), "node", F.col("component").alias("parent"))
-    tree = full.join(above.withColumnRenamed("node", "component"), ["level", "component"], "left")
+    tree = linked(full, above.withColumnRenamed("node", "component"), ["level", "component"], "left")
     many = tree.filter("parent IS NOT NULL").groupBy("level", "parent").agg(F.count("*").alias("children"))
-    tree = tree.join(many, ["level", "parent"], "left").select("level", "component", (F.coalesce("children", F.lit(2)) > 1).alias("new"))
-    rows = rows.join(tree, ["level", "component"])
+    tree = linked(tree, many, ["level", "parent"], "left").select("level", "component", (F.coalesce("children", F.lit(2)) > 1).alias("new"))
+    rows = linked(rows, tree, ["level", "component"])
     steps = F.array_sort(F.collect_list(F.struct("level", "component", "new")))
     born = F.filter("steps", lambda s: s.new)
     ends = F.transform(born, lambda s, i: F.struct(s.level.alias("born"), s.component.alias("first"), F.coalesce(F.get(born, i + 1).level - 1, F.element_at(F.col("steps"), -1).level).alias("last")))
     paths = rows.groupBy(F.col("node").alias("id")).agg(steps.alias("steps")).select("id", ends.alias("path"))
-    return ids.join(paths, "id", "left").select("id", F.coalesce("path", F.array().cast("array<struct<born:int,first:bigint,last:int>>")).alias("path"))
+    return linked(ids, paths, "id", "left").select("id", F.coalesce("path", F.array().cast("array<struct<born:int,first:bigint,last:int>>")).alias("path"))
 
 
 def stable(paths: DataFrame, cuts: list[float], single: bool = False) -> DataFrame:
@@ -164,13 +164,13 @@ def stable(paths: DataFrame, cuts: list[float], single: bool = False) -> DataFra
         below = F.lit(0.0) if done is None else F.coalesce("below", F.lit(0.0))
         if done is not None:
             inner = done.filter(F.col("depth") == depth + 1).groupBy(F.col("up_born").alias("born"), F.col("up_first").alias("first")).agg(F.sum("best").alias("below"))
-            here = here.join(inner, ["born", "first"], "left")
+            here = linked(here, inner, ["born", "first"], "left")
         here = here.select("born", "first", "up_born", "up_first", "depth", F.coalesce(F.col("own") >= below, F.lit(False)).alias("wins"), F.greatest(F.coalesce("own", F.lit(0.0)), below).alias("best"))
         done = stored(here if done is None else here.unionByName(done), "chosen")
     if done is None:
         return paths.select("id", F.lit(-1).cast("long").alias("cluster"))
-    taken = each.join(done.filter("wins").select("born", "first"), ["born", "first"]).groupBy("id").agg(F.min_by("first", "depth").alias("cluster"))
-    return paths.select("id").join(taken, "id", "left").select("id", F.coalesce("cluster", F.lit(-1)).alias("cluster"))
+    taken = linked(each, done.filter("wins").select("born", "first"), ["born", "first"]).groupBy("id").agg(F.min_by("first", "depth").alias("cluster"))
+    return linked(paths.select("id"), taken, "id", "left").select("id", F.coalesce("cluster", F.lit(-1)).alias("cluster"))
 
 
 def clusters(vectors: DataFrame, k: int = NEAR, least: int = LEAST, levels: int = LEVELS, tables: int = TABLES, chunk: int = CHUNK, single: bool = False) -> DataFrame:

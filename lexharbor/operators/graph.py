@@ -10,6 +10,15 @@ from pyspark.sql import DataFrame, functions as F
 from ..sources.stored import stored
 
 
+def linked(a: DataFrame, b: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """A join of tables whose rows grow with the input, by sorting and merging both.
+
+    Spark would broadcast one as long as its files are small, but numbers of nodes fill many times their files' size
+    when the driver builds the hashed relation, and several are built at once.
+    """
+    return a.join(b.hint("merge"), on, how)
+
+
 def components(edges: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """(*by, node, component): the smallest node that each node of an edge (u, v) reaches, separately for each value of ``by``.
 
@@ -21,9 +30,9 @@ def components(edges: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     while True:
         both = now.select(*keys, "u", "v").union(now.select(*keys, F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy(*keys, "u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = stored(both.filter("v > u").join(least, [*keys, "u"]).select(*keys, F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large-star")
+        large = stored(linked(both.filter("v > u"), least, [*keys, "u"]).select(*keys, F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large-star")
         least = large.groupBy(*keys, "u").agg(F.min("v").alias("m"))
-        small = large.join(least, [*keys, "u"]).select(*keys, F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
+        small = linked(large, least, [*keys, "u"]).select(*keys, F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
         now = stored(small.filter("u <> v").distinct(), "small-star")
         state = now.agg(F.count("*"), F.sum(F.xxhash64(*keys, "u", "v").cast("decimal(38,0)"))).first()
         if state == before:
@@ -35,11 +44,11 @@ def components(edges: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 def _roots(links: DataFrame) -> DataFrame:
     """(x, root) of links (x, to), one for each x, whose only cycles are pairs; the smaller of a pair is the root."""
     back = links.select(F.col("x").alias("to"), F.col("to").alias("back"))
-    now = links.join(back, "to", "left").select("x", F.when((F.col("back") == F.col("x")) & (F.col("x") < F.col("to")), F.col("x")).otherwise(F.col("to")).alias("root"))
+    now = linked(links, back, "to", "left").select("x", F.when((F.col("back") == F.col("x")) & (F.col("x") < F.col("to")), F.col("x")).otherwise(F.col("to")).alias("root"))
     now = stored(now, "roots")
     while True:
         up = now.select(F.col("x").alias("root"), F.col("root").alias("above"))
-        further = stored(now.join(up, "root").select("x", F.col("above").alias("root"), (F.col("above") != F.col("root")).alias("moved")), "roots")
+        further = stored(linked(now, up, "root").select("x", F.col("above").alias("root"), (F.col("above") != F.col("root")).alias("moved")), "roots")
         now = further.drop("moved")
         if further.filter("moved").isEmpty():
             return now
@@ -66,15 +75,15 @@ def merged(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
         own = best.select("e").distinct()
         taken = own if taken is None else taken.union(own)
         root = _roots(best.select("x", "to"))
-        rounds.append(best.select("x", "e.w").join(root, "x"))
-        moved = cross.join(root, "x").select(F.col("root").alias("p"), "y", "e").join(root.withColumnRenamed("x", "y"), "y").select("p", F.col("root").alias("q"), "e")
+        rounds.append(linked(best.select("x", "e.w"), root, "x"))
+        moved = linked(linked(cross, root, "x").select(F.col("root").alias("p"), "y", "e"), root.withColumnRenamed("x", "y"), "y").select("p", F.col("root").alias("q"), "e")
         cross = stored(moved.filter("p <> q").groupBy(F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y")).agg(F.min("e").alias("e")), "cross")
     rows = cross.select("e") if taken is None else taken
     step = lambda tree, w: F.struct(F.col(tree).alias("tree"), w.cast("double").alias("w"))
     last = F.array(step("root", F.lit(None)))
     up = cross.select("x", F.array(step("x", F.lit(None))).alias("steps")).limit(0)
     for k, one in enumerate(reversed(rounds)):  # from the last round, which has the fewest trees
-        later = one.select("x", "w", "root", last.alias("later")) if k == 0 else one.join(up.select(F.col("x").alias("root"), "steps"), "root", "left").select("x", "w", "root", F.coalesce("steps", last).alias("later"))
+        later = one.select("x", "w", "root", last.alias("later")) if k == 0 else linked(one, up.select(F.col("x").alias("root"), "steps"), "root", "left").select("x", "w", "root", F.coalesce("steps", last).alias("later"))
         up = later.select("x", F.concat(F.array(step("x", F.col("w"))), "later").alias("steps"))
     return rows.select("e.a", "e.b", "e.w"), up.withColumnRenamed("x", "node")
 

@@ -8,7 +8,8 @@ from pyspark.ml.clustering import LDA
 from pyspark.sql import functions as F
 
 from lexharbor import plans
-from lexharbor.operators import lda, lexicon, topics
+from lexharbor.operators import density, graph, lda, lexicon, topics
+from lexharbor.plans import models
 
 DATA = "/root/testdata/sf0.001"
 
@@ -119,3 +120,12 @@ def test_fuzzy_matches_shuffle_no_tokens(spark, monkeypatch):
     got = lexicon.match_by_sources(tokens, keys, ["lemma", "form"], ["NOUN"], 92).orderBy("i").collect()
     score = 200 * 6 / 13
     assert [(r.lex_key, r.source, r.fuzzy_score, r.joy) for r in got] == [("meadow", "lemma", None, 1.0), ("meadow", "lemma:fuzzy:xmeadow", score, 1.0), ("meadow", "form:fuzzy:meadowz", score, 1.0), (None, None, None, None), (None, None, None, None), ("meadow", "form", None, 1.0)]
+
+
+def test_graphs_broadcast_no_table_of_rows(spark, monkeypatch):
+    made = []
+    for m in (graph, density, models):
+        monkeypatch.setattr(m, "stored", lambda df, name, own=m.stored: made.append((name, df._jdf.queryExecution().executedPlan().toString())) or own(df, name))
+    last = plans.QUERIES["document_clusters"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert {"roots", "cross", "trees", "levels"} <= {n for n, _ in made} and "Broadcast" not in last
+    assert not [n for n, p in made if "Broadcast" in p]
