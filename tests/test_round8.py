@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lexharbor import plans
 from lexharbor.operators import density, graph, lda, lexicon, topics
 from lexharbor.plans import models
+from lexharbor.sources import conllu
 
 DATA = "/root/testdata/sf0.001"
 
@@ -129,3 +130,21 @@ def test_graphs_broadcast_no_table_of_rows(spark, monkeypatch):
     last = plans.QUERIES["document_clusters"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert {"roots", "cross", "trees", "levels"} <= {n for n, _ in made} and "Broadcast" not in last
     assert not [n for n, p in made if "Broadcast" in p]
+
+
+def test_lines_stay_uncut_for_tokens_and_render(spark, monkeypatch):
+    """They are stored as lines, and give the same tokens and blocks as rows of cells."""
+    made = []
+    monkeypatch.setattr(conllu, "stored", lambda df, name, own=conllu.stored: made.append((name, dict(df.dtypes), df._jdf.queryExecution().executedPlan().toString())) or own(df, name))
+    for name in ("conllu_tokens", "conllu_restored"):
+        plans.QUERIES[name](spark, DATA)
+    held = [(kinds, plan) for name, kinds, plan in made if name == "conllu-sentences"]
+    assert len(held) == 2 and all(kinds["body"] == "array<string>" and "array<array<string>>" not in kinds.values() and not {"text", "bad_rows"} & set(kinds) and "split(lambda" not in plan for kinds, plan in held)
+    fields = "\t".join("_" * 5)
+    lines = ["# newdoc id = a", "# sent_id = s", f"1\tAb\ty\tX\t{fields}\tNER=B|SpaceAfter=No", f"1-2\tx\ty\tX\t{fields}\t_", f"1.1\tx\ty\tX\t{fields}\t_", "3\tshort", f"4\tx-.\ty\tX\t{fields}\t_", f"\tx\ty\tX\t{fields}\t", f"5\tx\ty\tX\t{fields}\t_\tlong"]
+    raw = spark.createDataFrame([("f", 0, 0, lines), ("f", 0, 1, ["# only"]), ("f", 1, 2, [f"1\tq\ty\tX\t{fields}\tA=1|A=2|B"])], "file string, split long, at long, lines array<string>")
+    rows, uncut = conllu.sentences(raw), conllu.sentences(raw, None, ("rows",))
+    assert "lines" in uncut.columns and "rows" not in uncut.columns and [len(r.rows) for r in rows.orderBy("at").collect()] == [3, 0, 1] and [r.bad_rows for r in rows.orderBy("at").collect()] == [2, 0, 0]
+    assert conllu.tokens(rows).orderBy("ordinal").collect() == conllu.tokens(uncut).orderBy("ordinal").collect()
+    assert [r.misc for r in conllu.tokens(rows).orderBy("ordinal").collect()] == [{"NER": "B", "SpaceAfter": "No"}, {}, {}, {"A": "2", "B": ""}]
+    assert conllu.render(rows).orderBy("at").collect() == conllu.render(uncut).orderBy("at").collect()
