@@ -148,3 +148,13 @@ def test_lines_stay_uncut_for_tokens_and_render(spark, monkeypatch):
     assert conllu.tokens(rows).orderBy("ordinal").collect() == conllu.tokens(uncut).orderBy("ordinal").collect()
     assert [r.misc for r in conllu.tokens(rows).orderBy("ordinal").collect()] == [{"NER": "B", "SpaceAfter": "No"}, {}, {}, {"A": "2", "B": ""}]
     assert conllu.render(rows).orderBy("at").collect() == conllu.render(uncut).orderBy("at").collect()
+
+
+def test_problems_look_at_each_row_once(spark):
+    """Heads outside a sentence are told by hashes, not by a search through its ids for each row."""
+    row = lambda i, head, name="dep": [i, "x", "x", "X", "_", "_", head, name, "_", "_"]
+    rows = [[row("1", "0", "root"), row("2", "9"), row("3", "9"), row("4", "8"), row("5", "1")], [row("1", "0"), row("b", "x"), row("3", "-1"), row("4", "0", "root")], [], [row("1", "1")]]
+    table = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, rows array<array<string>>")
+    found = table.select("i", conllu.problems_of("rows").alias("p"))
+    assert [r.p for r in found.orderBy("i").collect()] == [["head_outside"] * 3, ["bad_head", "bad_id", "root_name", "root_count"], [], ["root_count"]]
+    assert "array_contains" not in found._jdf.queryExecution().optimizedPlan().toString()
