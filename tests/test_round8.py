@@ -100,8 +100,13 @@ def test_em_equals_plain_loops(spark, features, monkeypatch):
             np.add.at(new, i, share)
         total = new
     monkeypatch.setattr(lda, "PAIRS", 16)
+    made = []
+    monkeypatch.setattr(lda, "stored", lambda df, name, own=lda.stored: made.append(name) or own(df, name))
+    monkeypatch.setattr(lda, "EVERY", 2)
     for dealt in (held, held.repartition(5)):
         assert np.allclose(lda.fit_em(dealt, size, k, 4), total.T)
+    assert made == ["lda-batches"] * 2  # lineage is cut, else many iterations overflow the stack
+    monkeypatch.setattr(lda, "EVERY", 8)
     assert not spark._jsparkSession.sharedState().cacheManager().lookupCachedData(held._jdf).isDefined() and not spark.sparkContext._jsc.getPersistentRDDs()
     found = {}
     for t, _, w, _ in lda.described(lda.fit_em(held, size, k, 60), 8):
